@@ -17,7 +17,7 @@ def rolling_features(
     cols: list[str],
     window: int = S.WINDOW,
     position: str | None = None,
-    block_rows: int = series.BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Mean ``<c>_rm`` and sample deviation ``<c>_rs`` over the trailing rows.
 
@@ -40,7 +40,7 @@ def rolling_features(
 
 
 def remaining_life(
-    df: DataFrame, keys: list[str], seq: str, cap: int = S.RUL_CAP, out: str = "rul", slice_rows: int = series.BLOCK_ROWS
+    df: DataFrame, keys: list[str], seq: str, cap: int = S.RUL_CAP, out: str = "rul", slice_rows: int | None = None
 ) -> DataFrame:
     """Label each row with min(last seq of its series - seq, cap)."""
     with_last = series.attach_series(df, keys, series.slice_of(seq, slice_rows), {"_last": (F.max, F.col(seq))})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wearline import schema as S
 from wearline.functions import columns as C
 from wearline.operators import entities
+from wearline.operators import series
 
 LOG_ORDER = ["predicted_at", "prediction_id"]
 
@@ -216,3 +217,12 @@ def run_totals(scored: DataFrame, group: str, entity: str, seq: str) -> DataFram
         F.count(F.lit(1)).alias("engines_processed"),
         F.max("_last").alias("time_span_hours"),
     )
+
+
+def status_changes(df: DataFrame, keys: list[str], seq: str, status: str = "health_status") -> DataFrame:
+    """Rows whose status differs from the row before, with that status."""
+    numbered = series.number_rows(df, keys, [seq], "_position")
+    out = series.over_trailing_rows(
+        numbered, keys, "_position", 1, lambda w: {"previous": F.lag(status).over(w)}
+    )
+    return out.filter(F.col("previous") != F.col(status)).drop("_position")

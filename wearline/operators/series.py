@@ -17,14 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES_ROWS = 1_000_000
-BLOCK_ROWS = 200_000
-BROADCAST_ROWS = 10_000
+SERIES_ROWS = 1_000_000  # a series of more rows is numbered in slices
+BLOCK_ROWS = 200_000  # length of the blocks for trailing frames
+BROADCAST_ROWS = 10_000  # a table of more rows is never hinted for broadcast
+SALTS = 16
 
 
-def slice_of(seq: str, rows: int = BLOCK_ROWS) -> Column:
+def slice_of(seq: str, rows: int | None = None) -> Column:
     """Slice number of an integer order column."""
-    return F.floor(F.col(seq) / F.lit(rows)).cast("long")
+    return F.floor(F.col(seq) / F.lit(rows or BLOCK_ROWS)).cast("long")
 
 
 def long_series(df: DataFrame, keys: list[str], at: Column, limit: int):
@@ -42,12 +43,13 @@ def long_series(df: DataFrame, keys: list[str], at: Column, limit: int):
     return checked_broadcast(sizes, none_if_empty=True)
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, none_if_empty: bool = False):
+def checked_broadcast(df: DataFrame, limit: int | None = None, none_if_empty: bool = False):
     """A broadcast of ``df`` when it has at most ``limit`` rows, else ``df`` unhinted.
 
     At most ``limit + 1`` rows reach the driver. Meant for aggregates and
     selections that are small as a rule but not by construction.
     """
+    limit = BROADCAST_ROWS if limit is None else limit
     found = df.limit(limit + 1).collect()
     if not found and none_if_empty:
         return None
@@ -63,7 +65,7 @@ def number_rows(
     out: str = "position",
     total: str | None = None,
     at: Column | None = None,
-    limit: int = SERIES_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Exact 1-based row number of each row in its series.
 
@@ -71,6 +73,7 @@ def number_rows(
     order column); it decides the slices of long series. ``total`` names an
     optional column for the series length.
     """
+    limit = limit or SERIES_ROWS
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     at = order[0] if at is None else at
     at = at.cast("double")
@@ -112,9 +115,10 @@ def _whole_table(df: DataFrame, at: Column, limit: int):
     return F.broadcast(df.sparkSession.createDataFrame(found, row.schema)) if found else None
 
 
-def trailing_blocks(df: DataFrame, position: str, reach: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def trailing_blocks(df: DataFrame, position: str, reach: int, block_rows: int | None = None) -> DataFrame:
     """Add ``_block`` and ``_halo``: the last ``reach`` rows of each block also
     appear, marked as halo, at the head of the next."""
+    block_rows = block_rows or BLOCK_ROWS
     if reach >= block_rows:
         raise ValueError("a block must be longer than the frame reaches back")
     block = F.expr(f"CAST((`{position}` - 1) DIV {block_rows} AS BIGINT)")
@@ -138,7 +142,7 @@ def over_trailing_rows(
     position: str,
     reach: int,
     build,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Evaluate trailing-frame columns on numbered series.
 
@@ -167,3 +171,12 @@ def attach_series(df: DataFrame, keys: list[str], slice_col: Column, aggregates:
         *keys, "_slice", *[fn(F.col(name)).over(whole).alias(name) for name, (fn, _) in aggregates.items()]
     )
     return rows.join(totals, [*keys, "_slice"], "left").select(*df.columns, *aggregates)
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with a table of one row per key so that no key stays whole:
+    each row of the table is repeated per salt and a key's rows spread over the
+    salts. For plans that adaptive execution does not reach."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS)).cast("int")
+    copies = per_key.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")

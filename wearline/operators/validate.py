@@ -74,7 +74,7 @@ def sequence_reason(cycles: Column) -> Column:
 
 def validate_sequence(
     df: DataFrame, keys: list[str], seq: str, arrival: list[str], at: Column | None = None,
-    block_rows: int = series.BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Verdict per series of a table, taking rows in arrival order.
 
@@ -100,7 +100,7 @@ def validate_sequence(
     return repeats.join(steps, keys).select(*keys, "n_rows", reason.alias("reason"))
 
 
-def sequence_steps(df: DataFrame, keys: list[str], seq: str, block_rows: int = series.BLOCK_ROWS) -> DataFrame:
+def sequence_steps(df: DataFrame, keys: list[str], seq: str, block_rows: int | None = None) -> DataFrame:
     """Each row with its distance from the row before it in sequence order."""
     numbered = series.number_rows(df, keys, [seq], "_position")
     out = series.over_trailing_rows(

@@ -879,8 +879,9 @@ def _(t: Tables):
 
 
 @query("scaled_values", "F12 M1", """
-SELECT r.event_id, round((r.s2 - m.lo) / CASE WHEN m.hi = m.lo THEN 1 ELSE m.hi - m.lo END, 6) AS s2, 0.0::DOUBLE AS setting_3
-FROM readings r JOIN (SELECT subset, min(s2) AS lo, max(s2) AS hi FROM readings WHERE event_id % 2 = 0 GROUP BY subset) m ON m.subset = r.subset""")
+SELECT r.event_id, round((r.s2 - m.lo) / CASE WHEN m.hi = m.lo THEN 1 ELSE m.hi - m.lo END, 6) AS s2,
+       CASE WHEN m.lo IS NOT NULL THEN 0.0::DOUBLE END AS setting_3
+FROM readings r LEFT JOIN (SELECT subset, min(s2) AS lo, max(s2) AS hi FROM readings WHERE event_id % 2 = 0 GROUP BY subset) m ON m.subset = r.subset""")
 def _(t: Tables):
     # Ranges come from half of the rows, so some of the rest scale beyond [0, 1].
     train = t.readings.filter("event_id % 2 = 0")

@@ -19,6 +19,7 @@ MODULI = {"s4": 97, "s7": 89, "s8": 83, "s9": 79, "s11": 73, "s12": 71, "s13": 6
           "s17": 53, "s20": 47, "s21": 43}
 ENDPOINTS = ["/predict", "/predict/batch", "/predict/sequence"]
 BASELINE_CAP = 60
+LONGEST_LIFE = 145
 REQUEST_ROWS = 40
 BATCH_ROWS = 20
 
@@ -102,7 +103,8 @@ class Tables:
     @cached_property
     def predictions(self) -> DataFrame:
         r = self.readings.filter(F.col("cycle") * 5 <= F.col("n_rows") * (1 + (F.col("unit") - 1) % 5))
-        true = F.col("n_rows") - F.col("cycle")
+        # Bounded, so that penalties stay comparable however long a series is.
+        true = F.least(F.col("n_rows") - F.col("cycle"), F.lit(LONGEST_LIFE))
         raw = (true + F.col("event_id") % 41 - 20).cast("double")
         pick = (F.col("event_id") % 3).cast("int")
         return r.select(
@@ -274,8 +276,8 @@ CTES = {
   SELECT *, CASE WHEN predicted_rul <= 10 THEN 'CRITICAL' WHEN predicted_rul <= 30 THEN 'WARNING' ELSE 'HEALTHY' END
          AS health_status
   FROM (SELECT event_id AS prediction_id, 'r' || (event_id % 1000) AS request_id, engine_id, subset AS model_id, cycle,
-               cycle AS n_history_cycles, n_rows - cycle AS true_life,
-               CAST(least(greatest(n_rows - cycle + event_id % 41 - 20, 0), 125) AS DOUBLE) AS predicted_rul,
+               cycle AS n_history_cycles, least(n_rows - cycle, 145) AS true_life,
+               CAST(least(greatest(least(n_rows - cycle, 145) + event_id % 41 - 20, 0), 125) AS DOUBLE) AS predicted_rul,
                125 AS rul_cap,
                CASE event_id % 3 WHEN 0 THEN '/predict' WHEN 1 THEN '/predict/batch' ELSE '/predict/sequence' END AS endpoint,
                s2 AS latency_ms, recorded_at AS predicted_at

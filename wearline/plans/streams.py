@@ -1 +1,135 @@
-"""placeholder"""
+"""Registered streaming queries: the events table replayed as a stream until
+its end, results written to the shared folder and read back."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wearline import schema as S
+from wearline.functions import columns as C
+from wearline.operators import store
+from wearline.operators import truth as tr
+from wearline.plans.catalog import query, rounded
+from wearline.plans.fixtures import Tables
+from wearline.streaming import carry, windows
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A folder of its own for one run, below the shared folder."""
+    local = spark.sparkContext.master.startswith("local")
+    base = store.checkpoint_folder(spark, tempfile.mkdtemp(prefix="wearline-") if local else None)
+    return f"{base}/wearline/{uuid.uuid4().hex}"
+
+
+def event_stream(t: Tables, late_hours: int = 0) -> DataFrame:
+    """Events as stored predictions: all columns follow from the row alone."""
+    schema = t.source("events").schema
+    events = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events*.parquet")
+    subset = (F.col("user_id") % 4 + 1).cast("int")
+    at = F.timestamp_add("HOUR", F.lit(late_hours), F.col("ts")).cast("timestamp_ntz") if late_hours else F.col("ts")
+    raw = (F.col("event_id") * 7 % 150).cast("double")
+    return events.select(
+        F.col("event_id").alias("prediction_id"),
+        (F.col("user_id") * 10 + subset).alias("engine_id"),
+        subset.alias("subset"),
+        C.clip_rul(raw).alias("predicted_rul"),
+        C.health_status(C.clip_rul(raw)).alias("health_status"),
+        F.col("value").alias("s2"),
+        at.alias("predicted_at"),
+    )
+
+
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream to the end of its input into parquet and read that."""
+    out = f"{folder}/out"
+    run = (
+        stream.writeStream.outputMode("append")
+        .format("parquet")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start(out)
+    )
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+_EVENTS_SQL = """(SELECT event_id AS prediction_id, user_id * 10 + user_id % 4 + 1 AS engine_id, CAST(user_id % 4 + 1 AS INTEGER) AS subset,
+       CAST(least(event_id * 7 % 150, 125) AS DOUBLE) AS predicted_rul, value AS s2, ts AS predicted_at,
+       CASE WHEN event_id * 7 % 150 <= 10 THEN 'CRITICAL' WHEN event_id * 7 % 150 <= 30 THEN 'WARNING' ELSE 'HEALTHY' END AS health_status FROM events)"""
+# Windows that the watermark has closed by the end of the stream.
+_CLOSED = "+ INTERVAL 1 {unit} <= (SELECT date_trunc('millisecond', max({time})) FROM {source} w) - INTERVAL 10 MINUTE"
+
+
+@query("stream_activity", "R1", f"""
+SELECT CAST(date_trunc('minute', predicted_at) AS TIMESTAMP) AS time, count(*) AS predictions FROM {_EVENTS_SQL} e
+WHERE date_trunc('minute', predicted_at) {_CLOSED.format(unit='MINUTE', time='ts', source='events')} GROUP BY 1""")
+def _(t: Tables):
+    return run_to_table(windows.stream_activity(event_stream(t)), run_folder(t.spark))
+
+
+@query("stream_mean_rul", "R2", f"""
+SELECT CAST(date_trunc('hour', predicted_at) AS TIMESTAMP) AS time, CAST(round(CAST(avg(predicted_rul) AS DECIMAL(38,6)), 1) AS DOUBLE) AS avg_remaining_life
+FROM {_EVENTS_SQL} e WHERE date_trunc('hour', predicted_at) {_CLOSED.format(unit='HOUR', time='ts', source='events')} GROUP BY 1""")
+def _(t: Tables):
+    return run_to_table(windows.stream_mean_rul(event_stream(t)), run_folder(t.spark))
+
+
+@query("stream_accuracy", "R2", f"""
+SELECT CAST(date_trunc('hour', predicted_at) AS TIMESTAMP) AS time, subset, CAST(round(CAST(sqrt(avg(d * d)) AS DECIMAL(38,6)), 2) AS DOUBLE) AS rmse,
+       CAST(round(CAST(sum(CASE WHEN d < 0 THEN exp(-d / 13) - 1 ELSE exp(d / 10) - 1 END) AS DECIMAL(38,6)), 1) AS DOUBLE) AS nasa_score
+FROM (SELECT *, predicted_rul - prediction_id % 100 AS d FROM {_EVENTS_SQL} e) x
+WHERE date_trunc('hour', predicted_at) {_CLOSED.format(unit='HOUR', time='ts', source='events')} GROUP BY 1, subset""")
+def _(t: Tables):
+    rows = event_stream(t).withColumn("true_rul", (F.col("prediction_id") % 100).cast("double"))
+    errors = tr.error_columns(rows).withColumnRenamed("predicted_at", "submitted_at")
+    return run_to_table(windows.stream_accuracy(errors), run_folder(t.spark))
+
+
+@query("stream_rolling_features", "R3", f"""
+SELECT engine_id, prediction_id, round(avg(s2) OVER w, 6) AS s2_rm, round(coalesce(stddev_samp(s2) OVER w, 0), 6) AS s2_rs
+FROM {_EVENTS_SQL} e WINDOW w AS (PARTITION BY engine_id ORDER BY prediction_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+def _(t: Tables):
+    folder = run_folder(t.spark)
+    writer = carry.stream_rolling_features(event_stream(t), folder, ["engine_id"], "prediction_id", ["s2"])
+    writer.trigger(availableNow=True).start().awaitTermination()
+    out = t.spark.read.parquet(f"{folder}/features").select("engine_id", "prediction_id", "s2_rm", "s2_rs")
+    return rounded(out, 6, "s2_rm", "s2_rs")
+
+
+@query("stream_latest", "R4", f"""
+SELECT engine_id, max(prediction_id) AS prediction_id, arg_max(predicted_rul, prediction_id) AS predicted_rul,
+       arg_max(health_status, prediction_id) AS health_status FROM {_EVENTS_SQL} e GROUP BY engine_id""")
+def _(t: Tables):
+    folder = run_folder(t.spark)
+    rows = event_stream(t).select("engine_id", "prediction_id", "predicted_rul", "health_status")
+    carry.stream_latest(rows, folder, ["engine_id"], ["prediction_id"]).trigger(availableNow=True).start().awaitTermination()
+    return carry.newest_version(t.spark, folder)
+
+
+@query("stream_truth_join", "R5", f"""
+SELECT prediction_id, engine_id, predicted_rul, CAST(prediction_id % 100 AS DOUBLE) AS true_rul,
+       predicted_rul - prediction_id % 100 AS error FROM {_EVENTS_SQL} e WHERE prediction_id % 3 <> 0""")
+def _(t: Tables):
+    truth = event_stream(t, late_hours=1).filter("prediction_id % 3 <> 0").select(
+        "prediction_id",
+        (F.col("prediction_id") % 100).cast("double").alias("true_rul"),
+        F.col("predicted_at").alias("submitted_at"),
+    )
+    joined = windows.stream_truth_join(event_stream(t), truth)
+    rows = joined.select("prediction_id", "engine_id", "predicted_rul", "true_rul")
+    return run_to_table(rows.withColumn("error", F.col("predicted_rul") - F.col("true_rul")), run_folder(t.spark))
+
+
+@query("stream_alerts", "R6 F1", f"""
+SELECT engine_id, prediction_id, health_status, previous
+FROM (SELECT *, lag(health_status) OVER (PARTITION BY engine_id ORDER BY prediction_id) AS previous FROM {_EVENTS_SQL} e) x
+WHERE previous <> health_status""")
+def _(t: Tables):
+    folder = run_folder(t.spark)
+    writer = carry.stream_alerts(event_stream(t), folder, ["engine_id"], "prediction_id")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/alerts").select("engine_id", "prediction_id", "health_status", "previous")
