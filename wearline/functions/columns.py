@@ -116,6 +116,11 @@ def required_sensors(subset: ColumnOrName) -> Column:
     return out
 
 
+def needs_sensor(subset: ColumnOrName, sensor: str) -> Column:
+    """Whether a dataset must carry the sensor; false for unknown datasets."""
+    return F.coalesce(_col(subset).isin([k for k in S.SUBSETS if sensor in S.SENSORS[k]]), F.lit(False))
+
+
 def seconds_of(ts: ColumnOrName) -> Column:
     """Whole seconds of a zone-less timestamp, independent of the session zone."""
     ts = _col(ts)

@@ -5,7 +5,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wearline import schema as S
@@ -31,47 +34,47 @@ def score_snapshots(df: DataFrame, model, sensors: list[str] = S.ALL_SENSORS, ca
     return scored.withColumn("n_history_cycles", F.lit(1)).withColumn("note", C.short_history_note("cycle", window))
 
 
-def _array_mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return total / F.nullif(F.size(values), F.lit(0))
-
-
-def _array_deviation(values: Column) -> Column:
-    mean = _array_mean(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1))).otherwise(0.0)
-
-
 def sequence_features(df: DataFrame, sensors: list[str] = S.ALL_SENSORS, window: int = S.WINDOW) -> DataFrame:
     """Feature row of each request with a ``history`` array, without a shuffle:
-    only the last rows of the array matter, and they are already together."""
+    only the last rows of the array matter, and they are already together.
+
+    Values, means and deviations are built in separate projections, so that
+    each array is cut out once and each mean is taken once.
+    """
     size = F.size("history")
     tail = F.slice("history", F.greatest(size - window + 1, F.lit(1)), F.lit(window))
-    base = df.withColumn("_tail", tail).withColumn("_last", F.element_at("history", -1))
+    keep = [c for c in df.columns if c != "history"]
+    ends = df.select(*keep, tail.alias("_tail"), F.element_at("history", -1).alias("_last"), size.alias("n_history_cycles"))
+    known = [*keep, "n_history_cycles", *[F.col(f"_last.{c}").alias(c) for c in ["cycle", *S.SETTINGS, *sensors]]]
 
     def values(s):
         return F.array_compact(F.transform("_tail", lambda r: C.finite(r[s])))
 
-    cols = [F.col(f"_last.{c}").alias(c) for c in ["cycle", *S.SETTINGS, *sensors]]
-    means = [_array_mean(values(s)).alias(f"{s}_rm") for s in sensors]
-    devs = [F.when(F.col(f"_last.{s}").isNotNull(), _array_deviation(values(s))).alias(f"{s}_rs") for s in sensors]
-    keep = [c for c in df.columns if c != "history"]
-    return base.select(*keep, *cols, *means, *devs, size.alias("n_history_cycles"))
+    arrays = ends.select(*known, *[values(s).alias(f"_v_{s}") for s in sensors])
+
+    def mean(s):
+        total = F.aggregate(f"_v_{s}", F.lit(0.0), lambda a, x: a + x)
+        return total / F.nullif(F.size(f"_v_{s}"), F.lit(0))
+
+    def deviation(s):
+        m = F.col(f"{s}_rm")
+        squares = F.aggregate(f"_v_{s}", F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+        return F.when(F.size(f"_v_{s}") > 1, F.sqrt(squares / (F.size(f"_v_{s}") - 1))).otherwise(0.0)
+
+    means = arrays.select("*", *[mean(s).alias(f"{s}_rm") for s in sensors])
+    full = means.select("*", *[deviation(s).alias(f"{s}_rs") for s in sensors])
+    return full.drop(*[f"_v_{s}" for s in sensors])
 
 
 def check_sequences(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid requests, rejects): cycle order first, then sensors required."""
-    required = C.required_sensors("subset")
     missing = None
     for s in S.ALL_SENSORS:
-        lacks = F.array_contains(required, s) & F.exists("history", lambda r: r[s].isNull())
+        lacks = C.needs_sensor("subset", s) & F.exists("history", lambda r: r[s].isNull())
         missing = F.when(lacks, F.lit(f"{s} missing")) if missing is None else missing.when(lacks, F.lit(f"{s} missing"))
     bad_subset = F.when(~F.coalesce(F.col("subset").between(1, 4), F.lit(False)), "subset out of range")
     bad_value = F.when(
-        F.exists(
-            "history",
-            lambda r: F.array_contains(F.array(*[C.is_not_finite(r[c]) for c in [*S.SETTINGS, *S.ALL_SENSORS]]), True),
-        ),
+        F.exists("history", lambda r: reduce(or_, [C.is_not_finite(r[c]) for c in [*S.SETTINGS, *S.ALL_SENSORS]])),
         "value not finite",
     )
     order = val.sequence_reason(F.transform("history", lambda r: r["cycle"]))

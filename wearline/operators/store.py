@@ -202,7 +202,5 @@ def write_batch(spark: SparkSession, tables: str, rows: DataFrame, registry: Dat
         "recorded_at", C.time_literal(as_of)
     ).withColumn("_batch", F.lit(batch_id))
     merge_into(spark, f"{tables}/sensor_readings", readings, ["subset", "engine_id", "cycle"], ["_batch"], "subset", fallback)
-    log = prediction_rows(stored, endpoint, f"batch-{batch_id}", as_of, cap).withColumn("batch_id", F.lit(batch_id))
-    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
-        f"{tables}/predictions"
-    )
+    log = prediction_rows(stored, endpoint, f"batch-{batch_id}", as_of, cap)
+    log.write.mode("overwrite").parquet(f"{tables}/predictions/batch_id={batch_id}")

@@ -68,11 +68,12 @@ def first_truths(truth: DataFrame, key: str = "prediction_id", order: list[str]
     return truth.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def score_truths(pred: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
+def score_truths(pred: DataFrame, truth: DataFrame, carry: list[str] = []) -> tuple[DataFrame, DataFrame]:
     """(error rows, rejected truths): first submission per prediction wins and
-    ids without a prediction are reported."""
+    ids without a prediction are reported. ``carry`` names prediction columns to
+    keep on the error rows, which spares later readers the join back."""
     matched, unknown = attach_truth(
-        pred.select("prediction_id", "predicted_rul"), first_truths(truth), ["prediction_id"]
+        pred.select("prediction_id", "predicted_rul", *carry), first_truths(truth), ["prediction_id"]
     )
     return error_columns(matched), unknown.withColumn("reason", F.lit("unknown prediction_id"))
 

@@ -365,8 +365,10 @@ def _(t: Tables):
 @query("errors_with_engines", "J4", """
 SELECT prediction_id, engine_id, subset, error, round(nasa_penalty, 6) AS nasa_penalty FROM errors_by_engine""")
 def _(t: Tables):
-    rows = t.errors_by_engine.select("prediction_id", "engine_id", "subset", "error", "nasa_penalty")
-    return rounded(rows, 6, "nasa_penalty")
+    from wearline.plans.dashboards import errors_with_subset
+
+    rows = errors_with_subset(t.errors, t.predictions, t.engines)
+    return rounded(rows.select("prediction_id", "engine_id", "subset", "error", "nasa_penalty"), 6, "nasa_penalty")
 
 
 @query("latest_with_engine", "J5 W4", """

@@ -146,15 +146,12 @@ class Tables:
 
     @cached_property
     def errors(self) -> DataFrame:
-        return tr.score_truths(self.predictions, self.truths)[0]
+        return tr.score_truths(self.predictions, self.truths, ["engine_id"])[0]
 
     @cached_property
     def errors_by_engine(self) -> DataFrame:
-        """Error rows with the engine and subset of their prediction."""
-        owner = self.predictions.select("prediction_id", "engine_id").join(
-            self.engines.select("engine_id", "subset"), "engine_id"
-        )
-        return self.errors.join(owner, "prediction_id")
+        """Error rows with the subset of their engine."""
+        return self.errors.join(self.engines.select("engine_id", "subset"), "engine_id")
 
     @cached_property
     def registry(self) -> DataFrame:

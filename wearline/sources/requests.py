@@ -19,7 +19,9 @@ def parse_requests(df: DataFrame, kind: str, json_col: str = "value") -> DataFra
     parsed = df.withColumn("_body", F.from_json(F.col(json_col), S.REQUEST_SCHEMAS[kind], {"allowNonNumericNumbers": "true"}))
     if kind == "batch":
         return parsed.select(*keep, F.posexplode("_body.instances").alias("item", "_row")).select(*keep, "item", "_row.*")
-    return parsed.select(*keep, "_body.*")
+    # As a generator the body is parsed once; plain projections would be copied
+    # into every filter that is pushed below them.
+    return parsed.select(*keep, F.inline(F.array("_body")))
 
 
 def explode_history(df: DataFrame) -> DataFrame:

@@ -41,8 +41,7 @@ def _carry(spark: SparkSession, folder: str, batch_id: int, rows: DataFrame) ->
 
 
 def _emit(rows: DataFrame, path: str, batch_id: int) -> None:
-    out = rows.withColumn("batch_id", F.lit(batch_id))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def in_order(batch: DataFrame, carried: DataFrame, keys: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
