@@ -33,6 +33,13 @@ def test_all_features_share_one_window_and_one_shuffle(readings):
     assert "_block" in re.search(r"Exchange hashpartitioning\((.*?)\)", plan).group(1)
 
 
+def test_many_features_share_one_sort_and_one_shuffle(readings):
+    wide = readings.selectExpr("*", "s2 AS a", "s3 AS b")
+    plan = plan_of(feat.rolling_features(wide, S.SERIES_KEYS, "cycle", ["s2", "s3", "a", "b"], position="cycle"))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert plan.count("MapInArrow") == 1
+
+
 def test_latest_row_is_ranked_before_the_shuffle(readings):
     plan = plan_of(ent.latest_row(readings, S.SERIES_KEYS, ["cycle"]))
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan

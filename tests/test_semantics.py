@@ -67,6 +67,37 @@ def test_blocks_give_the_same_as_one_window(spark):
     assert off.count() == 0
 
 
+@pytest.mark.parametrize("block_rows,batch", [(None, 10_000), (31, 10_000), (40, 7), (None, 1)])
+def test_batches_give_the_same_as_window_functions(spark, block_rows, batch):
+    """Many columns run over Arrow batches, few as window functions."""
+    x = (F.col("id") * 7919 % 101).cast("double")
+    df = spark.range(600).select(
+        F.lit(1).alias("subset"),
+        (F.col("id") % 3).cast("int").alias("unit"),
+        F.expr("id div 3 + 1").alias("cycle"),
+        F.col("id").cast("string").alias("tag"),
+        x.alias("a"),
+        F.when(F.col("id") % 4 > 0, x * 1e6 + 5e8).alias("b"),
+        F.when((F.col("id") < 200) | (F.col("id") > 400), F.when(F.col("id") % 7 == 0, float("nan")).otherwise(x)).alias("c"),
+        F.lit(0.1).alias("d"),
+    )
+    cols = ["a", "b", "c", "d"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        many = feat.rolling_features(df, KEYS, "cycle", cols, position="cycle", block_rows=block_rows)
+        got = {(r["unit"], r["cycle"]): r for r in many.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 600 and many.columns[:8] == df.columns
+    for c in cols:
+        for r in feat.rolling_features(df, KEYS, "cycle", [c], position="cycle").collect():
+            twin = got[r["unit"], r["cycle"]]
+            assert twin["tag"] == r["tag"]
+            for k in (f"{c}_rm", f"{c}_rs"):
+                assert (twin[k] is None) == (r[k] is None)
+                assert r[k] is None or twin[k] == pytest.approx(r[k], rel=1e-9, abs=1e-12)
+
+
 def test_block_must_be_longer_than_frame(spark):
     with pytest.raises(ValueError):
         feat.rolling_features(series_df(spark, [1.0]), KEYS, "cycle", ["x"], position="cycle", block_rows=29)

@@ -31,16 +31,21 @@ def slice_of(seq: str, rows: int | None = None) -> Column:
 def long_series(df: DataFrame, keys: list[str], at: Column, limit: int):
     """Series of more than ``limit`` rows with their size and order range.
 
-    Runs one job over the key and order columns (partial aggregates before the
-    shuffle). Returns None when there are none, a broadcast of the collected
-    rows when they are few, and a plain DataFrame to join by shuffle otherwise.
+    A count over the key columns alone (partial counts before the shuffle)
+    finds them; only when there are any are their ranges read too. Returns None
+    when there are none, a broadcast of the collected rows when they are few,
+    and a plain DataFrame to join by shuffle otherwise.
     """
-    sizes = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .filter(F.col("_n") > limit)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    found = checked_broadcast(sizes, none_if_empty=True)
+    if found is None:
+        return None
+    ranges = (
+        df.join(found, keys)
+        .groupBy(*keys)
+        .agg(F.first("_n").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
     )
-    return checked_broadcast(sizes, none_if_empty=True)
+    return checked_broadcast(ranges)
 
 
 def checked_broadcast(df: DataFrame, limit: int | None = None, none_if_empty: bool = False):
