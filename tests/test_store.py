@@ -32,6 +32,28 @@ def test_incoming_row_wins_a_tie(spark):
     assert store.upsert_latest(target, rows, ["k"], ["v"]).first()["x"] == "new"
 
 
+def test_few_rows_are_merged_without_moving_the_target(spark):
+    target = spark.createDataFrame([(1, 1, "old"), (2, 5, "kept"), (4, 1, "same")], "k int, v int, x string")
+    rows = spark.createDataFrame([(1, 2, "new"), (2, 4, "stale"), (3, 1, "added"), (4, 1, "tie")], "k int, v int, x string")
+    got = store.upsert_few(target, F.broadcast(rows), ["k"], ["v"])
+    assert rows_of(got, "k") == rows_of(store.upsert_latest(target, rows, ["k"], ["v"]), "k")
+    assert rows_of(got, "k") == [(1, 2, "new"), (2, 5, "kept"), (3, 1, "added"), (4, 1, "tie")]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Union")[1]
+    assert "BroadcastHashJoin" in plan.split("SortMergeJoin")[0]
+
+
+def test_large_batches_merge_by_shuffle(spark, tmp_path, monkeypatch):
+    from wearline.operators import series
+
+    monkeypatch.setattr(series, "BROADCAST_ROWS", 1)
+    path = str(tmp_path / "readings")
+    schema = "subset int, k int, v int, x string"
+    for rows in ([(1, 1, 1, "a"), (1, 2, 5, "b")], [(1, 1, 2, "A"), (1, 2, 4, "B"), (2, 1, 1, "c")]):
+        store.merge_into(spark, path, spark.createDataFrame(rows, schema), ["subset", "k"], ["v"])
+    got = spark.read.parquet(path).select("subset", "k", "v", "x")
+    assert rows_of(got, "subset", "k") == [(1, 1, 2, "A"), (1, 2, 5, "b"), (2, 1, 1, "c")]
+
+
 def test_first_writer_wins(spark):
     target = spark.createDataFrame([(1,)], "k int")
     rows = spark.createDataFrame([(1, 1), (2, 9), (2, 3)], "k int, at int")

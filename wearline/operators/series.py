@@ -37,8 +37,8 @@ def long_series(df: DataFrame, keys: list[str], at: Column, limit: int):
     and a plain DataFrame to join by shuffle otherwise.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    found = checked_broadcast(sizes, none_if_empty=True)
-    if found is None:
+    found = checked_broadcast(sizes)
+    if found.isEmpty():
         return None
     ranges = (
         df.join(found, keys)
@@ -48,19 +48,20 @@ def long_series(df: DataFrame, keys: list[str], at: Column, limit: int):
     return checked_broadcast(ranges)
 
 
-def checked_broadcast(df: DataFrame, limit: int | None = None, none_if_empty: bool = False):
-    """A broadcast of ``df`` when it has at most ``limit`` rows, else ``df`` unhinted.
-
-    At most ``limit + 1`` rows reach the driver. Meant for aggregates and
-    selections that are small as a rule but not by construction.
-    """
+def few_rows(df: DataFrame, limit: int | None = None) -> DataFrame | None:
+    """``df`` as a local table hinted for broadcast when it has at most
+    ``limit`` rows, else None. At most ``limit + 1`` rows reach the driver."""
     limit = BROADCAST_ROWS if limit is None else limit
     found = df.limit(limit + 1).collect()
-    if not found and none_if_empty:
-        return None
-    if len(found) <= limit:
-        return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
-    return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema)) if len(found) <= limit else None
+
+
+def checked_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` hinted for broadcast after a look at its size, or unhinted when it
+    is large. Meant for aggregates and selections that are small as a rule but
+    not by construction."""
+    few = few_rows(df, limit)
+    return df if few is None else few
 
 
 def number_rows(
@@ -115,9 +116,8 @@ def number_rows(
 def _whole_table(df: DataFrame, at: Column, limit: int):
     """The table as one series, for numbering without keys."""
     one = df.agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    row = one.filter(F.col("_n") > limit).withColumn("_all", F.lit(0))
-    found = row.collect()
-    return F.broadcast(df.sparkSession.createDataFrame(found, row.schema)) if found else None
+    found = one.filter(F.col("_n") > limit).withColumn("_all", F.lit(0)).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(found, "_n long, _lo double, _hi double, _all int")) if found else None
 
 
 def trailing_blocks(df: DataFrame, position: str, reach: int, block_rows: int | None = None) -> DataFrame:

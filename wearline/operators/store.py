@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wearline.functions import columns as C
+from wearline.operators import entities as ent
 from wearline.operators import series
 
 
@@ -38,6 +39,20 @@ def upsert_latest(target: DataFrame | None, rows: DataFrame, keys: list[str], ve
     return both.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank", "_new")
 
 
+def upsert_few(target: DataFrame, rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
+    """``upsert_latest`` for a few incoming rows, one per key on either side.
+
+    ``rows`` must carry a broadcast hint; the target is then only streamed past
+    them, without shuffle or sort.
+    """
+    given = rows.select(*keys, F.struct(*version).alias("_given"))
+    marked = target.join(F.broadcast(given), keys, "left")
+    stays = F.col("_given").isNull() | (F.struct(*[F.col(v) for v in version]) > F.col("_given"))
+    newer_there = marked.filter(F.col("_given").isNotNull() & stays).select(*keys)
+    kept = marked.filter(stays).drop("_given").select(*target.columns)
+    return kept.unionByName(rows.join(newer_there, keys, "left_anti").select(*target.columns))
+
+
 def insert_first(target: DataFrame | None, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows to append: the earliest per key among those the target lacks."""
     fresh = rows if target is None else rows.join(target.select(*keys), keys, "left_anti")
@@ -154,7 +169,9 @@ def merge_into(
     if table_exists(spark, path):
         touched = series.checked_broadcast(rows.select(by).distinct())
         target = spark.read.parquet(path).join(touched, by, "left_semi").select(*rows.columns)
-    merged = upsert_latest(target, rows, keys, version).checkpoint()
+    few = None if target is None else series.few_rows(ent.newest_rows(rows, keys, version, 1))
+    merged = upsert_latest(target, rows, keys, version) if few is None else upsert_few(target, few, keys, version)
+    merged = merged.checkpoint()
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 

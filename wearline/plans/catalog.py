@@ -705,6 +705,21 @@ def _(t: Tables):
     return rounded(out, 6, "s2_rs", "s3_rs", "s15_rs").select(*KEYS, "cycle", "s2_rs", "s3_rs", "s15_rs")
 
 
+_EVERY = S.ALL_SENSORS
+_EVERY_SQL = ", ".join(
+    f"round(avg({s}) OVER w, 6) AS {s}_rm, round(coalesce(stddev_samp({s}) OVER w, 0), 6) AS {s}_rs" for s in _EVERY
+)
+
+
+@query("rolling_all_sensors", "W1 W2 P2", f"""
+SELECT subset, unit, cycle, {_EVERY_SQL} FROM readings
+WINDOW w AS (PARTITION BY subset, unit ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+def _(t: Tables):
+    names = [f"{s}_{k}" for s in _EVERY for k in ("rm", "rs")]
+    out = feat.rolling_features(t.readings.select(*KEYS, "cycle", *_EVERY), KEYS, "cycle", _EVERY, position="cycle")
+    return rounded(out, 6, *names).select(*KEYS, "cycle", *names)
+
+
 @query("rolling_on_gapped_rows", "W1 W2", """
 SELECT subset, unit, cycle, round(avg(s7) OVER w, 6) AS s7_rm, round(coalesce(stddev_samp(s7) OVER w, 0), 6) AS s7_rs
 FROM (SELECT * FROM readings WHERE event_id % 3 <> 1) r
