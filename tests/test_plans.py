@@ -80,3 +80,23 @@ def test_no_python_and_no_cross_join(spark, name):
     plan = plan_of(contract.queries()[name](spark, SF))
     for word in ("Python", "Pandas", "ArrowEval", "CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition, REPARTITION"):
         assert word not in plan
+
+
+def test_each_tree_model_reads_its_own_subset(spark, readings):
+    from wearline.operators import scoring
+
+    class PerSubset:
+        subsets = [1, 2, 3, 4]
+
+        def predict(self, df, subset):
+            return df.selectExpr("*", "0.0 AS prediction")
+
+    wide = readings.selectExpr("*", "s2 AS a", "s3 AS b")
+    plan = plan_of(
+        scoring.score(
+            wide, PerSubset(), 125,
+            lambda rows: feat.rolling_features(rows, S.SERIES_KEYS, "cycle", ["s2", "s3", "a", "b"], position="cycle"),
+        )
+    )
+    assert plan.count("MapInArrow") == 4
+    assert all(f"EqualTo(subset,{k})" in plan for k in PerSubset.subsets)

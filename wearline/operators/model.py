@@ -34,17 +34,22 @@ class RulModel:
     window: int = S.WINDOW
     metrics: dict[int, dict[str, float]] = field(default_factory=dict)
 
-    def predict(self, df: DataFrame) -> DataFrame:
+    @property
+    def subsets(self) -> list[int]:
+        return sorted(self.trees)
+
+    def predict(self, df: DataFrame, subset: int | None = None) -> DataFrame:
         """Rows with column ``prediction``; each subset is scored by its own trees.
 
         Rows of a subset without a model are left out, as they cannot be scored.
+        Pass ``subset`` when all rows belong to it.
         """
-        parts = []
-        for subset, trees in self.trees.items():
-            rows = df.filter(F.col("subset") == subset)
-            assembled = _assemble(rows, self.features[subset], self.ranges[subset], "keep")
-            parts.append(trees.transform(assembled).drop("_features"))
-        return reduce(DataFrame.unionByName, parts)
+        if subset is None:
+            return reduce(
+                DataFrame.unionByName, [self.predict(df.filter(F.col("subset") == k), k) for k in self.subsets]
+            )
+        assembled = _assemble(df, self.features[subset], self.ranges[subset], "keep")
+        return self.trees[subset].transform(assembled).drop("_features")
 
 
 def _assemble(df: DataFrame, names: list[str], ranges: dict, invalid: str) -> DataFrame:
@@ -58,7 +63,7 @@ def _assemble(df: DataFrame, names: list[str], ranges: dict, invalid: str) -> Da
 
 
 def fit_rul(
-    df: DataFrame,
+    rows: dict[int, DataFrame],
     label: str = "rul",
     params: dict | None = None,
     sensors: dict[int, list[str]] = S.SENSORS,
@@ -66,37 +71,42 @@ def fit_rul(
     window: int = S.WINDOW,
     parallelism: int = 2,
 ) -> RulModel:
-    """Fit one model per subset on labelled feature rows.
+    """Fit one model per subset on its labelled feature rows.
 
     ``params`` override the tree settings; the full setting of 1000 trees costs
-    one pass over the data per tree level.
+    one pass over the data per tree level. Subsets without rows get no model.
     """
-    names = {k: feat_names(sensors[k]) for k in sensors}
-    every = list(dict.fromkeys(c for k in names for c in names[k]))
-    rows = feat.fit_minmax(df.select("subset", *[F.col(c).cast("double") for c in every]), every, ["subset"])
-    # One row per subset, of which there are as many as entries in ``sensors``.
-    found = {r["subset"]: r for r in rows.filter(F.col("subset").isin(list(sensors))).collect()}
-    ranges = {k: {c: (r[f"{c}_min"], r[f"{c}_max"]) for c in names[k]} for k, r in found.items()}
+    names = {k: S.feature_columns(sensors[k]) for k in rows}
     settings = {**S.GBT_PARAMS, **(params or {})}
 
     def fit(subset):
-        part = df.filter(F.col("subset") == subset).select(label, *names[subset])
-        data = _assemble(part, names[subset], ranges[subset], "error").select(
-            "_features", F.col(label).cast("double").alias("_label")
+        cols = names[subset]
+        part = rows[subset].select(
+            F.lit(subset).alias("subset"), F.col(label).cast("double").alias("_label"), *[F.col(c).cast("double") for c in cols]
         )
-        return GBTRegressor(featuresCol="_features", labelCol="_label", **settings).fit(data)
-
-    subsets = sorted(found)
+        found = feat.fit_minmax(part, cols, ["subset"]).first()
+        if found is None:
+            return None
+        ranges = {c: (found[f"{c}_min"], found[f"{c}_max"]) for c in cols}
+        data = _assemble(part, cols, ranges, "error").select("_features", "_label")
+        return ranges, GBTRegressor(featuresCol="_features", labelCol="_label", **settings).fit(data)
+
+    subsets = sorted(rows)
+    spark = rows[subsets[0]].sparkSession
     pool = ThreadPool(max(1, min(parallelism, len(subsets))))
     try:
-        trees = dict(zip(subsets, pool.map(inheritable_thread_target(df.sparkSession)(fit), subsets)))
+        fitted = dict(zip(subsets, pool.map(inheritable_thread_target(spark)(fit), subsets)))
     finally:
         pool.close()
-    return RulModel(trees, ranges, {k: names[k] for k in subsets}, {k: list(sensors[k]) for k in subsets}, cap, window)
-
-
-def feat_names(sensors: list[str]) -> list[str]:
-    return S.feature_columns(list(sensors))
+    done = {k: v for k, v in fitted.items() if v is not None}
+    return RulModel(
+        {k: v[1] for k, v in done.items()},
+        {k: v[0] for k, v in done.items()},
+        {k: names[k] for k in done},
+        {k: list(sensors[k]) for k in done},
+        cap,
+        window,
+    )
 
 
 def importances(spark: SparkSession, model: RulModel, k: int = 5) -> DataFrame:

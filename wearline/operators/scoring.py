@@ -22,9 +22,21 @@ from wearline.operators import truth as tr
 from wearline.operators import validate as val
 
 
-def score(df: DataFrame, model, cap: int = S.RUL_CAP) -> DataFrame:
-    """Predicted remaining life, clipped and rounded to one decimal, with status."""
-    predicted = model.predict(df).withColumn("predicted_rul", F.round(C.clip_rul("prediction", cap), 1))
+def score(df: DataFrame, model, cap: int = S.RUL_CAP, features=None) -> DataFrame:
+    """Predicted remaining life, clipped and rounded to one decimal, with status.
+
+    ``features`` builds the feature rows from ``df``. A model with a part per
+    subset gets them built per subset, from rows filtered at the source: the
+    filter would not pass the Arrow step of the trailing features by itself.
+    """
+    build = features or (lambda rows: rows)
+    subsets = getattr(model, "subsets", None)
+    if subsets:
+        parts = [model.predict(build(df.filter(F.col("subset") == k)), k) for k in subsets]
+        predicted = reduce(DataFrame.unionByName, parts)
+    else:
+        predicted = model.predict(build(df))
+    predicted = predicted.withColumn("predicted_rul", F.round(C.clip_rul("prediction", cap), 1))
     return predicted.withColumn("health_status", C.health_status("predicted_rul"))
 
 
@@ -96,7 +108,7 @@ def score_history(
 ) -> DataFrame:
     """Score every row; the last sequence number of a dataset maps to ``as_of``
     and each step before it lies one hour back."""
-    scored = score(feat.rolling_features(df, keys, seq, sensors, window, position), model, cap)
+    scored = score(df, model, cap, lambda rows: feat.rolling_features(rows, keys, seq, sensors, window, position))
     last = series.checked_broadcast(df.groupBy(keys[0]).agg(F.max(seq).alias("_last")))
     return (
         scored.join(last, keys[0])
@@ -150,18 +162,20 @@ def report_head(errors: DataFrame, keys: list[str] = S.SERIES_KEYS, n: int = 20)
 
 def train(
     df: DataFrame, params: dict | None = None, keys: list[str] = S.SERIES_KEYS, seq: str = "cycle",
-    position: str | None = None, cap: int = S.RUL_CAP, window: int = S.WINDOW,
+    position: str | None = None, cap: int = S.RUL_CAP, window: int = S.WINDOW, subsets=S.SUBSETS,
 ):
-    """Label, build features and fit: the whole training path of all datasets.
+    """Label, build features and fit: the whole training path of the datasets.
 
     Ranges and trees read the feature rows several times over, so these are
     written out once where the session names a checkpoint folder.
     """
     from wearline.operators.model import fit_rul
 
-    labelled = feat.remaining_life(df, keys, seq, cap)
-    rows = store.materialised(feat.rolling_features(labelled, keys, seq, S.ALL_SENSORS, window, position))
-    return fit_rul(rows, "rul", params, cap=cap, window=window)
+    def rows(subset):
+        labelled = feat.remaining_life(df.filter(F.col("subset") == subset), keys, seq, cap)
+        return store.materialised(feat.rolling_features(labelled, keys, seq, S.ALL_SENSORS, window, position))
+
+    return fit_rul({k: rows(k) for k in subsets}, "rul", params, cap=cap, window=window)
 
 
 def evaluate(model, test: DataFrame, truth: DataFrame, keys: list[str] = S.SERIES_KEYS, seq: str = "cycle"):

@@ -21,6 +21,7 @@ SERIES_ROWS = 1_000_000  # a series of more rows is numbered in slices
 BLOCK_ROWS = 200_000  # length of the blocks for trailing frames
 BROADCAST_ROWS = 10_000  # a table of more rows is never hinted for broadcast
 SALTS = 16
+QUANTILES = 64  # first cut of a long series, refined by equal widths
 
 
 def slice_of(seq: str, rows: int | None = None) -> Column:
@@ -40,14 +41,27 @@ def long_series(df: DataFrame, keys: list[str], at: Column, limit: int):
     found = checked_broadcast(sizes)
     if found.isEmpty():
         return None
-    ranges = (
-        df.join(found, keys)
-        .groupBy(*keys)
-        .agg(F.first("_n").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    )
+    ranges = df.join(found, keys).groupBy(*keys).agg(F.first("_n").alias("_n"), _bounds(at))
     return checked_broadcast(ranges)
 
 
+def _bounds(at: Column) -> Column:
+    """Quantiles of the order column, from its least to its greatest value."""
+    return F.percentile_approx(at, [i / QUANTILES for i in range(QUANTILES + 1)], 1000).alias("_bounds")
+
+
+def _piece(at: Column, limit: int) -> Column:
+    """Slice of a row in its long series. Rises with ``at``: the quantile the
+    row falls into, then one of equally wide parts of that quantile, enough of
+    them to hold about half of ``limit`` rows each."""
+    inner = F.slice("_bounds", 2, QUANTILES - 1)
+    quantile = F.size(F.filter(inner, lambda b: b <= at))
+    parts = F.ceil(F.col("_n") / (QUANTILES * limit)) * 2
+    low, high = F.get("_bounds", quantile), F.get("_bounds", quantile + 1)
+    part = F.greatest(F.least(F.floor((at - low) * parts / (high - low + 1)), parts - 1), F.lit(0))
+    return F.coalesce(quantile * parts + part, F.lit(0)).cast("long")
+
+
 def few_rows(df: DataFrame, limit: int | None = None) -> DataFrame | None:
     """``df`` as a local table hinted for broadcast when it has at most
     ``limit`` rows, else None. At most ``limit + 1`` rows reach the driver."""
@@ -90,12 +104,9 @@ def number_rows(
         numbered = df.withColumn(out, F.row_number().over(whole.orderBy(*order)).cast("long"))
         return numbered.withColumn(total, F.count(F.lit(1)).over(whole)) if total else numbered
 
-    pieces = F.ceil(F.col("_n") / limit) * 2
-    raw = F.floor((at - F.col("_lo")) * pieces / (F.col("_hi") - F.col("_lo") + 1))
-    piece = F.coalesce(F.greatest(F.least(raw, pieces - 1), F.lit(0)), F.lit(0)).cast("long")
     on = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    sliced = src.join(long, on, "left").withColumn("_slice", F.when(F.col("_n").isNull(), 0).otherwise(piece))
+    sliced = src.join(long, on, "left").withColumn("_slice", F.when(F.col("_n").isNull(), 0).otherwise(_piece(at, limit)))
     ahead = Window.partitionBy(*on).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.filter(F.col("_n").isNotNull())
@@ -115,9 +126,11 @@ def number_rows(
 
 def _whole_table(df: DataFrame, at: Column, limit: int):
     """The table as one series, for numbering without keys."""
-    one = df.agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    found = one.filter(F.col("_n") > limit).withColumn("_all", F.lit(0)).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(found, "_n long, _lo double, _hi double, _all int")) if found else None
+    n = df.count()
+    if n <= limit:
+        return None
+    ranges = df.agg(F.lit(n).cast("long").alias("_n"), _bounds(at)).withColumn("_all", F.lit(0))
+    return F.broadcast(df.sparkSession.createDataFrame(ranges.collect(), "_n long, _bounds array<double>, _all int"))
 
 
 def trailing_blocks(df: DataFrame, position: str, reach: int, block_rows: int | None = None) -> DataFrame:
