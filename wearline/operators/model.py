@@ -69,7 +69,7 @@ def fit_rul(
     sensors: dict[int, list[str]] = S.SENSORS,
     cap: int = S.RUL_CAP,
     window: int = S.WINDOW,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> RulModel:
     """Fit one model per subset on its labelled feature rows.
 
@@ -88,8 +88,12 @@ def fit_rul(
         if found is None:
             return None
         ranges = {c: (found[f"{c}_min"], found[f"{c}_max"]) for c in cols}
-        data = _assemble(part, cols, ranges, "error").select("_features", "_label")
-        return ranges, GBTRegressor(featuresCol="_features", labelCol="_label", **settings).fit(data)
+        # The trainer makes some passes of its own before it caches its input.
+        data = _assemble(part, cols, ranges, "error").select("_features", "_label").persist()
+        try:
+            return ranges, GBTRegressor(featuresCol="_features", labelCol="_label", **settings).fit(data)
+        finally:
+            data.unpersist()
 
     subsets = sorted(rows)
     spark = rows[subsets[0]].sparkSession

@@ -79,7 +79,7 @@ def _(t: Tables):
 
 
 @query("batch_request_rows", "S6", """
-SELECT unit AS sender, (cycle - 1) // 20 AS chunk, CAST((cycle - 1) % 20 AS INTEGER) AS item, subset, unit AS engine_id, cycle, s2, s15, s21
+SELECT unit AS sender, (cycle - 1) // 20 AS chunk, CAST((cycle - 1) % 20 AS INTEGER) AS item, subset, CAST(unit AS INTEGER) AS engine_id, CAST(cycle AS INTEGER) AS cycle, s2, s15, s21
 FROM readings""")
 def _(t: Tables):
     rows = req.parse_requests(t.batch_requests, "batch")
@@ -87,7 +87,7 @@ def _(t: Tables):
 
 
 @query("sequence_request_rows", "S6", """
-SELECT subset, unit AS engine_id, chunk, unnest(cycles) AS cycle, unnest(vals) AS s2 FROM sequences""")
+SELECT subset, CAST(unit AS INTEGER) AS engine_id, chunk, CAST(unnest(cycles) AS INTEGER) AS cycle, unnest(vals) AS s2 FROM sequences""")
 def _(t: Tables):
     rows = req.explode_history(req.parse_requests(t.sequence_requests, "sequence"))
     return rows.select("subset", "engine_id", "chunk", "cycle", "s2")
@@ -292,7 +292,7 @@ def _(t: Tables):
 
 
 @query("sequence_verdicts", "V4", """
-SELECT subset, unit AS engine_id, chunk, len(cycles) AS n, coalesce(reason, 'ok') AS verdict FROM sequence_verdicts""")
+SELECT subset, CAST(unit AS INTEGER) AS engine_id, chunk, len(cycles) AS n, coalesce(reason, 'ok') AS verdict FROM sequence_verdicts""")
 def _(t: Tables):
     rows = req.parse_requests(t.sequence_requests, "sequence")
     reason = val.sequence_reason(F.transform("history", lambda r: r["cycle"]))
@@ -908,7 +908,7 @@ def _(t: Tables):
 
 
 @query("snapshot_scores", "M3 M6", """
-SELECT r.unit AS engine_id, r.subset, r.cycle, round(least(greatest(b.intercept + b.slope * (r.cycle + r.s2), 0), 125), 1) AS predicted_rul,
+SELECT CAST(r.unit AS INTEGER) AS engine_id, r.subset, CAST(r.cycle AS INTEGER) AS cycle, round(least(greatest(b.intercept + b.slope * (r.cycle + r.s2), 0), 125), 1) AS predicted_rul,
        CASE WHEN r.cycle < 30 THEN 'Single snapshot: trailing features are approximate' ELSE '' END AS note
 FROM readings r JOIN baseline b ON b.subset = r.subset""")
 def _(t: Tables):
@@ -917,7 +917,7 @@ def _(t: Tables):
 
 
 @query("sequence_scores", "M7 V4", """
-SELECT v.unit AS engine_id, v.subset, v.chunk, v.cycles[-1] AS cycle, len(v.cycles) AS n_history_cycles,
+SELECT CAST(v.unit AS INTEGER) AS engine_id, v.subset, v.chunk, CAST(v.cycles[-1] AS INTEGER) AS cycle, len(v.cycles) AS n_history_cycles,
        round(least(greatest(b.intercept + b.slope * (v.cycles[-1] + list_avg(v.vals[-30:])), 0), 125), 1) AS predicted_rul
 FROM sequence_verdicts v JOIN baseline b ON b.subset = v.subset WHERE v.reason IS NULL""")
 def _(t: Tables):
