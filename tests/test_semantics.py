@@ -121,7 +121,7 @@ def test_slices_stay_even_when_the_order_column_is_not(spark, monkeypatch):
     # One far outlier; the other rows crowd at the start of the range.
     df = spark.range(4000).select(F.lit(1).alias("k"), F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("o"))
     long = series.long_series(df, ["k"], F.col("o").cast("double"), 100)
-    sizes = df.join(long, "k").groupBy(series._piece(F.col("o").cast("double"), 100).alias("p")).count()
+    sizes = series._sliced(df.join(long, "k"), F.col("o").cast("double"), 100).groupBy("_slice").count()
     assert sizes.agg(F.max("count")).first()[0] <= 200
     got = series.number_rows(df, ["k"], ["o"], limit=100)
     assert got.filter("position <> CASE WHEN o < 4000 THEN o ELSE 4000 END").count() == 0

@@ -14,6 +14,9 @@ the series key alone once a series outgrows a task:
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ SERIES_ROWS = 1_000_000  # a series of more rows is numbered in slices
 BLOCK_ROWS = 200_000  # length of the blocks for trailing frames
 BROADCAST_ROWS = 10_000  # a table of more rows is never hinted for broadcast
 SALTS = 16
-QUANTILES = 64  # first cut of a long series, refined by equal widths
+QUANTILES = 32  # first cut of a long series, refined by equal widths
 
 
 def slice_of(seq: str, rows: int | None = None) -> Column:
@@ -50,16 +53,26 @@ def _bounds(at: Column) -> Column:
     return F.percentile_approx(at, [i / QUANTILES for i in range(QUANTILES + 1)], 1000).alias("_bounds")
 
 
-def _piece(at: Column, limit: int) -> Column:
-    """Slice of a row in its long series. Rises with ``at``: the quantile the
-    row falls into, then one of equally wide parts of that quantile, enough of
-    them to hold about half of ``limit`` rows each."""
-    inner = F.slice("_bounds", 2, QUANTILES - 1)
-    quantile = F.size(F.filter(inner, lambda b: b <= at))
+def _sliced(df: DataFrame, at: Column, limit: int) -> DataFrame:
+    """Add ``_slice`` to rows that carry ``_n`` and ``_bounds`` of their series
+    when it is long. The slice rises with ``at``: the quantile the row falls
+    into, then one of equally wide parts of that quantile, enough of them to
+    hold about half of ``limit`` rows each.
+
+    The steps are columns of their own, so that none is evaluated twice.
+    """
+    long = F.col("_n").isNotNull()
+    above = [F.when(F.get("_bounds", F.lit(i)) <= F.col("_at"), 1).otherwise(0) for i in range(1, QUANTILES)]
     parts = F.ceil(F.col("_n") / (QUANTILES * limit)) * 2
-    low, high = F.get("_bounds", quantile), F.get("_bounds", quantile + 1)
-    part = F.greatest(F.least(F.floor((at - low) * parts / (high - low + 1)), parts - 1), F.lit(0))
-    return F.coalesce(quantile * parts + part, F.lit(0)).cast("long")
+    low, high = F.get("_bounds", F.col("_quantile")), F.get("_bounds", F.col("_quantile") + 1)
+    width = F.floor((F.col("_at") - low) * parts / (high - low + 1))
+    piece = F.col("_quantile") * parts + F.greatest(F.least(width, parts - 1), F.lit(0))
+    return (
+        df.withColumn("_at", F.when(long, at))
+        .withColumn("_quantile", F.when(long, reduce(add, above)))
+        .withColumn("_slice", F.coalesce(piece, F.lit(0)).cast("long"))
+        .drop("_at", "_quantile", "_bounds")
+    )
 
 
 def few_rows(df: DataFrame, limit: int | None = None) -> DataFrame | None:
@@ -106,7 +119,7 @@ def number_rows(
 
     on = keys or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
-    sliced = src.join(long, on, "left").withColumn("_slice", F.when(F.col("_n").isNull(), 0).otherwise(_piece(at, limit)))
+    sliced = _sliced(src.join(long, on, "left"), at, limit)
     ahead = Window.partitionBy(*on).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.filter(F.col("_n").isNotNull())
