@@ -41,9 +41,11 @@ def long_series(df: DataFrame, keys: list[str], at: Column, limit: int):
     and a plain DataFrame to join by shuffle otherwise.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    found = checked_broadcast(sizes)
-    if found.isEmpty():
+    rows = sizes.limit(BROADCAST_ROWS + 1).collect()
+    if not rows:
         return None
+    few = len(rows) <= BROADCAST_ROWS
+    found = F.broadcast(df.sparkSession.createDataFrame(rows, sizes.schema)) if few else sizes
     ranges = df.join(found, keys).groupBy(*keys).agg(F.first("_n").alias("_n"), _bounds(at))
     return checked_broadcast(ranges)
 
