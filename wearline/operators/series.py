@@ -64,16 +64,16 @@ def _sliced(df: DataFrame, at: Column, limit: int) -> DataFrame:
     The steps are columns of their own, so that none is evaluated twice.
     """
     long = F.col("_n").isNotNull()
-    above = [F.when(F.get("_bounds", F.lit(i)) <= F.col("_at"), 1).otherwise(0) for i in range(1, QUANTILES)]
+    above = [F.when(F.get("_bounds", F.lit(i)) <= F.col("_slice_at"), 1).otherwise(0) for i in range(1, QUANTILES)]
     parts = F.ceil(F.col("_n") / (QUANTILES * limit)) * 2
-    low, high = F.get("_bounds", F.col("_quantile")), F.get("_bounds", F.col("_quantile") + 1)
-    width = F.floor((F.col("_at") - low) * parts / (high - low + 1))
-    piece = F.col("_quantile") * parts + F.greatest(F.least(width, parts - 1), F.lit(0))
+    low, high = F.get("_bounds", F.col("_slice_quantile")), F.get("_bounds", F.col("_slice_quantile") + 1)
+    width = F.floor((F.col("_slice_at") - low) * parts / (high - low + 1))
+    piece = F.col("_slice_quantile") * parts + F.greatest(F.least(width, parts - 1), F.lit(0))
     return (
-        df.withColumn("_at", F.when(long, at))
-        .withColumn("_quantile", F.when(long, reduce(add, above)))
+        df.withColumn("_slice_at", F.when(long, at))
+        .withColumn("_slice_quantile", F.when(long, reduce(add, above)))
         .withColumn("_slice", F.coalesce(piece, F.lit(0)).cast("long"))
-        .drop("_at", "_quantile", "_bounds")
+        .drop("_slice_at", "_slice_quantile", "_bounds")
     )
 
 
