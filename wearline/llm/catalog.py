@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op5_packing
+from .simhash import op6_simhash
 from .token_store import op1_token_store
 
 #: name -> (spark, folder of the scale) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
