@@ -6,16 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_langid
+from .mixing import op7_mixing
 from .packing import op5_packing
+from .postings import op10_postings
 from .simhash import op6_simhash
 from .token_store import op1_token_store
+from .topk import op2_topk
 
 #: name -> (spark, folder of the scale) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_topk": op2_topk,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_mixing": op7_mixing,
+    "op9_langid": op9_langid,
+    "op10_postings": op10_postings,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (
+                PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}
