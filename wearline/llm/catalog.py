@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op9_langid
 from .mixing import op7_mixing
 from .packing import op5_packing
+from .personal import op8_personal
 from .postings import op10_postings
 from .simhash import op6_simhash
 from .token_store import op1_token_store
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
+    "op8_personal": op8_personal,
     "op9_langid": op9_langid,
     "op10_postings": op10_postings,
 }
