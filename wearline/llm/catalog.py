@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cotraining import op4_cotraining
 from .langid import op9_langid
 from .mixing import op7_mixing
 from .packing import op5_packing
@@ -19,6 +20,7 @@ from .topk import op2_topk
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_topk": op2_topk,
+    "op4_cotraining": op4_cotraining,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_mixing": op7_mixing,
