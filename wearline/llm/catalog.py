@@ -13,6 +13,7 @@ from .packing import op5_packing
 from .personal import op8_personal
 from .postings import op10_postings
 from .simhash import op6_simhash
+from .suffixes import op3_suffixes
 from .token_store import op1_token_store
 from .topk import op2_topk
 
@@ -20,6 +21,7 @@ from .topk import op2_topk
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_topk": op2_topk,
+    "op3_suffixes": op3_suffixes,
     "op4_cotraining": op4_cotraining,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
