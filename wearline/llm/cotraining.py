@@ -41,7 +41,7 @@ from . import common as C
 #: Bounds of the samples, words of the text view and documents that must hold one.
 LABELLED, POOL = 20_000, 10_000
 WORDS, SUPPORT = 1500, 5
-ROUNDS = 3
+ROUNDS = 2
 #: A view is confident of scores this near to 0 or 1, and passes on at most that share of the pool.
 CONFIDENT, SHARE = 0.02, 0.1
 #: Share of the good documents of the calibration fold that the threshold keeps.
@@ -185,7 +185,7 @@ def telling_words(rows: DataFrame, words: int, support: int) -> list[str]:
 
 def regression(rows: DataFrame, features: str, strength: float = 0.002):
     return LogisticRegression(
-        featuresCol=features, labelCol="good", regParam=strength, maxIter=60, standardization=False
+        featuresCol=features, labelCol="good", regParam=strength, maxIter=25, tol=1e-4
     ).fit(rows)
 
 
@@ -214,7 +214,7 @@ def fit(
     meta = CountVectorizerModel.from_vocabulary(names, inputCol="meta", outputCol="meta_x", binary=True)
     both = VectorAssembler(inputCols=["word_x", "style_x"], outputCol="text_x")
     shaped = meta.transform(vector.transform(rows.withColumn("style_x", array_to_vector("style"))))
-    shaped = stage.keep(both.transform(shaped).select("key", "good", "fold", "text_x", "meta_x").coalesce(8), "shaped")
+    shaped = stage.keep(both.transform(shaped).select("key", "good", "fold", "text_x", "meta_x").coalesce(4), "shaped")
     first = shaped.filter("good IS NOT NULL AND fold = 'fit'").select("key", "text_x", "meta_x", "good")
     others = shaped.filter("good IS NULL")
     prior = first.agg(F.avg("good")).first()[0]

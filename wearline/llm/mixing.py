@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -49,7 +50,8 @@ def measure(docs: DataFrame, key: str, text: str, source: str, seed: int, carry:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, weights = [], []
-            for text in batch["text"].to_pylist():
+            texts = batch["row"].field(carry.index(text_name)) if carried else batch["text"]
+            for text in texts.to_pylist():
                 words = (text or "").encode().split()  # ASCII white space alone
                 sizes.append(len(words))
                 weights.append(quality_weight(len(set(words)), len(words)))
@@ -64,18 +66,21 @@ def measure(docs: DataFrame, key: str, text: str, source: str, seed: int, carry:
                 names.append("row")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    # The text goes to Python once: in the row that is carried, or by itself.
+    text_name, carried = text, text in carry
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     named = docs.select(
         F.col(key).cast("long").alias("key"),
-        F.col(text).alias("text"),
+        *([] if carried else [F.col(text).alias("text")]),
         F.col(source).cast("string").alias("source"),
         F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("hash"),
         *row,
     )
-    schema = "key long, source string, size long, at double, digits long"
+    kinds = {"key": T.LongType(), "source": T.StringType(), "size": T.LongType()}
+    kinds |= {"at": T.DoubleType(), "digits": T.LongType()}
     if carry:
-        schema += f", row {named.schema['row'].dataType.simpleString()}"
-    return named.mapInArrow(run, schema)
+        kinds["row"] = named.schema["row"].dataType
+    return named.mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
