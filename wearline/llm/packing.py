@@ -163,8 +163,8 @@ def tokenise(docs: DataFrame, tokenizer: str, key: str, text: str, end_id: int)
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 ids = [x + end for x in enc.encode(part[1].to_pylist())]
                 n = [len(x) // enc.dtype.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays(

@@ -350,9 +350,9 @@ def write_token_store(
 
         for batch in batches:
             names = batch[0].to_pylist()
-            for at in range(0, len(names), 512):
-                texts = batch[1].slice(at, 512).to_pylist()
-                for k, one in zip(names[at : at + 512], enc.encode(texts), strict=True):
+            for at in range(0, len(names), 2048):
+                texts = batch[1].slice(at, 2048).to_pylist()
+                for k, one in zip(names[at : at + 2048], enc.encode(texts), strict=True):
                     keys.append(k)
                     ids.append(one + end)
                     size += len(one) // enc.dtype.itemsize + 1

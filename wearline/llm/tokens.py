@@ -10,6 +10,7 @@ Python and of the tokenizer differ are encoded whole.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Sequence
@@ -20,11 +21,11 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 #: Characters that only one of the two definitions of white space holds.
 UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
 #: Distinct chunks that a worker keeps; further ones are encoded each time.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 #: Chunks longer than this are not kept.
 CACHE_CHARS = 64
 #: Characters cut into chunks at a time; bounds the memory of a worker at any text length.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 22
 SAFE_CUT = re.compile(r"\S(?=\s)")
 
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -92,31 +93,24 @@ class Encoder:
     def _encode_group(self, texts: Sequence[str | None]) -> list[bytes]:
         known = self.known
         cut = [None if t is None or self.whole.search(t) else CHUNK.findall(t) for t in texts]
-        missing = set().union(*[c for c in cut if c]).difference(known)
-        extra: list[str] = []
+        found = [None if chunks is None else list(map(known.get, chunks)) for chunks in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if f else [] for f in found]
+        missing = {chunks[i] for chunks, at in zip(cut, gaps, strict=True) for i in at}
         if missing:
             # A chunk of white space alone ends a text; in the middle of one it would lend
             # its last character to the next word. First chunks may start without any.
             spaced = [c for c in missing if c[0].isspace() and not c[-1].isspace()]
-            loose = missing.difference(spaced)
-            room = CACHE_CHUNKS - len(known)
-            if spaced:
-                known.update(self._together(spaced))
-            known.update((c, self._encode(c)) for c in loose)
-            extra = [c for c in missing if len(c) > CACHE_CHARS]
-            if len(missing) - len(extra) > room:
-                extra += [c for c in missing if len(c) <= CACHE_CHARS][max(0, room) :]
-        out = []
-        for text, chunks in zip(texts, cut, strict=True):
-            if text is None:
-                out.append(b"")
-            elif chunks is None:
-                out.append(self._encode(text))
-            else:
-                out.append(b"".join(map(known.__getitem__, chunks)))
-        for c in extra:
-            del known[c]
-        return out
+            extra = self._together(spaced) if spaced else {}
+            extra |= {c: self._encode(c) for c in missing.difference(spaced)}
+            for ids, chunks, at in zip(found, cut, gaps, strict=True):
+                for i in at:
+                    ids[i] = extra[chunks[i]]
+            short = {c: ids for c, ids in extra.items() if len(c) <= CACHE_CHARS}
+            known.update(itertools.islice(short.items(), max(0, CACHE_CHUNKS - len(known))))
+        return [
+            b"" if text is None else self._encode(text) if ids is None else b"".join(ids)
+            for text, ids in zip(texts, found, strict=True)
+        ]
 
 
 def encoder(file: str) -> Encoder:
