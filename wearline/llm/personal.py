@@ -304,10 +304,11 @@ def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = find_personal(docs)
     base = F.transform("spans", lambda s: F.struct(kind_name(s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    counts = [
-        F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}")
-        for n, kind in enumerate(KINDS)
-    ]
+
+    def count(number: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long")
+
+    counts = [count(n).alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
     return found.select(
         F.col("key").alias("doc_id"),
         *counts,
