@@ -31,9 +31,11 @@ from .vectors import finite_vectors, matrix, sample
 
 K = 5
 #: Vectors of a list and of its chunks, most lists, and rows of the sample.
-LIST, CHUNK, LISTS, SAMPLE = 256, 512, 16_384, 20_000
+LIST, CHUNK, LISTS, SAMPLE = 512, 1024, 16_384, 20_000
 #: Links of a centroid, and lists a boundary vector may be in.
 DEGREE, COPIES, BOUNDARY = 24, 3, 1.02
+#: Lists that every query searches.
+LEAST = 4
 #: Sample queries that set the ratio, and the share of their neighbours it has to find.
 TRIALS, RECALL = 200, 0.97
 
@@ -121,12 +123,14 @@ class Graph:
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(far, order, axis=1)
 
     def within(self, queries: np.ndarray, ratio: float) -> list[np.ndarray]:
-        """For each query the centroids found at most `ratio` times as far as the nearest."""
+        """For each query the centroids found at most `ratio` times as far as the nearest, and
+        the `LEAST` nearest in any case."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(queries)
         live, width = np.arange(len(queries)), 32
         while len(live):
             ids, far = self.beam(queries[live], width)
-            inside = far <= far[:, :1] * ratio + 1e-12
+            inside = far <= np.maximum(far[:, :1], 1e-12) * ratio
+            inside[:, :LEAST] = True
             full = inside.all(axis=1) & (ids.shape[1] < len(self.centroids))
             for q, i, ok in zip(live[~full].tolist(), ids[~full], inside[~full], strict=True):
                 out[q] = i[ok]
@@ -136,7 +140,7 @@ class Graph:
     def lists(self, rows: np.ndarray) -> list[np.ndarray]:
         """The lists of each vector: the nearest and, near a boundary, the next ones."""
         ids, far = self.beam(rows, 4 * COPIES)
-        ok = far <= far[:, :1] * BOUNDARY + 1e-12
+        ok = far <= np.maximum(far[:, :1], 1e-12) * BOUNDARY
         return [i[o][:COPIES] for i, o in zip(ids, ok, strict=True)]
 
 
@@ -215,9 +219,13 @@ def search(
                 for q, vec in zip(asked, matrix(asked_raw, wide), strict=True):
                     # Sums along rows: equal rows get equal scores wherever they stand.
                     near = (own * vec).sum(axis=1) / (length * np.sqrt((vec * vec).sum()))
-                    near[ids == q] = -np.inf
-                    top = np.lexsort((ids, -near))[:k]
-                    out += [(q, int(ids[i]), float(near[i])) for i in top if near[i] > -np.inf]
+                    seen: set[int] = {q}
+                    for i in np.lexsort((ids, -near)).tolist():
+                        if names[i] not in seen:  # a repeated id is one candidate, its nearest
+                            seen.add(names[i])
+                            out.append((q, names[i], float(near[i])))
+                            if len(seen) > k:
+                                break
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)],

@@ -98,6 +98,17 @@ def blocks_of(vectors: DataFrame, n: int, block: int, part: int) -> DataFrame:
     return ranged.mapInArrow(cut, "block long, ids binary, vecs binary, high binary, low binary")
 
 
+NINES = str.maketrans("0123456789", "9876543210")
+
+
+def order_key(score: int) -> str:
+    """A string that sorts as whole numbers of any size do."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):04d}{digits}"
+    return f"0{9999 - len(digits):04d}{digits.translate(NINES)}"
+
+
 class Best:
     """The k best (score, id) of each query so far; `floor` is what a score must reach."""
 
@@ -164,7 +175,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BL
     blocks = stage.keep(blocks_of(candidates, n, block, part), "blocks")
     queries = stage.keep(queries.distinct(), "queries")
     chunks = C.pieces(queries.count(), chunk)
-    best = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_id", "query").orderBy(F.col("order").desc(), "vec_id")
 
     def one_pass(name: str, sent, rounds: int | None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,18 +185,18 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BL
                 return
             found = search_blocks(held, np.array(names), matrix(raw), list(floors), k, rounds)
             rows = [
-                (names[q], q, i, max(-LONG - 1, min(LONG, -s)), str(-s))
+                (names[q], q, i, max(-LONG - 1, min(LONG, -s)), str(-s), order_key(-s))
                 for q, own in enumerate(found.rows) for s, i in own
             ]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                names=["query_id", "query", "vec_id", "score", "exact"],
+                names=["query_id", "query", "vec_id", "score", "exact", "order"],
             )
 
         found = blocks.select("ids", "vecs", "high", "low").mapInArrow(
-            run, "query_id long, query long, vec_id long, score long, exact string"
+            run, "query_id long, query long, vec_id long, score long, exact string, order string"
         )
         ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         return stage.keep(ranked, name)
