@@ -5,7 +5,7 @@ characters, repetition, lengths. The metadata view sees source, language and len
 view has a logistic regression of its own. In each round both score a pool of documents without
 labels, and what one view is confident of becomes training data of the other. A fold of the
 labelled rows that neither is trained on calibrates both, combines them and sets the threshold,
-so that the share `KEEP` of its good documents is kept. The combined score covers all documents.
+within bounds, so that the share `KEEP` of its good documents is kept. The combined score covers all documents.
 
 Fitting uses bounded samples, by hashes of the keys: at most about `LABELLED` labelled rows and
 `POOL` others; words come from the labelled ones. Scoring is one pass over the table, without a
@@ -44,8 +44,9 @@ WORDS, SUPPORT = 1500, 5
 ROUNDS = 2
 #: A view is confident of scores this near to 0 or 1, and passes on at most that share of the pool.
 CONFIDENT, SHARE = 0.02, 0.1
-#: Share of the good documents of the calibration fold that the threshold keeps.
-KEEP = 0.997
+#: Share of the good documents of the calibration fold that the threshold keeps, and the range of
+#: calibrated scores it may lie in; a small fold alone cannot move it further.
+KEEP, LOWEST, HIGHEST = 0.997, 0.1, 0.5
 #: Hashed values of source and language.
 SOURCES, LANGS = 256, 64
 SIZES = 16
@@ -183,16 +184,40 @@ def telling_words(rows: DataFrame, words: int, support: int) -> list[str]:
 # --- fitting -------------------------------------------------------------------------
 
 
-def regression(rows: DataFrame, features: str, strength: float = 0.002):
+def regression(rows: DataFrame, features: str, strength: float = 0.02):
     return LogisticRegression(
         featuresCol=features, labelCol="good", regParam=strength, maxIter=25, tol=1e-4
     ).fit(rows)
 
 
-def confident(view, pool: DataFrame, features: str, most: int, prior: float) -> DataFrame:
-    """Pseudo-labels: the pool's rows that a view is surest of, in the proportion of the labels."""
-    p = vector_to_array("probability")[1]
-    scored = view.transform(pool.select("key", "text_x", "meta_x")).select("key", "text_x", "meta_x", p.alias("p"))
+def newton(x: np.ndarray, good: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights and, last, bias of a logistic regression on a few columns of a bounded fold."""
+    wide = np.column_stack([x, np.ones(len(x))])
+    at = np.zeros(wide.shape[1])
+    ridge = 1e-3 * np.eye(len(at))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(wide @ at, -30, 30)))
+        slope = wide.T @ (good - p) - ridge @ at
+        step = np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + ridge, slope)
+        at += step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
+    return at
+
+
+def odds_of(view, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, log odds, labels) of a bounded fold, by key."""
+    found = view.transform(rows).select("key", vector_to_array("rawPrediction")[1].alias("odds"), "good").collect()
+    found = np.array(sorted((r["key"], r["odds"], r["good"]) for r in found))
+    return tuple(found.T)
+
+
+def confident(
+    view, calibration: np.ndarray, pool: DataFrame, most: int, prior: float
+) -> DataFrame:
+    """Pseudo-labels: the pool's rows that a view, calibrated, is surest of, in the proportion of
+    the labels."""
+    margin = vector_to_array("rawPrediction")[1] * float(calibration[0]) + float(calibration[1])
+    scored = view.transform(pool.select("key", "text_x", "meta_x"))
+    scored = scored.select("key", "text_x", "meta_x", (1 / (1 + F.exp(-margin))).alias("p"))
     good = scored.filter(F.col("p") >= 1 - CONFIDENT).orderBy(F.col("p").desc(), "key").limit(max(1, int(most * prior)))
     bad = scored.filter(F.col("p") <= CONFIDENT).orderBy("p", "key").limit(max(1, int(most * (1 - prior))))
     return good.withColumn("good", F.lit(1.0)).unionByName(bad.withColumn("good", F.lit(0.0))).drop("p")
@@ -219,13 +244,19 @@ def fit(
     others = shaped.filter("good IS NULL")
     prior = first.agg(F.avg("good")).first()[0]
     most = int(others.count() * SHARE)
+    fold = shaped.filter("good IS NOT NULL AND fold = 'calibrate'").select("key", "text_x", "meta_x", "good")
     train = {"text_x": first, "meta_x": first}
-    views, passed = {}, 0
+    passed = 0
     for turn in range(rounds + 1):
         views = {x: regression(train[x], x) for x in train}
+        odds = {x: odds_of(view, fold) for x, view in views.items()}
+        calibration = {x: newton(o, good) for x, (_, o, good) in odds.items()}
         if turn == rounds:
             break
-        told = {x: stage.keep(confident(views[x], others, x, most, prior), f"round-{turn}-{x}") for x in views}
+        told = {
+            x: stage.keep(confident(views[x], calibration[x], others, most, prior), f"round-{turn}-{x}")
+            for x in views
+        }
         for x, other in (("text_x", "meta_x"), ("meta_x", "text_x")):
             train[x] = train[x].unionByName(told[other].select(*first.columns))
         taken = told["text_x"].select("key").union(told["meta_x"].select("key")).distinct()
@@ -241,25 +272,15 @@ def fit(
         bias=(weights["text_x"][1], weights["meta_x"][1]),
         pseudo_labels=passed,
     )
-    # Both views on the fold that neither has seen: log odds, then calibrated, then combined.
-    fold = shaped.filter("good IS NOT NULL AND fold = 'calibrate'")
-    for x, view in views.items():
-        raw = vector_to_array("rawPrediction")[1].alias(f"{x}_odds")
-        fold = view.transform(fold).select("*", raw).drop("rawPrediction", "probability", "prediction")
-    fold = stage.keep(fold.select("good", "text_x_odds", "meta_x_odds"), "fold")
-    calibration = []
-    for x in ("text_x", "meta_x"):
-        one = regression(fold.withColumn("x", array_to_vector(F.array(f"{x}_odds"))), "x", 1e-4)
-        a, b = float(one.coefficients[0]), float(one.intercept)
-        calibration.append((a, b))
-        fold = fold.withColumn(x, F.col(f"{x}_odds") * a + b)
-    pair = fold.withColumn("x", array_to_vector(F.array("text_x", "meta_x")))
-    one = regression(pair, "x", 1e-4)
-    model.calibration = tuple(calibration)
-    model.combination = (float(one.coefficients[0]), float(one.coefficients[1]), float(one.intercept))
-    p = vector_to_array("probability")[1].alias("p")
-    good = sorted(r["p"] for r in one.transform(pair).filter("good = 1").select(p).collect())  # a bounded fold
-    model.threshold = min(0.5, good[int((1 - keep) * len(good))])
+    # Both views on the fold that neither was trained on: calibrated, then combined.
+    good = odds["text_x"][2]
+    x = np.column_stack([odds[v][1] * calibration[v][0] + calibration[v][1] for v in ("text_x", "meta_x")])
+    combination = newton(x, good)
+    model.calibration = tuple(tuple(map(float, calibration[v])) for v in ("text_x", "meta_x"))
+    model.combination = tuple(map(float, combination))
+    margins = np.sort((x @ combination[:2] + combination[2])[good == 1])
+    score = sigmoid(float(margins[int((1 - keep) * len(margins))]))
+    model.threshold = min(HIGHEST, max(LOWEST, score))
     return model
 
 
