@@ -74,9 +74,36 @@ def test_missing_values_are_scored_too(log, model):
 
 def test_life_stage_scores(log, model):
     got = scoring.score_life_stages(log, model, cap=40).orderBy("subset", "unit").collect()
-    assert [r["snapshot_pct"] for r in got] == [20, 30, 42, 52, 80] * 2
+    assert [r["snapshot_pct"] for r in got] == [20, 32, 44, 56, 68, 80] * 2
     assert all(r["snapshot_cycle"] == max(1, round(r["snapshot_pct"] / 100 * 60)) for r in got)
 
 
+def test_fit_takes_missing_and_infinite_values(spark, log):
+    holed = log.withColumns(
+        {
+            "s3": F.when(F.col("unit") != 2, F.col("s3")),
+            "s4": F.when(F.col("cycle") % 7 != 0, F.col("s4")),
+            "s9": F.lit(None).cast("double"),
+        }
+    )
+    fitted = scoring.train(holed, {"maxIter": 2}, position="cycle", cap=20, window=5)
+    scored = scoring.score_latest(holed, fitted)
+    assert scored.filter("predicted_rul IS NULL OR predicted_rul > 20").isEmpty() and scored.count() == 12
+
+
+def test_limit_and_window_come_from_the_model(log, model):
+    assert scoring.cap_of(model) == model.cap and scoring.window_of(model) == model.window
+    assert scoring.cap_of(model, 7) == 7 and scoring.cap_of(object()) == S.RUL_CAP
+    history = scoring.score_history(log, model, "2024-01-01 00:00:00", position="cycle")
+    assert history.agg(F.max("predicted_rul")).first()[0] <= model.cap
+
+
+def test_rows_without_a_model_are_rejects(log, model):
+    more = log.unionByName(log.limit(3).withColumn("subset", F.lit(4)))
+    rejects = scoring.unscored(more, model)
+    assert [r["reason"] for r in rejects.collect()] == ["no model for this subset"] * 3
+    assert scoring.unscored(log, model).isEmpty()
+
+
 def test_default_settings():
     assert S.GBT_PARAMS["maxIter"] == 1000 and S.GBT_PARAMS["maxDepth"] == 4 and S.GBT_PARAMS["stepSize"] == 0.02

@@ -283,7 +283,8 @@ def test_life_stages(spark):
         cuts = ent.life_stage_cuts(df, KEYS, "cycle", given)
         return [round(r["life_fraction"], 4) for r in cuts.orderBy("unit").collect()]
 
-    assert fractions(7) == [0.2, 0.3, 0.42, 0.52, 0.8]
+    assert fractions(5) == [0.2, 0.3, 0.42, 0.52, 0.8]
+    assert fractions(7) == [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
     assert fractions(1) == [0.4]
     assert fractions(3) == [0.2, 0.5, 0.8]
     assert fractions(7, [0.5, 1.0]) == [0.5, 1.0]
@@ -380,8 +381,13 @@ def test_first_truth_wins_and_unknown_ids_are_reported(spark):
 def test_positions_must_match_in_number(spark):
     pred = spark.createDataFrame([(1, 4), (1, 9), (2, 1)], "subset int, unit int")
     truth = spark.createDataFrame([(1, 1, 10.0), (1, 2, 20.0), (3, 1, 5.0)], "subset int, unit_rank long, true_rul double")
-    got = {(r["unit"], r["true_rul"]) for r in tr.attach_truth_by_rank(pred, truth, KEYS).collect()}
-    assert got == {(4, 10.0), (9, 20.0)}
+    matched, rejects = tr.attach_truth_by_rank(pred, truth, KEYS)
+    assert {(r["unit"], r["true_rul"]) for r in matched.collect()} == {(4, 10.0), (9, 20.0)}
+    left = {(r["subset"], r["unit_rank"], r["unit"], r["true_rul"], r["reason"]) for r in rejects.collect()}
+    assert left == {
+        (2, 1, 1, None, "no truth at this position"),
+        (3, 1, None, 5.0, "no entity at this position"),
+    }
     assert rows_of(tr.truth_counts(pred, truth, "subset"), "subset") == [(1, 2, 2, True), (2, 1, 0, False), (3, 0, 1, False)]
 
 
@@ -485,3 +491,32 @@ def test_history_times_step_back_by_the_hour(spark):
     now = datetime.datetime(2024, 1, 1, 12)
     got = scoring.score_history(df, Constant(1.0), now, ["s2"])
     assert {r["cycle"]: r["predicted_at"].hour for r in got.collect()} == {1: 8, 2: 9, 5: 12}
+
+
+def test_penalty_sums_have_no_largest_value(spark):
+    df = spark.createDataFrame([(125.0, 1200.0), (125.0, 2000.0)], "predicted_rul double, true_rul double")
+    value = tr.error_columns(df).agg(C.decimal_round(acc.penalty_sum(), 1).alias("x")).first()["x"]
+    assert value == pytest.approx(math.exp(1075 / 13) + math.exp(1875 / 13))
+
+
+@pytest.mark.parametrize("limit", [10_000, 20])
+def test_missing_order_values_come_first_at_any_size(spark, limit):
+    values = [None if i % 50 == 7 else float("nan") if i % 50 == 8 else float(i * 37 % 200) for i in range(200)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "k int, i int, at double")
+    got = {r["i"]: r["position"] for r in series.number_rows(df, ["k"], ["at", "i"], limit=limit).collect()}
+    order = sorted(
+        range(200),
+        key=lambda i: (0, 0, i) if values[i] is None else (2, 0, i) if math.isnan(values[i]) else (1, values[i], i),
+    )
+    assert got == {i: n + 1 for n, i in enumerate(order)}
+
+
+def test_an_infinite_value_stays_with_its_series(spark):
+    cols = ["s2", "s3", "s4", "s7"]
+    rows = [(u, c, *([float("inf") if u == 1 and c > 30 else float(c + u)] * 4)) for u in (1, 2) for c in range(1, 41)]
+    df = spark.createDataFrame(rows, "unit int, cycle int, " + ", ".join(f"{c} double" for c in cols))
+    many = feat.rolling_features(df, ["unit"], "cycle", cols, position="cycle")
+    one = feat.rolling_features(df, ["unit"], "cycle", ["s2"], position="cycle")
+    pick = lambda d: sorted((r["unit"], r["cycle"], repr(r["s2_rm"]), repr(round(r["s2_rs"], 9))) for r in d.collect())
+    assert pick(many) == pick(one)
+    assert all("nan" not in r[2] + r[3] for r in pick(many) if r[0] == 2)

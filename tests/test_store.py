@@ -149,6 +149,25 @@ def test_batch_write_can_be_repeated(spark, tmp_path):
     ]
 
 
+def test_stored_log_reads_back_with_ids_and_rejects(spark, tmp_path):
+    from wearline.operators import fleet
+
+    tables = str(tmp_path)
+    rows = spark.createDataFrame(
+        [(1, 11, 5, 1.0, 9.5, 5, "2023-05-01 10:00:00"), (1, 11, 6, 2.0, 8.5, 6, None), (9, 12, 5, 2.0, 80.0, 5, None)],
+        "subset int, unit_number long, cycle int, s2 double, predicted_rul double, n_history_cycles int, recorded_at string",
+    ).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
+    for batch in (0, 0, 1):
+        store.write_batch(spark, tables, rows, registry(spark), batch, f"2024-01-0{batch + 1} 00:00:00")
+    log = spark.read.parquet(f"{tables}/predictions")
+    assert log.select("prediction_id").distinct().count() == log.count() == 4
+    assert fleet.latest_state(log).count() == 1
+    times = {str(r["recorded_at"]) for r in spark.read.parquet(f"{tables}/sensor_readings").collect()}
+    assert times == {"2023-05-01 10:00:00", "2024-01-02 00:00:00"}
+    rejects = spark.read.parquet(f"{tables}/rejects")
+    assert [(r["unit_number"], r["reason"]) for r in rejects.collect()] == [(12, "no active model")] * 2
+
+
 def test_append_predictions_by_subset(spark, tmp_path):
     path = str(tmp_path / "p")
     for _ in range(2):

@@ -120,3 +120,41 @@ def test_truth_join_takes_the_first_submission(spark, feed, tmp_path):
     got = table_of(windows.stream_truth_join(pred, stream, "2 days"), tmp_path, "j")
     assert got.count() == 134
     assert {r["true_rul"] for r in got.select("true_rul").distinct().collect()} == {1.0}
+
+
+def test_repeated_and_late_rows_are_rejects(spark, tmp_path):
+    folder = f"{tmp_path}/run"
+    handle = carry.alert_batch(folder, ["engine_id"], "cycle")
+    schema = "engine_id int, cycle int, health_status string"
+    handle(spark.createDataFrame([(1, 1, "HEALTHY"), (1, 2, "WARNING"), (1, 2, "CRITICAL")], schema), 0)
+    handle(spark.createDataFrame([(1, 2, "HEALTHY"), (1, 3, "HEALTHY")], schema), 1)
+    rejects = spark.read.parquet(f"{folder}/rejects")
+    got = sorted((r["batch_id"], r["cycle"], r["health_status"], r["reason"]) for r in rejects.collect())
+    assert got == [(0, 2, "WARNING", "repeated"), (1, 2, "HEALTHY", "out of order")]
+    alerts = spark.read.parquet(f"{folder}/alerts").orderBy("cycle").collect()
+    assert [(r["cycle"], r["previous"], r["health_status"]) for r in alerts] == [
+        (2, "HEALTHY", "CRITICAL"), (3, "CRITICAL", "HEALTHY"),
+    ]
+
+
+def test_a_missing_version_fails(spark, tmp_path):
+    handle = carry.latest_batch(f"{tmp_path}/run", ["engine_id"], ["cycle"])
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        handle(spark.createDataFrame([(1, 1)], "engine_id int, cycle int"), 3)
+
+
+def test_a_second_truth_days_later_is_dropped(spark, tmp_path):
+    t = "timestamp_ntz"
+    pred = spark.createDataFrame([(1, 5.0, "2024-01-01 00:00:00"), (2, 6.0, "2024-01-09 00:00:00")], "prediction_id int, predicted_rul double, at string")
+    pred = pred.select("prediction_id", "predicted_rul", F.col("at").cast(t).alias("predicted_at"))
+    times = ["2024-01-02 00:00:00", "2024-01-08 00:00:00", "2024-01-10 00:00:00"]
+    for i, (key, value) in enumerate([(1, 1.0), (1, 9.0), (2, 2.0)]):
+        one = spark.createDataFrame([(key, value, times[i])], "prediction_id int, true_rul double, at string")
+        one.select("prediction_id", "true_rul", F.col("at").cast(t).alias("submitted_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/truth")
+    pred.coalesce(1).write.parquet(f"{tmp_path}/pred")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    joined = windows.stream_truth_join(
+        read("pred", pred.schema), read("truth", "prediction_id int, true_rul double, submitted_at timestamp_ntz")
+    )
+    got = table_of(joined.select("prediction_id", "true_rul"), tmp_path, "second")
+    assert sorted(map(tuple, got.collect())) == [(1, 1.0), (2, 2.0)]

@@ -61,8 +61,12 @@ def subset_of_label(label: str) -> int:
 
 
 def decimal_round(value: ColumnOrName, places: int) -> Column:
-    """Round half away from zero on a decimal, as SQL NUMERIC does, and return a double."""
-    return F.round(_col(value).cast("decimal(38,6)"), places).cast("double")
+    """Round half away from zero on a decimal, as SQL NUMERIC does, and return a double.
+
+    A value that no decimal holds is returned as it is: it has no such digits to round.
+    """
+    value = _col(value)
+    return F.coalesce(F.round(value.try_cast("decimal(38,6)"), places).cast("double"), value.cast("double"))
 
 
 def truncate_time(unit: str, ts: ColumnOrName) -> Column:

@@ -96,15 +96,16 @@ def sample_entities(df: DataFrame, key: list[str], n: int, seed: int = 0) -> Dat
 def life_fraction(rank: Column, n: Column, fractions: list[float] | None = None) -> Column:
     """Share of its life at which the ``rank``-th of ``n`` series is cut.
 
-    By default five fixed shares from five series on, one fixed share for a
-    single series, and even steps between. NULL beyond the list.
+    By default five fixed shares for five series, one fixed share for a single
+    series, and even steps over the same span for any other number. A list given
+    as ``fractions`` is taken as it is; NULL beyond it.
     """
     if fractions is not None:
         return F.get(F.array(*[F.lit(float(f)) for f in fractions]), rank.cast("int") - 1)
     stages = F.get(F.array(*[F.lit(f) for f in S.LIFE_STAGES]), rank.cast("int") - 1)
     step = F.lit(S.LIFE_STAGE_SPAN) / F.greatest(n - 1, F.lit(1))
     return (
-        F.when(n >= len(S.LIFE_STAGES), stages)
+        F.when(n == len(S.LIFE_STAGES), stages)
         .when(n == 1, F.lit(S.SINGLE_LIFE_STAGE))
         .otherwise(F.lit(S.LIFE_STAGES[0]) + step * (rank - 1))
     )
@@ -115,17 +116,17 @@ def life_stage_cuts(
 ) -> DataFrame:
     """Per chosen series: its fraction, last sequence number and cut.
 
-    ``keys`` is [group, entity]; series rank by entity within the group. Only
-    as many series as there are fractions take part, as the list runs out. The
-    cut rounds half to even and is at least 1.
+    ``keys`` is [group, entity]; series rank by entity within the group, and all
+    take part. With a list of ``fractions`` those beyond its end do not, as the
+    list names a share for each. The cut rounds half to even and is at least 1.
     """
     group, entity = keys
-    wanted = len(S.LIFE_STAGES) if fractions is None else len(fractions)
     life = df.groupBy(*keys).agg(F.max(seq).alias("max_cycle"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(entity))
-    first = life.withColumn("_rank", rank).filter(F.col("_rank") <= wanted)
-    # Counting the kept rows is enough: beyond the list the total no longer matters.
-    ranked = first.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    if fractions is None:
+        ranked = series.number_rows(life, [group], [entity], out="_rank", total="_n")
+    else:
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(entity))
+        ranked = life.withColumn("_rank", rank).filter(F.col("_rank") <= len(fractions)).withColumn("_n", F.lit(0))
     pct = life_fraction(F.col("_rank"), F.col("_n"), fractions)
     cut = F.greatest(F.lit(1), F.bround(pct * F.col("max_cycle"))).cast("long")
     return ranked.select(*keys, pct.alias("life_fraction"), "max_cycle", cut.alias("cut_cycle")).filter(

@@ -41,25 +41,33 @@ class RulModel:
     def predict(self, df: DataFrame, subset: int | None = None) -> DataFrame:
         """Rows with column ``prediction``; each subset is scored by its own trees.
 
-        Rows of a subset without a model are left out, as they cannot be scored.
-        Pass ``subset`` when all rows belong to it.
+        Rows of a subset without a model cannot be scored; ``scoring.unscored``
+        gives them with the reason. Pass ``subset`` when all rows belong to it.
         """
         if subset is None:
             return reduce(
                 DataFrame.unionByName, [self.predict(df.filter(F.col("subset") == k), k) for k in self.subsets]
             )
-        assembled = _assemble(df, self.features[subset], self.ranges[subset], "keep")
+        assembled = _assemble(df, self.features[subset], self.ranges[subset])
         return self.trees[subset].transform(assembled).drop("_features")
 
 
-def _assemble(df: DataFrame, names: list[str], ranges: dict, invalid: str) -> DataFrame:
-    scaled = [
-        C.min_max_scaled(C.finite(F.col(c).cast("double")), F.lit(ranges[c][0]), F.lit(ranges[c][1])).alias(f"_x{i}")
-        for i, c in enumerate(names)
-    ]
+#: What trees see for a missing value, in fitting and in scoring: a number below every scaled one.
+MISSING = -1.0
+
+
+def _assemble(df: DataFrame, names: list[str], ranges: dict) -> DataFrame:
+    def scaled_column(c: str):
+        low, high = ranges[c]
+        if low is None:  # no row of the training data had a value
+            return F.lit(MISSING)
+        value = C.min_max_scaled(C.finite(F.col(c).cast("double")), F.lit(low), F.lit(high))
+        return F.coalesce(value, F.lit(MISSING))
+
+    scaled = [scaled_column(c).alias(f"_x{i}") for i, c in enumerate(names)]
     inputs = [f"_x{i}" for i in range(len(names))]
     wide = df.select("*", *scaled)
-    return VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid=invalid).transform(wide).drop(*inputs)
+    return VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep").transform(wide).drop(*inputs)
 
 
 def fit_rul(
@@ -89,7 +97,7 @@ def fit_rul(
             return None
         ranges = {c: (found[f"{c}_min"], found[f"{c}_max"]) for c in cols}
         # The trainer makes some passes of its own before it caches its input.
-        data = _assemble(part, cols, ranges, "error").select("_features", "_label").persist()
+        data = _assemble(part, cols, ranges).select("_features", "_label").persist()
         try:
             return ranges, GBTRegressor(featuresCol="_features", labelCol="_label", **settings).fit(data)
         finally:

@@ -41,12 +41,13 @@ def trailing_moments(cols: list[str], window: int, age: str, halo: str) -> Calla
             for j in range(window):
                 part = slice(back - j, back - j + n)
                 count += known[part] & reach[j]
-                total += filled[part] * reach[j]
+                total += np.where(reach[j], filled[part], 0.0)
             mean = np.divide(total, count, out=np.zeros(values.shape), where=count > 0)
             squares = np.zeros(values.shape)
             for j in range(window):
                 part = slice(back - j, back - j + n)
-                off = (filled[part] - mean) * (known[part] & reach[j])
+                with np.errstate(invalid="ignore"):  # infinity less infinity, in its own frames
+                    off = np.where(known[part] & reach[j], filled[part] - mean, 0.0)
                 off *= off
                 squares += off
             deviation = np.sqrt(squares / np.maximum(count - 1, 1))

@@ -22,9 +22,29 @@ from wearline.operators import truth as tr
 from wearline.operators import validate as val
 
 
-def score(df: DataFrame, model, cap: int = S.RUL_CAP, features=None) -> DataFrame:
+def cap_of(model, cap: float | None = None) -> float:
+    """The given limit, else the one the model was trained with, else the usual one."""
+    return cap if cap is not None else getattr(model, "cap", S.RUL_CAP)
+
+
+def window_of(model, window: int | None = None) -> int:
+    """The given window, else the one the model was trained with, else the usual one."""
+    return window if window is not None else getattr(model, "window", S.WINDOW)
+
+
+def unscored(df: DataFrame, model, by: str = "subset") -> DataFrame:
+    """The rows that ``score`` leaves out, as rejects: no part of the model is for them."""
+    subsets = getattr(model, "subsets", None)
+    known = F.coalesce(F.col(by).isin(list(subsets)), F.lit(False)) if subsets else F.lit(True)
+    return df.filter(~known).withColumn("reason", F.lit("no model for this subset"))
+
+
+def score(df: DataFrame, model, cap: float | None = None, features=None) -> DataFrame:
     """Predicted remaining life, clipped and rounded to one decimal, with status.
 
+    The limit is the model's own unless one is given. A missing prediction has
+    no status; rows no model is for are those of ``unscored``.
+
     ``features`` builds the feature rows from ``df``. A model with a part per
     subset gets them built per subset, from rows filtered at the source: the
     filter would not pass the Arrow step of the trailing features by itself.
@@ -36,14 +56,16 @@ def score(df: DataFrame, model, cap: int = S.RUL_CAP, features=None) -> DataFram
         predicted = reduce(DataFrame.unionByName, parts)
     else:
         predicted = model.predict(build(df))
-    predicted = predicted.withColumn("predicted_rul", F.round(C.clip_rul("prediction", cap), 1))
-    return predicted.withColumn("health_status", C.health_status("predicted_rul"))
+    limit = cap_of(model, cap)
+    predicted = predicted.withColumn("predicted_rul", F.round(C.clip_rul("prediction", limit), 1))
+    status = F.when(F.col("predicted_rul").isNotNull(), C.health_status("predicted_rul"))
+    return predicted.withColumn("health_status", status)
 
 
-def score_snapshots(df: DataFrame, model, sensors: list[str] = S.ALL_SENSORS, cap: int = S.RUL_CAP, window: int = S.WINDOW) -> DataFrame:
+def score_snapshots(df: DataFrame, model, sensors: list[str] = S.ALL_SENSORS, cap: float | None = None, window: int | None = None) -> DataFrame:
     """Score lone rows, with the note that trailing features are approximate."""
     scored = score(feat.snapshot_features(df, sensors), model, cap)
-    return scored.withColumn("n_history_cycles", F.lit(1)).withColumn("note", C.short_history_note("cycle", window))
+    return scored.withColumn("n_history_cycles", F.lit(1)).withColumn("note", C.short_history_note("cycle", window_of(model, window)))
 
 
 def sequence_features(df: DataFrame, sensors: list[str] = S.ALL_SENSORS, window: int = S.WINDOW) -> DataFrame:
@@ -94,21 +116,21 @@ def check_sequences(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull())
 
 
-def score_sequences(df: DataFrame, model, cap: int = S.RUL_CAP, window: int = S.WINDOW) -> tuple[DataFrame, DataFrame]:
+def score_sequences(df: DataFrame, model, cap: float | None = None, window: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(scored requests, rejected requests with their reason)."""
     valid, rejects = check_sequences(df)
-    scored = score(sequence_features(valid, window=window), model, cap)
+    scored = score(sequence_features(valid, window=window_of(model, window)), model, cap)
     note = F.concat(F.lit("Computed from "), F.col("n_history_cycles").cast("string"), F.lit(" historical cycles."))
     return scored.withColumn("note", note), rejects
 
 
 def score_history(
     df: DataFrame, model, as_of, sensors: list[str] = S.ALL_SENSORS, keys: list[str] = S.SERIES_KEYS,
-    seq: str = "cycle", position: str | None = None, cap: int = S.RUL_CAP, window: int = S.WINDOW,
+    seq: str = "cycle", position: str | None = None, cap: float | None = None, window: int | None = None,
 ) -> DataFrame:
     """Score every row; the last sequence number of a dataset maps to ``as_of``
     and each step before it lies one hour back."""
-    scored = score(df, model, cap, lambda rows: feat.rolling_features(rows, keys, seq, sensors, window, position))
+    scored = score(df, model, cap, lambda rows: feat.rolling_features(rows, keys, seq, sensors, window_of(model, window), position))
     last = series.checked_broadcast(df.groupBy(keys[0]).agg(F.max(seq).alias("_last")))
     return (
         scored.join(last, keys[0])
@@ -120,12 +142,12 @@ def score_history(
 
 def score_life_stages(
     df: DataFrame, model, fractions: list[float] | None = None, sensors: list[str] = S.ALL_SENSORS,
-    keys: list[str] = S.SERIES_KEYS, seq: str = "cycle", cap: int = S.RUL_CAP, window: int = S.WINDOW,
+    keys: list[str] = S.SERIES_KEYS, seq: str = "cycle", cap: float | None = None, window: int | None = None,
 ) -> DataFrame:
     """Score chosen series as of a share of their life."""
     cuts = entities.life_stage_cuts(df, keys, seq, fractions)
     upto = entities.rows_up_to_cut(df.select(*keys, seq, *sensors), cuts, keys, seq)
-    scored = score(feat.latest_features(upto, keys, seq, sensors, window), model, cap)
+    scored = score(feat.latest_features(upto, keys, seq, sensors, window_of(model, window)), model, cap)
     return scored.join(series.checked_broadcast(cuts), keys).select(
         *keys,
         F.round(F.col("life_fraction") * 100).cast("long").alias("snapshot_pct"),
@@ -138,21 +160,23 @@ def score_life_stages(
 
 def score_latest(
     df: DataFrame, model, sensors: list[str] = S.ALL_SENSORS, keys: list[str] = S.SERIES_KEYS,
-    seq: str = "cycle", cap: int = S.RUL_CAP, window: int = S.WINDOW,
+    seq: str = "cycle", cap: float | None = None, window: int | None = None,
 ) -> DataFrame:
     """Score each series as of its last row."""
-    return score(feat.latest_features(df, keys, seq, sensors, window), model, cap)
+    return score(feat.latest_features(df, keys, seq, sensors, window_of(model, window)), model, cap)
 
 
 def replay(
     df: DataFrame, truth: DataFrame, model, sensors: list[str] = S.ALL_SENSORS, keys: list[str] = S.SERIES_KEYS,
-    seq: str = "cycle", cap: int = S.RUL_CAP, window: int = S.WINDOW,
-) -> tuple[DataFrame, DataFrame]:
-    """(error rows, report per dataset): score a test set, attach its
-    positional truth and evaluate."""
+    seq: str = "cycle", cap: float | None = None, window: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(error rows, report per dataset, rejects): score a test set, attach its
+    positional truth and evaluate. Engines without a truth and truths without an
+    engine are rejects, so that figures on a part are never taken for the whole."""
     scored = score_latest(df, model, sensors, keys, seq, cap, window).select(*keys, seq, "predicted_rul", "health_status")
-    errors = tr.error_columns(tr.attach_truth_by_rank(scored, truth, keys))
-    return errors, acc.accuracy(errors, [keys[0]])
+    matched, rejects = tr.attach_truth_by_rank(scored, truth, keys)
+    errors = tr.error_columns(matched)
+    return errors, acc.accuracy(errors, [keys[0]]), rejects
 
 
 def report_head(errors: DataFrame, keys: list[str] = S.SERIES_KEYS, n: int = 20) -> DataFrame:
@@ -167,7 +191,7 @@ def train(
     """Label, build features and fit: the whole training path of the datasets.
 
     Ranges and trees read the feature rows several times over, so these are
-    written out once where the session names a checkpoint folder.
+    written out once to the shared folder.
     """
     from wearline.operators.model import fit_rul
 
@@ -180,7 +204,7 @@ def train(
 
 def evaluate(model, test: DataFrame, truth: DataFrame, keys: list[str] = S.SERIES_KEYS, seq: str = "cycle"):
     """The model with its hold-out metrics filled in (one row per dataset)."""
-    _, report = replay(test, truth, model, keys=keys, seq=seq, cap=model.cap, window=model.window)
+    _, report, _ = replay(test, truth, model, keys=keys, seq=seq, cap=model.cap, window=model.window)
     model.metrics = {
         r[keys[0]]: {"RMSE": r["rmse"], "MAE": r["mae"], "R2": r["r2"], "NASA_Score": r["nasa_score"]}
         for r in report.filter(F.col(keys[0]).isin(list(S.SUBSETS))).collect()

@@ -52,7 +52,8 @@ def long_series(df: DataFrame, keys: list[str], at: Column, limit: int):
 
 def _bounds(at: Column) -> Column:
     """Quantiles of the order column, from its least to its greatest value."""
-    return F.percentile_approx(at, [i / QUANTILES for i in range(QUANTILES + 1)], 1000).alias("_bounds")
+    known = F.when(~F.isnan(at), at)
+    return F.percentile_approx(known, [i / QUANTILES for i in range(QUANTILES + 1)], 1000).alias("_bounds")
 
 
 def _sliced(df: DataFrame, at: Column, limit: int) -> DataFrame:
@@ -61,7 +62,9 @@ def _sliced(df: DataFrame, at: Column, limit: int) -> DataFrame:
     into, then one of equally wide parts of that quantile, enough of them to
     hold about half of ``limit`` rows each.
 
-    The steps are columns of their own, so that none is evaluated twice.
+    A missing order value comes first and NaN last, as in the order of a window;
+    each is a slice of its own. The steps are columns of their own, so that none
+    is evaluated twice.
     """
     long = F.col("_n").isNotNull()
     above = [F.when(F.get("_bounds", F.lit(i)) <= F.col("_slice_at"), 1).otherwise(0) for i in range(1, QUANTILES)]
@@ -69,6 +72,11 @@ def _sliced(df: DataFrame, at: Column, limit: int) -> DataFrame:
     low, high = F.get("_bounds", F.col("_slice_quantile")), F.get("_bounds", F.col("_slice_quantile") + 1)
     width = F.floor((F.col("_slice_at") - low) * parts / (high - low + 1))
     piece = F.col("_slice_quantile") * parts + F.greatest(F.least(width, parts - 1), F.lit(0))
+    piece = (
+        F.when(F.col("_slice_at").isNull() & long, F.lit(-1))
+        .when(F.isnan("_slice_at"), F.lit(QUANTILES) * parts)
+        .otherwise(piece)
+    )
     return (
         df.withColumn("_slice_at", F.when(long, at))
         .withColumn("_slice_quantile", F.when(long, reduce(add, above)))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wearline import schema as S
 from wearline.functions import columns as C
 from wearline.operators import entities as ent
 from wearline.operators import series
@@ -102,10 +103,12 @@ def prediction_rows(
     """Scored rows in the shape of the prediction log.
 
     A ``predicted_at`` already present (back-dated history) is kept; the rest
-    is stamped ``as_of``.
+    is stamped ``as_of``. The id follows from request, engine and cycle, so a
+    repeated write gives the same ids.
     """
     has_time = "predicted_at" in scored.columns
     return scored.select(
+        prediction_id(F.lit(request_id), "engine_id", "cycle").alias("prediction_id"),
         F.lit(request_id).alias("request_id"),
         "subset",
         "engine_id",
@@ -121,6 +124,12 @@ def prediction_rows(
     )
 
 
+def prediction_id(*parts) -> Column:
+    """A repeatable id below 2^60 of the parts that make a prediction unique."""
+    digest = F.md5(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p for p in parts]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def append_predictions(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("subset").parquet(path)
 
@@ -130,33 +139,27 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder for written intermediates.
-
-    Taken from ``spark.checkpoint.dir``; ``fallback`` serves sessions that name
-    none, such as tests.
-    """
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for written intermediates: ``spark.checkpoint.dir``, or
+    a folder below the warehouse where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if fallback is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = fallback
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed, if the session names a checkpoint folder."""
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df
+    """``df`` checkpointed to the shared folder."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def merge_into(
     spark: SparkSession, path: str, rows: DataFrame, keys: list[str], version: list[str],
-    by: str = "subset", fallback: str | None = None,
+    by: str = "subset",
 ) -> None:
     """Upsert into a parquet table partitioned by ``by``.
 
@@ -164,7 +167,7 @@ def merge_into(
     rows are checkpointed first: the table must not be read while its files are
     replaced, and a lost executor must not reread replaced files.
     """
-    checkpoint_folder(spark, fallback)
+    checkpoint_folder(spark)
     target = None
     if table_exists(spark, path):
         touched = series.checked_broadcast(rows.select(by).distinct())
@@ -176,10 +179,10 @@ def merge_into(
 
 
 def append_first(
-    spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str], fallback: str | None = None
+    spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str]
 ) -> None:
     """Append the rows whose key the table lacks, the earliest per key."""
-    checkpoint_folder(spark, fallback)
+    checkpoint_folder(spark)
     target = spark.read.parquet(path) if table_exists(spark, path) else None
     insert_first(target, rows, keys, order).checkpoint().write.mode("append").parquet(path)
 
@@ -193,16 +196,17 @@ def seed_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], f
 
 
 def write_batch(spark: SparkSession, tables: str, rows: DataFrame, registry: DataFrame, batch_id: int, as_of,
-                endpoint: str = "/predict/batch", cap: int = 125, fallback: str | None = None) -> None:
+                endpoint: str = "/predict/batch", cap: int = S.RUL_CAP) -> None:
     """Store one micro-batch: engines, readings and predictions.
 
     ``rows`` holds scored readings (subset, unit_number, cycle, sensors,
     predicted_rul, n_history_cycles). Safe to repeat: engines are created only
-    once, readings are upserted, and the predictions of a batch live in their
-    own partition, which a retry overwrites. Each table is written by itself;
+    once, readings are upserted, and the predictions and rejects of a batch live
+    in partitions of their own, which a retry overwrites. Readings keep their own
+    ``recorded_at`` and get ``as_of`` where they have none. Each table is written by itself;
     there is no transaction across them.
     """
-    checkpoint_folder(spark, fallback)
+    checkpoint_folder(spark)
     keys = ["unit_number", "subset"]
     engines_path = f"{tables}/engines"
     dim = (
@@ -214,10 +218,12 @@ def write_batch(spark: SparkSession, tables: str, rows: DataFrame, registry: Dat
     created, _ = get_or_create(dim, rows, keys, "engine_id", at=F.col("unit_number"))
     created.checkpoint().write.mode("append").parquet(engines_path)
     engines = spark.read.parquet(engines_path)
-    stored, _ = with_active_model(rows.join(engines, keys), registry)
+    stored, rejects = with_active_model(rows.join(engines, keys), registry)
+    rejects.write.mode("overwrite").parquet(f"{tables}/rejects/batch_id={batch_id}")
+    at = F.coalesce("recorded_at", C.time_literal(as_of)) if "recorded_at" in rows.columns else C.time_literal(as_of)
     readings = stored.drop("model_id", "predicted_rul", "prediction", "n_history_cycles", "unit_number").withColumn(
-        "recorded_at", C.time_literal(as_of)
+        "recorded_at", at
     ).withColumn("_batch", F.lit(batch_id))
-    merge_into(spark, f"{tables}/sensor_readings", readings, ["subset", "engine_id", "cycle"], ["_batch"], "subset", fallback)
+    merge_into(spark, f"{tables}/sensor_readings", readings, ["subset", "engine_id", "cycle"], ["_batch"], "subset")
     log = prediction_rows(stored, endpoint, f"batch-{batch_id}", as_of, cap)
     log.write.mode("overwrite").parquet(f"{tables}/predictions/batch_id={batch_id}")

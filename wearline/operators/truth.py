@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wearline import schema as S
 from wearline.functions import columns as C
-from wearline.operators import entities
+from wearline.operators import series, store
 
 
 def attach_truth(pred: DataFrame, truth: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -15,15 +15,28 @@ def attach_truth(pred: DataFrame, truth: DataFrame, on: list[str]) -> tuple[Data
     return pred.join(truth, on), truth.join(pred.select(*on), on, "left_anti")
 
 
-def attach_truth_by_rank(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+def attach_truth_by_rank(pred: DataFrame, truth: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Positional truth: the i-th value of a group belongs to its i-th entity.
 
-    ``truth`` holds the group column, ``unit_rank`` and ``true_rul``.
+    ``pred`` has one row per entity, ``truth`` the group column, ``unit_rank``
+    and ``true_rul``. Returns (predictions with their truth, rejects): entities
+    without a truth and truths without an entity. Numbering looks at its input
+    before the query runs, so the predictions are written once where the session
+    names a folder.
     """
     group, entity = keys
-    ranks = entities.rank_entities(pred, keys)
-    keyed = ranks.join(truth, [group, "unit_rank"])
-    return pred.join(keyed, keys)
+    on = [group, "unit_rank"]
+    ranked = series.number_rows(store.materialised(pred), [group], [entity], out="unit_rank")
+    lone = ranked.join(truth, on, "left_anti").select(
+        *on, entity, F.lit(None).cast("double").alias("true_rul"), F.lit("no truth at this position").alias("reason")
+    )
+    surplus = truth.join(ranked, on, "left_anti").select(
+        *on,
+        F.lit(None).cast(pred.schema[entity].dataType).alias(entity),
+        F.col("true_rul").cast("double").alias("true_rul"),
+        F.lit("no entity at this position").alias("reason"),
+    )
+    return ranked.join(truth, on), lone.unionByName(surplus)
 
 
 def truth_counts(pred: DataFrame, truth: DataFrame, group: str) -> DataFrame:

@@ -21,7 +21,7 @@ from wearline.operators import series
 from wearline.operators import store
 from wearline.operators import truth as tr
 from wearline.operators import validate as val
-from wearline.plans.fixtures import BASELINE_CAP, Tables
+from wearline.plans.fixtures import Tables
 from wearline.sources import requests as req
 from wearline.sources import text
 
@@ -119,7 +119,8 @@ def _(t: Tables):
 
 
 @query("prediction_log_rows", "K1 J8 F11", """
-SELECT s.subset, s.unit AS engine_id, m.model_id, s.cycle, s.cycle AS n_history_cycles, s.predicted_rul,
+SELECT CAST('0x' || substr(md5('run-1|' || s.unit || '|' || s.cycle), 1, 15) AS BIGINT) AS prediction_id,
+       s.subset, s.unit AS engine_id, m.model_id, s.cycle, s.cycle AS n_history_cycles, s.predicted_rul,
        CASE WHEN s.predicted_rul <= 10 THEN 'CRITICAL' WHEN s.predicted_rul <= 30 THEN 'WARNING' ELSE 'HEALTHY' END AS health_status,
        125 AS rul_cap, '/predict/batch' AS endpoint, 'run-1' AS request_id, 0.0::DOUBLE AS latency_ms, (SELECT ts FROM as_of) AS predicted_at
 FROM scored_last s
@@ -343,7 +344,7 @@ SELECT s.subset, s.unit, r.unit_rank, t.true_rul, s.predicted_rul FROM scored_la
 JOIN ranks r ON r.subset = s.subset AND r.unit = s.unit JOIN truth_by_rank t ON t.subset = r.subset AND t.unit_rank = r.unit_rank""")
 def _(t: Tables):
     scored = scoring.score_latest(t.readings.select(*KEYS, "cycle", "s2"), t.baseline, ["s2"])
-    out = tr.attach_truth_by_rank(scored.select(*KEYS, "predicted_rul"), t.truth_by_rank, KEYS)
+    out, _rejects = tr.attach_truth_by_rank(scored.select(*KEYS, "predicted_rul"), t.truth_by_rank, KEYS)
     return out.select(*KEYS, "unit_rank", "true_rul", "predicted_rul")
 
 
@@ -529,7 +530,7 @@ SELECT subset, count(*) AS n_evaluated, round(sqrt(avg(error * error)), 4) AS rm
 FROM replayed GROUP BY subset""")
 def _(t: Tables):
     rows = t.readings.select(*KEYS, "cycle", "s2")
-    _errors, report = scoring.replay(rows, t.truth_by_rank, t.baseline, ["s2"])
+    _errors, report, _rejects = scoring.replay(rows, t.truth_by_rank, t.baseline, ["s2"])
     return rounded(report, 4, "rmse", "mae", "r2").select("subset", "n_evaluated", "rmse", "mae", "r2", "late", "early")
 
 
@@ -722,11 +723,11 @@ def _(t: Tables):
 
 @query("rolling_on_gapped_rows", "W1 W2", """
 SELECT subset, unit, cycle, round(avg(s7) OVER w, 6) AS s7_rm, round(coalesce(stddev_samp(s7) OVER w, 0), 6) AS s7_rs
-FROM (SELECT * FROM readings WHERE event_id % 3 <> 1) r
+FROM (SELECT subset, unit, cycle * 3 + event_id % 3 AS cycle, s7 FROM readings) r
 WINDOW w AS (PARTITION BY subset, unit ORDER BY cycle ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def _(t: Tables):
-    # Every third row is lost, so cycles are no positions and rows are numbered first.
-    rows = t.readings.filter("event_id % 3 <> 1").select(*KEYS, "cycle", "s7")
+    # Cycles are stretched unevenly, so they are no positions and rows are numbered first.
+    rows = t.readings.select(*KEYS, (F.col("cycle") * 3 + F.col("event_id") % 3).alias("cycle"), "s7")
     out = feat.rolling_features(rows, KEYS, "cycle", ["s7"])
     return rounded(out, 6, "s7_rm", "s7_rs").select(*KEYS, "cycle", "s7_rm", "s7_rs")
 
@@ -808,7 +809,7 @@ FROM replayed ORDER BY subset, unit LIMIT 20""")
 def _(t: Tables):
     rows = t.readings.select(*KEYS, "cycle", "s2")
     scored = scoring.score_latest(rows, t.baseline, ["s2"])
-    errors = tr.error_columns(tr.attach_truth_by_rank(scored, t.truth_by_rank, KEYS), round_first=True)
+    errors = tr.error_columns(tr.attach_truth_by_rank(scored, t.truth_by_rank, KEYS)[0], round_first=True)
     head = scoring.report_head(errors, n=20)
     return rounded(head, 1, "error").select(*KEYS, "predicted_rul", "true_rul", "error", "band")
 
@@ -952,7 +953,7 @@ SELECT subset, unit, predicted_rul, true_rul, round(error, 4) AS error,
        CASE WHEN error > 10 THEN 'LATE' WHEN error < -10 THEN 'EARLY' ELSE 'OK' END AS band FROM replayed""")
 def _(t: Tables):
     rows = t.readings.select(*KEYS, "cycle", "s2")
-    errors, _report = scoring.replay(rows, t.truth_by_rank, t.baseline, ["s2"])
+    errors, _report, _rejects = scoring.replay(rows, t.truth_by_rank, t.baseline, ["s2"])
     out = errors.select(*KEYS, "predicted_rul", "true_rul", "error", "nasa_penalty", "band")
     return rounded(rounded(out, 4, "error"), 2, "nasa_penalty")
 
@@ -973,9 +974,9 @@ def _(t: Tables):
     return tr.rounded_errors(t.errors)
 
 
-def fit_trees(t: Tables, trees: int = 3):
-    """The product model with few trees, fitted on all rows."""
-    return scoring.train(t.readings, {"maxIter": trees}, position="cycle", cap=BASELINE_CAP)
+def fit_trees(t: Tables, trees: int = 20):
+    """The product model with fewer trees, fitted on all rows under the product's limit."""
+    return scoring.train(t.readings, {"maxIter": trees}, position="cycle")
 
 
 @query("tree_importances", "M2 M4 A28 T6")

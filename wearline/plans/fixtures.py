@@ -19,7 +19,6 @@ MODULI = {"s4": 97, "s7": 89, "s8": 83, "s9": 79, "s11": 73, "s12": 71, "s13": 6
           "s17": 53, "s20": 47, "s21": 43}
 ENDPOINTS = ["/predict", "/predict/batch", "/predict/sequence"]
 BASELINE_CAP = 60
-LONGEST_LIFE = 145
 REQUEST_ROWS = 40
 BATCH_ROWS = 20
 
@@ -105,10 +104,13 @@ class Tables:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        r = self.readings.filter(F.col("cycle") * 5 <= F.col("n_rows") * (1 + (F.col("unit") - 1) % 5))
-        # Bounded, so that penalties stay comparable however long a series is.
-        true = F.least(F.col("n_rows") - F.col("cycle"), F.lit(LONGEST_LIFE))
-        raw = (true + F.col("event_id") % 41 - 20).cast("double")
+        # Every reading is a prediction. The stage of life differs by unit, and the truth is the
+        # prediction less a small error, so that penalties stay comparable at any length of life.
+        r = self.readings
+        error = F.col("event_id") % 41 - 20
+        life = F.col("n_rows") - F.col("cycle") + (F.col("unit") - 1) % 5 * 25
+        predicted = F.least(F.greatest(life + error, F.lit(0)), F.lit(S.RUL_CAP))
+        true = F.greatest(predicted - error, F.lit(0))
         pick = (F.col("event_id") % 3).cast("int")
         return r.select(
             F.col("event_id").alias("prediction_id"),
@@ -118,7 +120,7 @@ class Tables:
             "cycle",
             F.col("cycle").alias("n_history_cycles"),
             true.alias("true_life"),
-            C.clip_rul(raw).alias("predicted_rul"),
+            predicted.cast("double").alias("predicted_rul"),
             F.lit(S.RUL_CAP).alias("rul_cap"),
             F.get(F.array(*[F.lit(e) for e in ENDPOINTS]), pick).alias("endpoint"),
             F.col("s2").alias("latency_ms"),
@@ -188,11 +190,6 @@ class Tables:
             }
         )
 
-    @cached_property
-    def labelled(self) -> DataFrame:
-        rows = feat.remaining_life(self.readings, S.SERIES_KEYS, "cycle", BASELINE_CAP)
-        return feat.rolling_features(rows, S.SERIES_KEYS, "cycle", S.ALL_SENSORS, position="cycle")
-
     @cached_property
     def baseline(self) -> Baseline:
         rows = feat.remaining_life(
@@ -276,12 +273,13 @@ CTES = {
   SELECT *, CASE WHEN predicted_rul <= 10 THEN 'CRITICAL' WHEN predicted_rul <= 30 THEN 'WARNING' ELSE 'HEALTHY' END
          AS health_status
   FROM (SELECT event_id AS prediction_id, 'r' || (event_id % 1000) AS request_id, engine_id, subset AS model_id, cycle,
-               cycle AS n_history_cycles, least(n_rows - cycle, 145) AS true_life,
-               CAST(least(greatest(least(n_rows - cycle, 145) + event_id % 41 - 20, 0), 125) AS DOUBLE) AS predicted_rul,
+               cycle AS n_history_cycles, CAST(greatest(predicted - (event_id % 41 - 20), 0) AS BIGINT) AS true_life,
+               CAST(predicted AS DOUBLE) AS predicted_rul,
                125 AS rul_cap,
                CASE event_id % 3 WHEN 0 THEN '/predict' WHEN 1 THEN '/predict/batch' ELSE '/predict/sequence' END AS endpoint,
                s2 AS latency_ms, recorded_at AS predicted_at
-        FROM readings WHERE cycle * 5 <= n_rows * (1 + (unit - 1) % 5)) q""",
+        FROM (SELECT *, least(greatest(n_rows - cycle + (unit - 1) % 5 * 25 + event_id % 41 - 20, 0), 125) AS predicted
+              FROM readings) r) q""",
     "truths": """
   SELECT prediction_id, CAST(true_life AS DOUBLE) AS true_rul, predicted_at AS submitted_at FROM predictions WHERE prediction_id % 3 <> 0
   UNION ALL
@@ -327,11 +325,11 @@ CTES = {
     "life_cuts": """
   SELECT subset, unit, life_fraction, max_cycle, greatest(1, CAST(round_even(life_fraction * max_cycle, 0) AS BIGINT)) AS cut_cycle
   FROM (SELECT subset, unit, max_cycle,
-               CASE WHEN n >= 5 THEN [0.20, 0.30, 0.42, 0.52, 0.80][r]::DOUBLE WHEN n = 1 THEN 0.40::DOUBLE
+               CASE WHEN n = 5 THEN [0.20, 0.30, 0.42, 0.52, 0.80][r]::DOUBLE WHEN n = 1 THEN 0.40::DOUBLE
                     ELSE 0.20::DOUBLE + 0.60::DOUBLE / (n - 1) * (r - 1) END AS life_fraction
         FROM (SELECT subset, unit, max(cycle) AS max_cycle, row_number() OVER (PARTITION BY subset ORDER BY unit) AS r,
                      count(*) OVER (PARTITION BY subset) AS n
-              FROM readings GROUP BY subset, unit) q WHERE r <= 5) q2""",
+              FROM readings GROUP BY subset, unit) q) q2""",
     "truth_by_rank": """
   SELECT subset, row_number() OVER (PARTITION BY subset ORDER BY unit_number) AS unit_rank, CAST(unit_number * 7 % 150 AS DOUBLE) AS true_rul
   FROM engines""",

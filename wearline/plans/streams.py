@@ -3,7 +3,6 @@ its end, results written to the shared folder and read back."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +19,7 @@ from wearline.streaming import carry, windows
 
 def run_folder(spark: SparkSession) -> str:
     """A folder of its own for one run, below the shared folder."""
-    local = spark.sparkContext.master.startswith("local")
-    base = store.checkpoint_folder(spark, tempfile.mkdtemp(prefix="wearline-") if local else None)
-    return f"{base}/wearline/{uuid.uuid4().hex}"
+    return f"{store.checkpoint_folder(spark)}/wearline/{uuid.uuid4().hex}"
 
 
 def event_stream(t: Tables, late_hours: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ repeated batch gives the same result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wearline import schema as S
@@ -20,7 +20,6 @@ from wearline.operators import entities as ent
 from wearline.operators import features as feat
 from wearline.operators import fleet
 from wearline.operators import series
-from wearline.operators.store import table_exists
 
 
 def _version(folder: str, batch_id: int) -> str:
@@ -28,10 +27,11 @@ def _version(folder: str, batch_id: int) -> str:
 
 
 def _carried(spark: SparkSession, folder: str, batch_id: int, schema) -> DataFrame:
-    path = _version(folder, batch_id - 1)
-    if batch_id > 0 and table_exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    """What batch ``batch_id - 1`` carried; reading fails if it is not there, as
+    going on from nothing would restart every series."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_version(folder, batch_id - 1))
 
 
 def _carry(spark: SparkSession, folder: str, batch_id: int, rows: DataFrame) -> None:
@@ -46,17 +46,20 @@ def _emit(rows: DataFrame, path: str, batch_id: int) -> None:
 
 def in_order(batch: DataFrame, carried: DataFrame, keys: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
     """(new rows, rejects): a row must lie beyond what its series already has,
-    and one row per sequence number is taken."""
+    and one row per sequence number is taken, always the same one of several."""
     seen = carried.groupBy(*keys).agg(F.max(seq).alias("_seen"))
     joined = series.salted_join(batch, seen, keys, [seq], "left")
     fresh = F.col("_seen").isNull() | (F.col(seq) > F.col("_seen"))
-    one = joined.filter(fresh).drop("_seen").dropDuplicates([*keys, seq])
+    same = Window.partitionBy(*keys, seq).orderBy(*[F.col(c) for c in batch.columns if c not in (*keys, seq)])
+    ranked = joined.filter(fresh).drop("_seen").withColumn("_rank", F.row_number().over(same))
+    repeated = ranked.filter(F.col("_rank") > 1).drop("_rank").withColumn("reason", F.lit("repeated"))
     late = joined.filter(~fresh).drop("_seen").withColumn("reason", F.lit("out of order"))
-    return one, late
+    return ranked.filter(F.col("_rank") == 1).drop("_rank"), late.unionByName(repeated)
 
 
 def rolling_batch(folder: str, keys: list[str], seq: str, cols: list[str], window: int = S.WINDOW):
-    """foreachBatch handler: trailing features across batches, late rows to ``rejects``."""
+    """foreachBatch handler: trailing features across batches, late and repeated
+    rows to ``rejects``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -89,18 +92,20 @@ def latest_batch(folder: str, keys: list[str], order: list[str]):
 
 
 def alert_batch(folder: str, keys: list[str], seq: str, status: str = "health_status"):
-    """foreachBatch handler: status changes, also across batches."""
+    """foreachBatch handler: status changes, also across batches; late and
+    repeated rows to ``rejects``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         need = batch.select(*keys, seq, status).persist()
         try:
             carried = _carried(spark, folder, batch_id, need.schema)
-            fresh, _late = in_order(need, carried, keys, seq)
+            fresh, late = in_order(need, carried, keys, seq)
             both = fresh.withColumn("_new", F.lit(True)).unionByName(carried.withColumn("_new", F.lit(False))).persist()
             try:
                 changes = fleet.status_changes(both, keys, seq, status)
                 _emit(changes.filter("_new").drop("_new"), f"{folder}/alerts", batch_id)
+                _emit(late, f"{folder}/rejects", batch_id)
                 _carry(spark, folder, batch_id, ent.newest_rows(both.drop("_new"), keys, [seq], 1))
             finally:
                 both.unpersist()

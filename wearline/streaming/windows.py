@@ -44,14 +44,16 @@ def stream_accuracy(errors: DataFrame, width: str = "1 hour", delay: str = "10 m
 def stream_truth_join(pred: DataFrame, truth: DataFrame, delay: str = "10 minutes", longest_wait: str = "30 days") -> DataFrame:
     """Predictions with their first truth.
 
-    Repeated submissions are dropped on arrival. A truth may come up to
-    ``longest_wait`` after its prediction, which bounds the state of the join.
+    A truth may come up to ``longest_wait`` after its prediction, which bounds the
+    state of the join. Repeated submissions are dropped on arrival, and ids are
+    remembered just as long: a second truth can join no prediction that is still
+    waiting.
     """
     p = pred.withColumn("_p_at", F.col("predicted_at").cast("timestamp")).withWatermark("_p_at", delay)
     t = (
         truth.select(F.col("prediction_id").alias("_id"), "true_rul", "submitted_at",
                      F.col("submitted_at").cast("timestamp").alias("_t_at"))
-        .withWatermark("_t_at", delay)
+        .withWatermark("_t_at", longest_wait)
         .dropDuplicatesWithinWatermark(["_id"])
     )
     in_time = (F.col("_t_at") >= F.col("_p_at")) & (F.col("_t_at") <= F.col("_p_at") + F.expr(f"INTERVAL {longest_wait}"))
