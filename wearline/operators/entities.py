@@ -90,7 +90,7 @@ def first_entities(df: DataFrame, by: list[str], key: str, n: int) -> DataFrame:
 def sample_entities(df: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
     """A repeatable random choice of ``n`` entities: lowest seeded hashes win."""
     ids = df.select(*key).distinct()
-    return ids.orderBy(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), *key).limit(n)
+    return ids.orderBy(F.md5(F.concat_ws("|", *[F.col(k) for k in key], F.lit(seed))), *key).limit(n)
 
 
 def life_fraction(rank: Column, n: Column, fractions: list[float] | None = None) -> Column:

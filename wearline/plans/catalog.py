@@ -814,7 +814,8 @@ def _(t: Tables):
     return rounded(head, 1, "error").select(*KEYS, "predicted_rul", "true_rul", "error", "band")
 
 
-@query("random_engines", "T7")
+@query("random_engines", "T7", """
+SELECT subset, unit FROM (SELECT DISTINCT subset, unit FROM readings) q ORDER BY md5(concat_ws('|', subset, unit, 7)), subset, unit LIMIT 10""")
 def _(t: Tables):
     return ent.sample_entities(t.readings, KEYS, 10, seed=7)
 
@@ -979,19 +980,43 @@ def fit_trees(t: Tables, trees: int = 20):
     return scoring.train(t.readings, {"maxIter": trees}, position="cycle")
 
 
-@query("tree_importances", "M2 M4 A28 T6")
+@query("tree_importances", "M2 M4 A28 T6", """
+SELECT DISTINCT subset, 5 AS n_features, TRUE AS all_positive, TRUE AS at_most_one FROM readings""")
 def _(t: Tables):
     from wearline.operators.model import importances
 
-    return importances(t.spark, fit_trees(t))
+    top = importances(t.spark, fit_trees(t))
+    return top.groupBy("subset").agg(
+        F.countDistinct("feature").cast("int").alias("n_features"),
+        F.min(F.col("importance") >= 0).alias("all_positive"),
+        (F.sum("importance") <= 1 + 1e-9).alias("at_most_one"),
+    )
 
 
-@query("tree_scores", "M2 M3 M4 M5")
+@query("tree_scores", "M2 M3 M4 M5 K8", """
+SELECT subset, unit, max(cycle) AS cycle, TRUE AS in_range, TRUE AS status_fits FROM readings GROUP BY subset, unit""")
 def _(t: Tables):
-    return scoring.score_latest(t.readings, fit_trees(t)).select(*KEYS, "cycle", "predicted_rul", "health_status")
+    from wearline.operators.model import load_model, save_model
+    from wearline.plans.streams import run_folder
+
+    # What trees predict has no SQL twin; what must hold of it for every engine has.
+    path = run_folder(t.spark)
+    save_model(t.spark, fit_trees(t), path)
+    scored = scoring.score_latest(t.readings, load_model(t.spark, path))
+    in_range = F.coalesce(F.col("predicted_rul").between(0, S.RUL_CAP), F.lit(False))
+    fits = F.col("health_status") == C.health_status("predicted_rul")
+    return scored.select(*KEYS, "cycle", in_range.alias("in_range"), fits.alias("status_fits"))
+
+
+_CARDS = ", ".join(
+    f"({k}, {len(S.SENSORS[k])}, {len(S.feature_columns(S.SENSORS[k]))})" for k in S.SUBSETS
+)
 
 
-@query("model_cards", "M11")
+@query("model_cards", "M11", f"""
+SELECT 'FD00' || k AS dataset, CAST(n AS INTEGER) AS n_sensors, {S.RUL_CAP} AS rul_cap, {S.WINDOW} AS "window",
+       CAST(f AS INTEGER) AS n_features, 4 AS n_metrics
+FROM (VALUES {_CARDS}) v(k, n, f) WHERE k IN (SELECT subset FROM readings)""")
 def _(t: Tables):
     from wearline.operators.model import model_card
 

@@ -11,11 +11,13 @@ from wearline.functions import columns as C
 from wearline.operators import series
 from wearline.operators.store import table_exists
 
-SUBSET_PATTERN = "FD00([1-4])"
+# In the name of a file, or of the folder that holds its parts.
+SUBSET_PATTERN = "FD00([1-4])[^/]*(?:/part-[^/]*)?$"
 
 
 def subset_of_file(name) -> Column:
-    """Subset number from a file name such as train_FD003.txt; NULL without one."""
+    """Subset number from a name or path such as train_FD003.txt, also when that
+    is a folder of part files; NULL without one."""
     return F.regexp_extract(name, SUBSET_PATTERN, 1).try_cast("int")
 
 
@@ -35,7 +37,7 @@ def read_sensor_log(spark: SparkSession, paths, schema: T.StructType = S.LOG_SCH
     """Sensor logs of one or all datasets, tagged with ``subset`` by file name."""
     lines = spark.read.text(paths).select(
         "value",
-        subset_of_file(F.col("_metadata.file_name")).alias("subset"),
+        subset_of_file(F.col("_metadata.file_path")).alias("subset"),
     )
     return parse_sensor_lines(lines, schema)
 
@@ -50,7 +52,7 @@ def read_truth(spark: SparkSession, paths) -> DataFrame:
     lines = (
         spark.read.text(paths)
         .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
-                subset_of_file(F.col("_metadata.file_name")).alias("subset"))
+                subset_of_file(F.col("_metadata.file_path")).alias("subset"))
         .filter(~F.col("value").rlike(r"^\s*$"))
         .withColumn("_row", F.monotonically_increasing_id())
     )
