@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import math
 import uuid
+import zipfile
+from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,36 @@ def work_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and the path in it; any that Arrow can write."""
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder[5:]
+    if "://" in folder:
+        return pafs.FileSystem.from_uri(folder)
+    return pafs.LocalFileSystem(), folder
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, wherever they run: once for each context, a zip in
+    the work folder that Spark sends along."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if getattr(context, "_shipped_package", None) or not package.is_dir():
+        return  # it is there, or this is the zip itself
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            entry = zipfile.ZipInfo(str(package.name / file.relative_to(package)))
+            archive.writestr(entry, file.read_bytes())
+    name = f"{package.name}-{hashlib.sha1(held.getvalue()).hexdigest()[:12]}.zip"
+    system, root = filesystem(work_folder(spark))
+    system.create_dir(root, recursive=True)
+    with system.open_output_stream(f"{root}/{name}") as file:
+        file.write(held.getvalue())
+    context.addPyFile(f"{work_folder(spark)}/{name}")
+    context._shipped_package = name
+
+
 class Stage:
     """Tables written to a folder of their own below the work folder.
 
@@ -33,6 +68,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.folder = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0

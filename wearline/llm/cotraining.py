@@ -289,6 +289,7 @@ def fit(
 
 def classify(docs: DataFrame, model: Model, text: str = "text", source: str = "source", lang: str = "lang", n_chars: str = "n_chars") -> DataFrame:
     """(row, text_score, meta_score, score, keep) of every row; `row` holds its columns."""
+    C.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

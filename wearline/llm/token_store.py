@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
+from .common import filesystem
 from .tokens import encoder
 
 MAGIC = b"WLTOKEN1"
@@ -54,15 +55,6 @@ LEVELS = 48
 GAMMA = 2.0
 
 
-def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a folder and the path in it; any that Arrow can write."""
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder[5:]
-    if "://" in folder:
-        return pafs.FileSystem.from_uri(folder)
-    return pafs.LocalFileSystem(), folder
-
-
 # --- minimal perfect hash ------------------------------------------------------------
 
 

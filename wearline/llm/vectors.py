@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 
 def finite_vectors(df: DataFrame, key: str, vector: str, scale: float | None = None, nonzero: bool = False) -> DataFrame:
     """(id, vec): the components as little-endian doubles, for rows whose id and vector are not
@@ -34,6 +36,7 @@ def finite_vectors(df: DataFrame, key: str, vector: str, scale: float | None = N
                 [batch["id"].take(pa.array(rows, pa.int64())), pa.array(raw, pa.binary())], names=["id", "vec"]
             )
 
+    C.ship(df.sparkSession)
     named = df.select(
         F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")
     ).filter("id IS NOT NULL AND vec IS NOT NULL")
