@@ -83,7 +83,7 @@ def rul_brackets(state: DataFrame, edges=S.RUL_BRACKETS) -> DataFrame:
 
 
 def distinct_engines(pred: DataFrame, approximate: bool = False) -> DataFrame:
-    count = F.approx_count_distinct("engine_id") if approximate else F.countDistinct("engine_id")
+    count = F.approx_count_distinct("engine_id", 0.02) if approximate else F.countDistinct("engine_id")
     return pred.agg(count.alias("total_engines"))
 
 

@@ -518,7 +518,10 @@ def _(t: Tables):
     return acc.error_histogram(t.errors, 5)
 
 
-@query("error_histogram_auto", "A23")
+@query("error_histogram_auto", "A23", """
+SELECT floor(error / w) * w AS bucket, count(*) AS n
+FROM errors, (SELECT 2 * (quantile_disc(error, 0.75) - quantile_disc(error, 0.25)) / pow(count(*), 1.0::DOUBLE / 3) AS w FROM errors) width
+GROUP BY 1""")
 def _(t: Tables):
     return acc.error_histogram(t.errors, acc.histogram_width(t.errors))
 
@@ -574,9 +577,12 @@ def _(t: Tables):
     return fleet.distinct_engines(t.predictions)
 
 
-@query("total_engines_estimate", "A16")
+@query("total_engines_estimate", "A16", "SELECT count(DISTINCT engine_id) AS total_engines, TRUE AS within_a_tenth FROM predictions")
 def _(t: Tables):
-    return fleet.distinct_engines(t.predictions, approximate=True)
+    exact = fleet.distinct_engines(t.predictions)
+    estimate = fleet.distinct_engines(t.predictions, approximate=True).withColumnRenamed("total_engines", "estimate")
+    near = F.abs(F.col("estimate") - F.col("total_engines")) <= F.col("total_engines") * 0.1
+    return exact.join(F.broadcast(estimate)).select("total_engines", near.alias("within_a_tenth"))  # a row each
 
 
 @query("total_predictions", "A17", "SELECT count(*) AS n FROM predictions")
