@@ -21,11 +21,11 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 #: Characters that only one of the two definitions of white space holds.
 UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
 #: Distinct chunks that a worker keeps; further ones are encoded each time.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 #: Chunks longer than this are not kept.
 CACHE_CHARS = 64
 #: Characters cut into chunks at a time; bounds the memory of a worker at any text length.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 SAFE_CUT = re.compile(r"\S(?=\s)")
 
 _ENCODERS: dict[str, "Encoder"] = {}
