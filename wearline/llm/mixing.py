@@ -36,6 +36,8 @@ SEED = 11
 KEY_BITS, DIGIT_BITS = 54, 6
 #: Rows of a source that one window may order.
 LAST_ROWS = 256
+#: A table of that many sources, some 100 bytes each, is broadcast.
+FEW_SOURCES = 50_000
 
 
 def quality_weight(distinct: int, size: int) -> float:
@@ -110,7 +112,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     )
 
 
-def cuts(rows: DataFrame, plan: DataFrame, stage: C.Stage, last_rows: int = LAST_ROWS) -> DataFrame:
+def with_source(rows: DataFrame, table: DataFrame, name: str, few: bool) -> DataFrame:
+    """Rows with the row of `table` for their source. One source may hold most rows: a table of
+    few sources, counted before, is broadcast; a longer one is a join that can be split."""
+    return rows.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col(name)))
+
+
+def cuts(rows: DataFrame, plan: DataFrame, stage: C.Stage, few: bool, last_rows: int = LAST_ROWS) -> DataFrame:
     """Where each source's fraction ends: (cut_source, floor, cut, left). Documents below the
     floor are in, above it those up to `cut`, a struct (at, key, id) or null; `left` is what
     remains of the budget. `plan` has source and the `budget` of the fraction."""
@@ -119,9 +127,8 @@ def cuts(rows: DataFrame, plan: DataFrame, stage: C.Stage, last_rows: int = LAST
     bits = 0
     while True:
         shift = KEY_BITS - bits
-        inside = rows.join(open_.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).filter(
-            F.shiftright("digits", shift) == F.col("prefix")
-        )
+        inside = with_source(rows, open_.withColumnRenamed("source", "s"), "s", few)
+        inside = inside.filter(F.shiftright("digits", shift) == F.col("prefix"))
         if bits + DIGIT_BITS > KEY_BITS:
             break
         bits += DIGIT_BITS
@@ -145,9 +152,8 @@ def cuts(rows: DataFrame, plan: DataFrame, stage: C.Stage, last_rows: int = LAST
         open_ = found.drop("rows")
         if most is None or most <= last_rows:
             shift = KEY_BITS - bits
-            inside = rows.join(open_.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).filter(
-                F.shiftright("digits", shift) == F.col("prefix")
-            )
+            inside = with_source(rows, open_.withColumnRenamed("source", "s"), "s", few)
+            inside = inside.filter(F.shiftright("digits", shift) == F.col("prefix"))
             break
     place = F.struct("at", "key", "id")
     upto = Window.partitionBy("source").orderBy("at", "key", "id").rowsBetween(
@@ -190,7 +196,8 @@ def mix(
     )
     plan = plan.withColumn("epochs", epochs.cast("long"))
     plan = stage.keep(plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "plan")
-    limits = cuts(rows.drop("row"), plan, stage, last_rows)
+    few = plan.count() <= FEW_SOURCES
+    limits = cuts(rows.drop("row"), plan, stage, few, last_rows)
     limits = plan.withColumnRenamed("source", "plan_source").join(
         limits, F.col("plan_source").eqNullSafe(F.col("cut_source")), "left"
     )
@@ -198,14 +205,14 @@ def mix(
     place = F.struct("at", "key", "id")
     # One more document fills what the prefix leaves of the budget, the one that fits best.
     off = F.abs(F.col("size") - F.col("left"))
-    loose = rows.drop("row").join(limits, F.col("source").eqNullSafe(F.col("plan_source")))
+    loose = with_source(rows.drop("row"), limits, "plan_source", few)
     loose = loose.filter(~in_prefix() & F.col("floor").isNotNull() & (off < F.col("left")))
     best = loose.groupBy("source").agg(F.min(F.struct(off.alias("off"), place.alias("place")))["place"].alias("extra"))
     best = best.withColumnRenamed("source", "extra_source")
     limits = limits.join(best, F.col("plan_source").eqNullSafe(F.col("extra_source")), "left")
     extra = F.coalesce(place == F.col("extra"), F.lit(False))
     copies = F.col("epochs") + (in_prefix() | extra).cast("long")
-    out = rows.join(limits, F.col("source").eqNullSafe(F.col("plan_source")))
+    out = with_source(rows, limits, "plan_source", few)
     return out.select(
         "key", "source", "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"), *(["row"] if carry else []),
