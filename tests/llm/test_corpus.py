@@ -206,13 +206,8 @@ def test_registered_personal_query(spark):
 
 
 def test_words_come_first_and_n_grams_after():
-    floor = lambda *p: [math.log(x) for x in p]
-    import numpy as np
-
-    tables = [({"haus": [(0, -1.0)]}, np.array(floor(1e-6, 1e-6)))]
-    tables += [({}, np.array(floor(1e-6, 1e-6))) for _ in range(langid.LONGEST)]
-    tables[3][0]["mai"] = [(1, -2.0)]
-    tables[1][0]["h"] = [(0, -2.0)]
+    known = {0: [("haus", 0, -1.0)], 3: [("mai", 1, -2.0)], 1: [("h", 0, -2.0)]}
+    tables = [langid.Table(known.get(n, []), [-14.0, -14.0]) for n in range(langid.LONGEST + 1)]
     model = langid.Model(["de", "fr"], tables)
     assert model.predict("Haus")[0] == "de" and model.predict("maison")[0] == "fr"
     assert model.predict("h")[0] == "de"

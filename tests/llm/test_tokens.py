@@ -155,3 +155,23 @@ def test_registered_packing_query(spark, library):
 
 def test_packing_an_empty_table(spark, empty):
     assert packing.pack(empty, default_tokenizer(), ids=True).count() == 0
+
+
+def test_workers_elsewhere_get_the_package(spark):
+    import zipfile
+
+    from wearline.llm import common
+
+    common.ship(spark)
+    name = spark.sparkContext._shipped_package
+    system, root = common.filesystem(common.work_folder(spark))
+    with system.open_input_file(f"{root}/{name}") as file:
+        names = zipfile.ZipFile(file).namelist()
+    assert {"wearline/__init__.py", "wearline/llm/tokens.py"} <= set(names)
+
+
+@pytest.mark.parametrize("folder", ["file:/tmp/x", "file:///tmp/x", "/tmp/x"])
+def test_folders_by_uri_or_path(folder):
+    from wearline.llm.common import filesystem
+
+    assert filesystem(folder)[1] == "/tmp/x"

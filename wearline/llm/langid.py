@@ -105,49 +105,54 @@ def most_frequent(counts: DataFrame, entries: int) -> DataFrame:
     return counts.filter(F.lit(False) if cut is None else step >= cut)
 
 
+class Table:
+    """Log frequencies of names: a row of numbers, one for each language, for each name."""
+
+    def __init__(self, entries: list[tuple[str, int, float]], floor: list[float]):
+        self.at: dict[str, int] = {}
+        for name, _, _ in entries:
+            self.at.setdefault(name, len(self.at))
+        self.rows = np.tile(np.array(floor, np.float32), (len(self.at), 1))
+        if entries:
+            self.rows[[self.at[x] for x, _, _ in entries], [i for _, i, _ in entries]] = [v for _, _, v in entries]
+
+
 class Model:
-    """Log frequencies by language of words and of n-grams of each length."""
+    """One table of words, then one of n-grams for each length from 1 on."""
 
-    def __init__(self, langs: list[str], tables: list[tuple[dict[str, list], np.ndarray]]):
+    def __init__(self, langs: list[str], tables: list[Table]):
         self.langs, self.tables = langs, tables
         self.kept: dict[str, np.ndarray] = {}
 
-    def _row(self, table: int, name: str) -> np.ndarray | None:
-        known, floor = self.tables[table]
-        entries = known.get(name)
-        if entries is None:
-            return None
-        row = floor.copy()
-        for lang, value in entries:
-            row[lang] = value
-        return row
-
-    def scores(self, word: str) -> np.ndarray:
-        """The log frequency of a word in each language."""
+    def unseen(self, word: str) -> np.ndarray:
+        """The mean over the known n-grams of the longest length that has any."""
         found = self.kept.get(word)
         if found is None:
-            found = self._row(0, word)
+            marked = f"<{word}>"
             for n in range(LONGEST, 0, -1):
-                if found is not None:
+                at = self.tables[n].at
+                own = [r for i in range(len(marked) - n + 1) if (r := at.get(marked[i : i + n])) is not None]
+                if own:
+                    found = self.tables[n].rows[own].sum(axis=0) / len(own)
                     break
-                rows = [r for g in grams_of(word, n) if (r := self._row(n, g)) is not None]
-                if rows:
-                    found = np.mean(rows, axis=0)
-            if found is None:
-                found = np.zeros(len(self.langs))
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            self.kept[word] = found
+            else:
+                found = np.zeros(len(self.langs), np.float32)
+            if len(self.kept) < KEPT:
+                self.kept[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(words_of(text))
         if not self.langs or not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        names, counts = list(words), np.fromiter(words.values(), np.float64, len(words))
-        total = np.zeros(len(self.langs))
-        for at in range(0, len(names), 4096):
-            total += counts[at : at + 4096] @ np.array([self.scores(w) for w in names[at : at + 4096]])
+        counts = np.fromiter(words.values(), np.float64, len(words))
+        at = np.array([self.tables[0].at.get(w, -1) for w in words])
+        seen = at >= 0
+        total = counts[seen] @ self.tables[0].rows[at[seen]].astype(np.float64)
+        if not seen.all():
+            for word, ok in zip(words, seen.tolist(), strict=True):
+                if not ok:
+                    total += self.unseen(word) * words[word]
         best = int(np.argmax(total))
         # The posterior under equal priors, softened by the square root of the length.
         odds = np.exp((total - total[best]) / math.sqrt(counts.sum()))
@@ -172,23 +177,19 @@ def fit(
         base = np.full(len(langs), 1.0)
         for r in sums:
             base[at[r["lang"]]] = r["n"] + SMOOTHING * (r["kinds"] + 1)
-        known: dict[str, list] = {}
-        top = most_frequent(counts, model_grams if n else model_words)
-        for r in top.toLocalIterator():
-            i = at[r["lang"]]
-            known.setdefault(r["word"], []).append((i, math.log((r["n"] + SMOOTHING) / base[i])))
-        tables.append((known, np.log(SMOOTHING / base)))
+        top = most_frequent(counts, model_grams if n else model_words).collect()  # a bounded number
+        entries = [(r["word"], at[r["lang"]], math.log((r["n"] + SMOOTHING) / base[at[r["lang"]]])) for r in top]
+        tables.append(Table(entries, np.log(SMOOTHING / base).tolist()))
     return Model(langs, tables)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
     """(key, lang_pred, score) and further columns of `docs`, for every row."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.langs, model.tables))
-    loaded: dict[int, Model] = {}
-
+    C.ship(spark)
+    sent = spark.sparkContext.broadcast(model)  # a worker loads it once and keeps its cache
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = loaded.get(0) or loaded.setdefault(0, Model(*sent.value))
+        own = sent.value
         for batch in batches:
             found = [own.predict(t) for t in batch[0].to_pylist()]
             yield pa.RecordBatch.from_arrays(
