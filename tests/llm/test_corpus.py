@@ -234,6 +234,36 @@ def test_the_frequency_cut_bounds_the_model(spark):
         assert len(kept) >= min(1000, most) * 0.9 - 1
 
 
+def test_all_learned_counts_are_used(spark):
+    """Nothing is cut: with no word sent to the tasks the results are those of whole tables."""
+    text = [("en", "the house stands near the river zq"), ("en", "the house"), ("de", "das haus steht am fluss zq"),
+            ("de", "das haus"), ("es", "la casa rara")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(text)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame(
+        [(1, "rara"), (2, "housing rara"), (3, "fluesse zq zq"), (None, "das"), (None, "das"), (6, None), (7, "1 2"),
+         (8, "ж ж"), (9, "casas rivers hausen")], "doc_id long, text string")
+    counts = Counter()
+    for lang, t in text:
+        for word in langid.words_of(t):
+            counts[0, lang, word] += 1
+            for n in range(1, langid.LONGEST + 1):
+                counts.update((n, lang, g) for g in langid.grams_of(word, n))
+    langs, tables = ["de", "en", "es"], []
+    for n in range(langid.LONGEST + 1):
+        own = [(lang, w, k) for (m, lang, w), k in counts.items() if m == n]
+        base = [sum(k + 0.5 for x, _, k in own if x == lang) + 0.5 for lang in langs]
+        entries = [(w, langs.index(x), math.log((k + 0.5) / base[langs.index(x)])) for x, w, k in own]
+        tables.append(langid.Table(entries, [math.log(0.5 / b) for b in base]))
+    plain = langid.Model(langs, tables)
+    want = [(r["doc_id"], *plain.predict(r["text"])) for r in asked.collect()]
+    for fast in (0, 3, 1000):
+        model = langid.fit(docs, fast_words=fast)
+        got = [tuple(r) for r in langid.identify(asked, model).collect()]
+        assert sorted(map(str, ((k, x) for k, x, _ in got))) == sorted(map(str, ((k, x) for k, x, _ in want)))
+        assert sorted(s for *_, s in got) == pytest.approx(sorted(s for *_, s in want), abs=1e-5)
+        assert len(model.fast) <= fast
+
+
 def test_n_gram_counts(spark):
     words = spark.createDataFrame([("en", "aba", 2), ("en", "ab", 1), ("de", "a", 5)], "lang string, word string, n long")
     for n in (1, 2, 5, 6):
