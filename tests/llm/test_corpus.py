@@ -165,6 +165,21 @@ def test_terms_that_reveal_an_entity_are_removed(spark):
         assert got[2000 + i][0] == "email:18:40"
 
 
+def test_terms_of_the_whole_text_are_removed(spark):
+    """However far from the entity, each time, and with digits and underscores."""
+    far = "alpha beta " * 40
+    docs = disclosure_corpus()
+    docs += [(6000 + i, f"Zeltrim acct_4711 {far}no{i} Zeltrim {far}+49 30 1234567, me@corp.example.com 88123", "en", "s", 0)
+             for i in range(2)]
+    docs += [(6100, "Zeltrim2 and 1234567 and acct_4712", "en", "s", 0)]
+    found = personal.find_personal(documents(spark, docs), carry=["text"]).filter("key >= 6000")
+    text = personal.sanitised(F.col("row.text"), personal.all_spans(F.col("spans"), F.col("added")))
+    got = dict(found.select("key", text).collect())
+    for i in range(2):
+        assert got[6000 + i] == f"  {far}no{i}  {far}[PHONE], [EMAIL] "
+    assert got[6100] == docs[-1][1]
+
+
 def test_thresholds_follow_the_information_content(spark):
     # The name also stands alone in k documents: log2(3 / (3 + k)) bits less than IC = log2(N / 3).
     for k, kind in ((0, "removed"), (3, "general"), (60, None)):

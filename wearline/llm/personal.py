@@ -5,14 +5,15 @@ patterns below match what the plain ones do, leftmost first, and differ in two w
 them linear on long runs: quantifiers are possessive where giving back could not help, and a
 match may only start where a run of its characters starts, or where the last match ended.
 
-A base value is a protected entity. What stands around it can reveal it even when it is masked:
-a name, an account, an employer. For a term t and an entity e the corpus tells how much:
+A base value is a protected entity. What else its documents say can reveal it even when it is
+masked: a name, an account, an employer. For a term t and an entity e the corpus tells how much:
 PMI(e; t) = log2 p(e, t) / (p(e) p(t)), against the information IC(e) = -log2 p(e) that the
 entity holds. PMI / IC is 1 if the term occurs with the entity alone and near 0 if it tells
-nothing. p(e) and p(t) count documents over the whole corpus, p(e, t) documents where t stands
-near e. Terms are removed from `REMOVE` on, generalised from `GENERALISE` on, where they stand
-near the entity. A pair seen in one text only, however often it was copied, is no estimate
-and changes nothing.
+nothing. p(e), p(t) and p(e, t) count documents over the whole corpus, by their whole texts
+without the base spans. Terms are removed from `REMOVE` on, generalised from `GENERALISE` on,
+wherever they stand in the documents of the entity. A pair seen in one text only, however often
+it was copied, is no estimate and changes nothing; so entities of one text need no pairs.
+Entities that stand in the same documents have the same figures and are counted as one.
 
 All steps are DataFrame functions. Pair counts are distinct rows aggregated by key, so a line
 that a third of the documents share is one pre-aggregated count.
@@ -24,6 +25,8 @@ the sanitised text replaces their union once, by the mark of the first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +51,14 @@ HINTS = {
 PART_255 = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP_OK = rf"^{PART_255}(?:\.{PART_255}){{3}}$"
 
-#: Terms are words of letters between white space, without the punctuation around them, so they
-#: are never part of an address or a number.
-TERM = r"""(?<![^\s("'\[])\p{L}[\p{L}\p{M}'-]*+(?=[)"'\],.;:!?]*+(?!\S))"""
-#: How many characters around an entity are looked at, and the disclosure thresholds.
-AROUND = 48
+#: Terms are words of letters, digits and underscores between white space, without the punctuation
+#: around them. They are looked for where base spans are masked, so they are never part of one.
+TERM = r"""(?<![^\s("'\[])[\p{L}\p{N}_][\p{L}\p{M}\p{N}_'-]*+(?=[)"'\],.;:!?]*+(?!\S))"""
+#: Neither white space nor part of a term or of the punctuation around it.
+MASK = "\x01"
+#: A key with more than one in so many rows, and more than MANY, is joined by broadcast.
+HOT, MANY = 1000, 10_000
+#: The disclosure thresholds.
 GENERALISE, REMOVE = 0.75, 0.9
 
 #: Elements whose positions are summed in one step.
@@ -137,6 +143,7 @@ def passes(kind: str, value: Column) -> Column:
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+ADDED = "array<struct<start:int,end:int,kind:string>>"
 
 
 def base_spans(text: Column) -> Column:
@@ -162,90 +169,115 @@ def base_spans(text: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """`docs` with their base spans, each with the text around it, as `spans`."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-
-    def around(s: Column) -> Column:
-        left = F.greatest(s["start"] - AROUND, F.lit(0))
-        return F.struct(
-            s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-            left.alias("left_at"),
-            F.substring(whole, left + 1, s["start"] - left).alias("left"),
-            F.substring(whole, s["end"] + 1, F.lit(AROUND)).alias("right"),
-        )
-
-    return docs.withColumn("spans", F.transform(base_spans(whole), around))
-
-
-def nearby_terms(marked: DataFrame) -> DataFrame:
-    """(id, text_hash, entity, term, start, end) of the terms around entities."""
-    one = marked.select("id", "text_hash", F.explode("spans").alias("s"))
-    entity = F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity")
-    sides = F.explode(
-        F.array(
-            F.struct(F.col("s.left").alias("side"), F.col("s.left_at").alias("at"), F.lit(True).alias("before")),
-            F.struct(F.col("s.right").alias("side"), F.col("s.end").alias("at"), F.lit(False).alias("before")),
+    """`docs` with their base spans as `spans`."""
+    return docs.withColumn("spans", base_spans(F.coalesce(F.col(text), F.lit(""))))
+
+
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+    return F.filter(F.array_distinct(found), lambda t: F.length(t) > 1)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with as many marks in place of each base span as it has characters."""
+    return sanitised(text, all_spans(spans, F.array().cast(ADDED)), lambda s: F.repeat(F.lit(MASK), s["end"] - s["start"]))
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """The inner join with one row for each key, of which `rows` names the number of left rows and
+    `total` their sum. The few keys with very many rows are not shuffled."""
+    many = F.col(rows) > max(MANY, total // HOT)
+    hot = F.broadcast(right.filter(many))
+    rest = left.join(hot.select(*on), on, "left_anti")
+    return left.join(hot, on).unionByName(rest.join(right.filter(~many), on))
+
+
+def holding(held: DataFrame, stage: C.Stage) -> DataFrame:
+    """(id, text_hash, masked, groups) of the documents with an entity that other texts hold too;
+    `groups` has (group, with_entity) of their sets of entities that stand in the same documents."""
+    one = held.select("id", "text_hash", F.explode("spans").alias("s"))
+    one = one.select("id", "text_hash", F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity"))
+    one = stage.keep(one.distinct(), "entities")
+    known = one.groupBy("entity").agg(
+        F.count("*").alias("with_entity"), (F.min("text_hash") != F.max("text_hash")).alias("texts"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"),
+    )
+    known = known.filter("texts").select("entity", "with_entity", F.xxhash64("with_entity", "x", "y").alias("group"))
+    own = sized_join(one.select("id", "entity"), known, ["entity"], "with_entity", one.count())
+    own = own.groupBy("id").agg(F.collect_set(F.struct("group", "with_entity")).alias("groups"))
+    return stage.keep(held.select("id", "text_hash", "masked").join(own, "id"), "holding")
+
+
+def term_counts(docs: DataFrame, held: DataFrame, text: str) -> DataFrame:
+    """(term, with_term) over all documents. Their plain texts are counted, then those with base
+    spans are taken out again and counted by what is outside the spans."""
+    def of(rows: DataFrame, column: str, weight: int) -> DataFrame:
+        return rows.select(F.explode(terms_of(F.col(column))).alias("term")).groupBy("term").agg(
+            (F.count("*") * weight).alias("n")
         )
-    ).alias("x")
-    one = one.select("id", "text_hash", entity, sides).select("id", "text_hash", "entity", "x.*")
 
-    def placed(found: Column) -> Column:
-        pair = F.zip_with(
-            positions(F.col("side"), found, TERM), found, lambda at, m: F.struct(at.alias("at"), m.alias("term"))
-        )
-        return F.when(F.size(found) > 0, pair)
+    parts = of(docs, text, 1).unionByName(of(held, "text", -1)).unionByName(of(held, "masked", 1))
+    return parts.groupBy("term").agg(F.sum("n").alias("with_term"))
 
-    terms = F.explode(let(F.regexp_extract_all("side", F.lit(TERM), F.lit(0)), placed)).alias("y")
-    one = one.select("id", "text_hash", "entity", "side", "at", "before", terms)
-    size = F.length("y.term")
-    # A term that the side cuts off is not the term it seems, nor is one that touches the entity.
-    whole = F.when(F.col("before"), (F.col("y.at") > 0) | (F.col("at") == 0)).otherwise(
-        (F.col("y.at") + size < AROUND) & (F.col("y.at") > 0)
-    )
-    start = F.col("at") + F.col("y.at")
-    return one.filter(whole & (size > 1)).select(
-        "id", "text_hash", "entity", F.lower("y.term").alias("term"), start.alias("start"), (start + size).alias("end")
-    )
 
-
-def disclosing(docs: DataFrame, marked: DataFrame, near: DataFrame, text: str) -> DataFrame:
-    """(entity, term, disclosure) of the pairs from the lower threshold on."""
-    pairs = near.select("entity", "term", "id", "text_hash").distinct().groupBy("entity", "term").agg(
-        F.count("*").alias("both"), (F.min("text_hash") != F.max("text_hash")).alias("texts")
-    )
-    pairs = pairs.filter("texts").drop("texts")
-    entities = marked.select("id", F.explode("spans").alias("s")).select(
-        "id", F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity")
-    )
-    entities = entities.distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    total = F.lit(float(docs.count()))
+def disclosing(docs: DataFrame, held: DataFrame, own: DataFrame, text: str, total: int) -> DataFrame:
+    """(group, term, both, disclosure) of the pairs from the lower threshold on."""
+    pairs = own.select("text_hash", "groups", F.explode(terms_of(F.col("masked"))).alias("term"))
+    pairs = pairs.select("text_hash", "term", F.explode("groups").alias("g")).groupBy(F.col("g.group").alias("group"), "term").agg(
+        F.count("*").alias("both"), F.max("g.with_entity").alias("with_entity"),
+        (F.min("text_hash") != F.max("text_hash")).alias("texts"),
+    )
+    pairs = pairs.filter("texts").drop("texts").join(term_counts(docs, held, text), "term")
+    total = F.lit(float(total))
     information = F.log2(total / F.col("with_entity"))
     shared = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term")))
-    pairs = pairs.join(entities, "entity").join(terms, "term")
     pairs = pairs.withColumn("disclosure", F.when(information > 0, shared / information))
-    return pairs.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    return pairs.filter(F.col("disclosure") >= GENERALISE).select("group", "term", "both", "disclosure")
+
+
+def placed_terms(own: DataFrame) -> DataFrame:
+    """(id, group, term, start, end) of all terms of documents, for each of their groups."""
+
+    def placed(found: Column) -> Column:
+        pair = F.zip_with(
+            positions(F.col("masked"), found, TERM), found, lambda at, m: F.struct(at.alias("at"), m.alias("term"))
+        )
+        return F.when(F.size(found) > 0, pair)
+
+    terms = F.explode(let(F.regexp_extract_all("masked", F.lit(TERM), F.lit(0)), placed)).alias("y")
+    rows = own.select("id", "groups", terms).select(
+        "id", "groups", F.lower("y.term").alias("term"), F.col("y.at").alias("start"),
+        (F.col("y.at") + F.length("y.term")).alias("end"),
+    )
+    rows = rows.select("id", "term", "start", "end", F.explode("groups").alias("g"))
+    return rows.select("id", F.col("g.group").alias("group"), "term", "start", "end")
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row for each document: key, spans (start, kind, end, value, ...) and added (start, end,
+    """One row for each document: key, spans (start, kind, end, value) and added (start, end,
     kind), both in order, and `row`, the carried columns, among them the text."""
     stage = C.Stage(docs.sparkSession, "personal")
     row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     named = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), *row)
     marked = with_spans(named, "text").withColumn("text_hash", F.xxhash64("text"))
-    marked = marked.withColumn("id", F.monotonically_increasing_id()).drop("text")
+    marked = marked.withColumn("id", F.monotonically_increasing_id())
+    carried = text in (carry or [])
+    marked = marked.drop("text") if carried else marked.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
     marked = stage.keep(marked, "spans")
     held = marked.filter(F.size("spans") > 0)
-    near = stage.keep(nearby_terms(held), "near")
-    told = stage.keep(disclosing(named, held, near, "text"), "disclosing")
+    whole = F.col("row")[text].cast("string") if carried else F.col("text")
+    held = held.select("id", "text_hash", "spans", whole.alias("text"))
+    held = held.withColumn("masked", masked(F.col("text"), F.col("spans")))
+    own = holding(held, stage)
+    told = stage.keep(disclosing(named, held, own, "text", marked.count()), "disclosing")
+    rows = told.agg(F.sum("both")).first()[0] or 0
+    added = sized_join(placed_terms(own), told, ["group", "term"], "both", rows)
     kind = F.when(F.max("disclosure") >= REMOVE, F.lit(REMOVED)).otherwise(F.lit(GENERAL))
-    added = near.join(told, ["entity", "term"]).groupBy("id", "start", "end").agg(kind.alias("kind"))
+    added = added.groupBy("id", "start", "end").agg(kind.alias("kind"))
     added = added.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
-    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     return marked.join(added, "id", "left").select(
-        "key", "spans", F.coalesce("added", none).alias("added"), *(["row"] if carry else [])
+        "key", "spans", F.coalesce("added", F.array().cast(ADDED)).alias("added"), *(["row"] if carry else [])
     )
 
 
@@ -267,9 +299,14 @@ def all_spans(base: Column, added: Column) -> Column:
     return F.array_sort(F.concat(first, more))
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with the union of the spans replaced: by the kind in brackets, [TERM] for
-    generalised terms, nothing for removed ones."""
+def mark_of(span: Column) -> Column:
+    """The kind in brackets, [TERM] for generalised terms, nothing for removed ones."""
+    mark = F.when(span["kind"] == REMOVED, F.lit("")).when(span["kind"] == GENERAL, F.lit("[TERM]"))
+    return mark.otherwise(F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
+
+
+def sanitised(text: Column, spans: Column, mark: Callable[[Column], Column] = mark_of) -> Column:
+    """The text with the union of the spans replaced by their marks."""
     kind = "array<struct<start:int,end:int,kind:string>>"
 
     def merge(acc: Column, s: Column) -> Column:
@@ -287,9 +324,7 @@ def sanitised(text: Column, spans: Column) -> Column:
         ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
 
         def piece(s: Column, before: Column) -> Column:
-            mark = F.when(s["kind"] == REMOVED, F.lit("")).when(s["kind"] == GENERAL, F.lit("[TERM]"))
-            mark = mark.otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-            return F.concat(F.substring(text, before + 1, s["start"] - before), mark)
+            return F.concat(F.substring(text, before + 1, s["start"] - before), mark(s))
 
         own = F.zip_with(merged, F.slice(ends, F.lit(1), F.size(merged)), piece)
         tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
