@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -144,6 +146,19 @@ def test_a_hot_vector_is_split_and_found(spark):
     assert recall(got, rows, 50, 5) >= 0.9
 
 
+def test_rows_of_one_id_are_dealt_over_chunks(spark):
+    rng = random.Random(3)
+    near = [[1.0 + rng.gauss(0, 1e-3) for _ in range(8)] for _ in range(600)]
+    rows = [(7, v) for v in near] + [(9, near[0])] * 600 + [(50, near[1])]
+    folder = Path(re.sub("^file:/+", "/", spark.conf.get("spark.checkpoint.dir")))
+    old = set(folder.glob("postings-*/*-lists"))
+    got = search(spark, rows, per_list=2000, per_chunk=20)
+    assert [(q, i) for q, _, i, _ in got if q == 50] == [(50, 7), (50, 9)]
+    (lists,) = set(folder.glob("postings-*/*-lists")) - old
+    sizes = [r[0] for r in spark.read.parquet(str(lists)).selectExpr("size(ids)").collect()]
+    assert sum(sizes) == 602 and max(sizes) <= 60
+
+
 def test_the_graph_finds_the_nearest_centroids():
     rng = np.random.default_rng(1)
     rows = postings.unit(rng.normal(size=(4000, 16)))

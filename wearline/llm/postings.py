@@ -233,12 +233,12 @@ def search(
             )
 
     spread = C.pieces(n, 4096)
-    assigned = stage.keep(
-        vectors.repartition(spread, "id").mapInArrow(assign, "list long, id long, vec binary"), "assigned"
-    )
+    # Equal rows are one candidate; rows of one id are dealt by their vectors too.
+    own = vectors.select("id", "vec").distinct().repartition(spread, "id", "vec")
+    assigned = stage.keep(own.mapInArrow(assign, "list long, id long, vec binary"), "assigned")
     lengths = assigned.groupBy("list").agg(F.count("*").alias("rows"))
     chunked = assigned.join(lengths, "list").withColumn(
-        "chunk", C.salt("id", F.ceil(F.col("rows") / per_chunk))
+        "chunk", C.salt(F.xxhash64("id", "vec"), F.ceil(F.col("rows") / per_chunk))
     )
     packed = chunked.groupBy("list", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("x"))
     packed = stage.keep(packed.select("list", "chunk", F.col("x.id").alias("ids"), F.col("x.vec").alias("vecs")), "lists")
