@@ -1,13 +1,12 @@
 import os
 import sys
 
-import duckdb
 import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+from twins import SF, views  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,33 +25,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def views(folder):
-    con = duckdb.connect()
-    for file in sorted(os.listdir(folder)):
-        con.sql(f"CREATE VIEW {file.split('.')[0]} AS FROM '{folder}/{file}'")
-    return con
-
-
 @pytest.fixture(scope="session")
 def duck():
     return views(SF)
-
-
-def cells(df):
-    """Sorted rows of a pandas frame in a form that both engines share."""
-    import math
-
-    import pandas as pd
-
-    out = []
-    for row in df[sorted(df.columns)].itertuples(index=False):
-        cooked = []
-        for v in row:
-            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
-                cooked.append("~")
-            elif isinstance(v, bool) or not isinstance(v, (int, float)):
-                cooked.append(str(v))
-            else:
-                cooked.append(repr(float(v)))
-        out.append(tuple(cooked))
-    return sorted(out)

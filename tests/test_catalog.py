@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from conftest import SF, cells, views
+from twins import SF, cells, views
 from wearline.operators import series
 
 # The training-data queries have tests of their own.

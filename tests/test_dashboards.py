@@ -5,7 +5,7 @@ import datetime
 import duckdb
 import pytest
 
-from conftest import SF, cells
+from twins import SF, cells
 from wearline.plans.dashboards import named_queries
 from wearline.plans.fixtures import Tables
 from wearline.sources.tables import TABLES, read_tables

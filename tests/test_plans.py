@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
-from conftest import SF
+from twins import SF
 from wearline import schema as S
 from wearline.operators import entities as ent
 from wearline.operators import features as feat
