@@ -45,7 +45,7 @@ from .words import split_words, texts_of
 
 K = 50
 #: Documents of a tree, of a leaf and of a task; entries of a tree; groups of terms with a radius of their own.
-TREE, LEAF, PART, ENTRIES, GROUPS = 4096, 32, 1 << 17, 1 << 20, 64
+TREE, LEAF, PART, ENTRIES, GROUPS = 1024, 16, 1 << 14, 1 << 18, 64
 #: Different terms of the queries sent at a time, about, and the numbers of one dense query matrix.
 CHUNK_TERMS, DENSE = 1 << 18, 1 << 22
 #: Stands for a null document id in the trees.
@@ -386,6 +386,8 @@ def _rank_chunk(docs, key, text, asked, stage, k, tree, leaf, part, groups, shar
     m = F.expr(f"50 + (50 * n * {total}L) div {terms}L").alias("m")
     held = vectors.filter(F.size("dims") > 0).select("id", m, "dims", "tfs")
     trees = stage.replace(forest(held, spark.sparkContext.broadcast(weights), tree, leaf, part, groups), "trees", vectors)
+    # The files of small trees would be read by one task; dealt out, each task searches as many as it built.
+    trees = trees.repartition(C.pieces(total, part), F.xxhash64("ids"))
     own = [sorted(d for d in map(vocabulary.get, words) if frequency[d] and weights[d]) for _, words in asked]
     queries = np.cumsum([0] + [len(d) for d in own])
     dims = np.array([d for q in own for d in q], np.int64)
