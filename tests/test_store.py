@@ -1,8 +1,10 @@
 """Write rules: properties of upserts, registry and batch writes."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from wearline.operators import store
+from wearline.operators import database, store, versions
+from wearline.sources.tables import read_stored
 
 
 def rows_of(df, *order):
@@ -32,26 +34,22 @@ def test_incoming_row_wins_a_tie(spark):
     assert store.upsert_latest(target, rows, ["k"], ["v"]).first()["x"] == "new"
 
 
-def test_few_rows_are_merged_without_moving_the_target(spark):
-    target = spark.createDataFrame([(1, 1, "old"), (2, 5, "kept"), (4, 1, "same")], "k int, v int, x string")
-    rows = spark.createDataFrame([(1, 2, "new"), (2, 4, "stale"), (3, 1, "added"), (4, 1, "tie")], "k int, v int, x string")
-    got = store.upsert_few(target, F.broadcast(rows), ["k"], ["v"])
-    assert rows_of(got, "k") == rows_of(store.upsert_latest(target, rows, ["k"], ["v"]), "k")
-    assert rows_of(got, "k") == [(1, 2, "new"), (2, 5, "kept"), (3, 1, "added"), (4, 1, "tie")]
-    plan = got._jdf.queryExecution().executedPlan().toString().split("Union")[1]
-    assert "BroadcastHashJoin" in plan.split("SortMergeJoin")[0]
+def test_no_partitioning_decides_between_equal_versions(spark):
+    rows = spark.range(40).select(F.lit(1).alias("k"), F.lit(1).alias("v"), (F.col("id") * 7 % 40).alias("x"))
+    for n in (1, 3, 8):
+        assert store.upsert_latest(None, rows.repartition(n), ["k"], ["v"]).first()["x"] == 39
+        first = store.insert_first(None, rows.repartition(n).withColumn("at", F.lit(1)), ["k"], ["at"])
+        assert first.first()["x"] == 39
 
 
-def test_large_batches_merge_by_shuffle(spark, tmp_path, monkeypatch):
-    from wearline.operators import series
-
-    monkeypatch.setattr(series, "BROADCAST_ROWS", 1)
-    path = str(tmp_path / "readings")
-    schema = "subset int, k int, v int, x string"
-    for rows in ([(1, 1, 1, "a"), (1, 2, 5, "b")], [(1, 1, 2, "A"), (1, 2, 4, "B"), (2, 1, 1, "c")]):
-        store.merge_into(spark, path, spark.createDataFrame(rows, schema), ["subset", "k"], ["v"])
-    got = spark.read.parquet(path).select("subset", "k", "v", "x")
-    assert rows_of(got, "subset", "k") == [(1, 1, 2, "A"), (1, 2, 5, "b"), (2, 1, 1, "c")]
+def test_incomplete_keys_make_no_entity(spark):
+    dim = spark.createDataFrame([], "engine_id long, unit_number long, subset int")
+    rows = spark.createDataFrame([(None, 1), (3, None), (2, 1)], "unit_number long, subset int")
+    created, everything = store.get_or_create(dim, rows, ["unit_number", "subset"], "engine_id")
+    assert rows_of(created, "engine_id") == [(1, 2, 1)]
+    assert store.get_or_create(everything, rows, ["unit_number", "subset"], "engine_id")[0].count() == 0
+    _, broken = store.without_key(rows, ["unit_number", "subset"])
+    assert sorted(r["reason"] for r in broken.collect()) == ["no subset", "no unit_number"]
 
 
 def test_first_writer_wins(spark):
@@ -100,28 +98,6 @@ def test_registry_update_touches_active_rows_only(spark):
     assert (got[4]["model_version"], got[4]["train_rmse"]) == ("x", 4.0)
 
 
-def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
-    path = str(tmp_path / "readings")
-    schema = "subset int, k int, v int, x string"
-    first = spark.createDataFrame([(1, 1, 1, "a"), (1, 2, 1, "b"), (2, 1, 1, "c")], schema)
-    store.merge_into(spark, path, first, ["subset", "k"], ["v"])
-    untouched = {p.name for p in (tmp_path / "readings" / "subset=2").iterdir()}
-    second = spark.createDataFrame([(1, 2, 2, "B"), (1, 3, 1, "d")], schema)
-    for _ in range(2):
-        store.merge_into(spark, path, second, ["subset", "k"], ["v"])
-        got = spark.read.parquet(path).select("subset", "k", "v", "x")
-        assert rows_of(got, "subset", "k") == [(1, 1, 1, "a"), (1, 2, 2, "B"), (1, 3, 1, "d"), (2, 1, 1, "c")]
-    assert {p.name for p in (tmp_path / "readings" / "subset=2").iterdir()} == untouched
-
-
-def test_append_first_is_idempotent(spark, tmp_path):
-    path = str(tmp_path / "errors")
-    rows = spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "k int, at int")
-    for _ in range(2):
-        store.append_first(spark, path, rows, ["k"], ["at"])
-        assert rows_of(spark.read.parquet(path), "k") == [(1, 1), (2, 5)]
-
-
 def test_seed_guard(spark, tmp_path):
     path = str(tmp_path / "t")
     assert store.seed_table(spark, path, lambda: spark.range(2)) == "seeded"
@@ -138,13 +114,13 @@ def test_batch_write_can_be_repeated(spark, tmp_path):
         "subset int, unit_number long, cycle int, s2 double, predicted_rul double, n_history_cycles int",
     )
     for batch in (0, 0, 1):
-        store.write_batch(spark, tables, rows, registry(spark), batch, "2024-01-01 00:00:00")
-    assert rows_of(spark.read.parquet(f"{tables}/engines"), "engine_id") == [(1, 11, 1), (2, 11, 2), (3, 12, 1)]
-    readings = spark.read.parquet(f"{tables}/sensor_readings")
-    assert readings.count() == 3 and readings.filter("_batch = 1").count() == 3
-    log = spark.read.parquet(f"{tables}/predictions")
+        database.write_batch(spark, tables, rows, registry(spark), batch, "2024-01-01 00:00:00")
+    stored = read_stored(spark, tables, ["engines", "sensor_readings", "predictions"])
+    assert rows_of(stored["engines"].select("engine_id", "unit_number", "subset"), "engine_id") == [(1, 11, 1), (2, 11, 2), (3, 12, 1)]
+    assert stored["sensor_readings"].count() == 3
+    log = stored["predictions"]
     assert log.count() == 6
-    assert rows_of(log.filter("batch_id = 0").select("engine_id", "model_id", "health_status"), "engine_id") == [
+    assert rows_of(log.filter("request_id = 'batch-0'").select("engine_id", "model_id", "health_status"), "engine_id") == [
         (1, 2, "CRITICAL"), (2, 4, "WARNING"), (3, 2, "HEALTHY"),
     ]
 
@@ -158,14 +134,138 @@ def test_stored_log_reads_back_with_ids_and_rejects(spark, tmp_path):
         "subset int, unit_number long, cycle int, s2 double, predicted_rul double, n_history_cycles int, recorded_at string",
     ).withColumn("recorded_at", F.col("recorded_at").cast("timestamp_ntz"))
     for batch in (0, 0, 1):
-        store.write_batch(spark, tables, rows, registry(spark), batch, f"2024-01-0{batch + 1} 00:00:00")
-    log = spark.read.parquet(f"{tables}/predictions")
+        database.write_batch(spark, tables, rows, registry(spark), batch, f"2024-01-0{batch + 1} 00:00:00")
+    stored = read_stored(spark, tables, ["sensor_readings", "predictions", "rejects"])
+    log = stored["predictions"]
     assert log.select("prediction_id").distinct().count() == log.count() == 4
     assert fleet.latest_state(log).count() == 1
-    times = {str(r["recorded_at"]) for r in spark.read.parquet(f"{tables}/sensor_readings").collect()}
+    times = {str(r["recorded_at"]) for r in stored["sensor_readings"].collect()}
     assert times == {"2023-05-01 10:00:00", "2024-01-02 00:00:00"}
-    rejects = spark.read.parquet(f"{tables}/rejects")
-    assert [(r["unit_number"], r["reason"]) for r in rejects.collect()] == [(12, "no active model")] * 2
+    assert [(r["unit_number"], r["reason"]) for r in stored["rejects"].collect()] == [(12, "no active model")] * 2
+
+
+def test_rows_without_key_and_second_readings_of_a_cycle(spark, tmp_path):
+    """Five rows, written twice: one engine a key, one reading a cycle whose winner is defined, an id for
+    each prediction, and a reject for each row without a key."""
+    from wearline.operators import truth as tr
+
+    schema = "subset int, unit_number long, cycle int, s2 double, predicted_rul double, n_history_cycles int"
+    given = [(1, 11, 5, 1.0, 50.0, 5), (1, 11, 5, 2.0, 51.0, 5), (1, None, 5, 3.0, 9.0, 5), (None, 12, 5, 4.0, 9.0, 5), (1, 13, None, 5.0, 9.0, 5)]
+    winners = set()
+    for i, parts in enumerate((1, 4)):
+        tables = f"{tmp_path}/{i}"
+        for batch in (0, 1):
+            rows = spark.createDataFrame(given, schema).repartition(parts)
+            database.write_batch(spark, tables, rows, registry(spark), batch, "2024-01-01 00:00:00")
+        stored = read_stored(spark, tables, ["engines", "sensor_readings", "predictions", "rejects"])
+        assert rows_of(stored["engines"].select("engine_id", "unit_number", "subset"), "engine_id") == [(1, 11, 1)]
+        winners.add(rows_of(stored["sensor_readings"].select("engine_id", "cycle", "s2"), "s2")[0])
+        log = stored["predictions"]
+        assert log.count() == 4 == log.select("prediction_id").distinct().count()
+        assert sorted(r["reason"] for r in stored["rejects"].collect()) == ["no cycle"] * 2 + ["no subset"] * 2 + ["no unit_number"] * 2
+        one = log.filter("predicted_rul = 51 AND request_id = 'batch-0'")
+        truth = one.select("prediction_id", F.lit(50.0).alias("true_rul"), F.col("predicted_at").alias("submitted_at"))
+        assert tr.score_truths(log, truth)[0].count() == 1
+    assert len(winners) == 1
+    # With an order of arrival the later row is the stored one.
+    rows = spark.createDataFrame([(*given[1], 1), (*given[0], 2)], schema + ", at int")
+    database.write_batch(spark, f"{tmp_path}/at", rows, registry(spark), 0, "2024-01-01 00:00:00", arrival=["at"])
+    assert read_stored(spark, f"{tmp_path}/at", ["sensor_readings"])["sensor_readings"].first()["s2"] == 1.0
+
+
+def test_equal_rows_are_numbered_apart(spark):
+    rows = spark.createDataFrame([(1, 5.0)] * 3 + [(1, 6.0), (2, None)], "k int, x double")
+    got = store.with_positions(rows, ["k"])
+    assert got.count() == 5 and got.select("k", "position").distinct().count() == 5
+
+
+def lines(spark, n, value, start=0):
+    return spark.range(start, start + n).select(F.col("id").alias("k"), F.lit(value).alias("x"))
+
+
+def test_a_small_batch_leaves_other_buckets_alone(spark, tmp_path):
+    stored = versions.one_table(spark, str(tmp_path), versions.Spec("latest", ["k"], buckets=256))
+    with stored.commit() as commit:
+        commit.upsert("rows", lines(spark, 5000, 1), [F.col("x")])
+    before = stored.manifest()["tables"]["rows"]["buckets"]
+    with stored.commit() as commit:
+        commit.upsert("rows", lines(spark, 100, 2), [F.col("x")])
+    after = stored.manifest()["tables"]["rows"]["buckets"]
+    changed = {b for b in after if before.get(b) != after[b]}
+    assert len(before) == 256 and 0 < len(changed) <= 100
+    got = stored.read("rows")
+    assert got.count() == 5000 and got.agg(F.sum("x")).first()[0] == 5100
+    assert stored.read("rows", version=1).agg(F.sum("x")).first()[0] == 5000
+
+
+def test_a_killed_write_leaves_the_version_before(spark, tmp_path):
+    stored = versions.one_table(spark, str(tmp_path), versions.Spec("latest", ["k"], buckets=4))
+    with stored.commit("w", 0) as commit:
+        commit.upsert("rows", lines(spark, 10, 1), [F.col("x")])
+    with pytest.raises(RuntimeError, match="killed"):
+        with stored.commit("w", 1) as commit:
+            commit.upsert("rows", lines(spark, 10, 2), [F.col("x")])
+            raise RuntimeError("killed")
+    assert stored.read("rows").agg(F.sum("x")).first()[0] == 10 and not stored.holds("w", 1)
+    with stored.commit("w", 1) as commit:
+        commit.upsert("rows", lines(spark, 10, 3), [F.col("x")])
+    assert stored.read("rows").agg(F.sum("x")).first()[0] == 30
+    folders = len(list((tmp_path / "rows").iterdir()))
+    stored.vacuum(keep=1)
+    assert len(list((tmp_path / "rows").iterdir())) == folders - 1 and stored.read("rows").count() == 10
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    stored = versions.one_table(spark, str(tmp_path), versions.Spec("log"))
+    with pytest.raises(versions.ConcurrentWrite):
+        with stored.commit() as slow:
+            slow.append("rows", lines(spark, 1, 1))
+            with stored.commit() as fast:
+                fast.append("rows", lines(spark, 2, 2))
+    assert stored.read("rows").count() == 2
+
+
+def test_long_buckets_are_compacted(spark, tmp_path):
+    stored = versions.one_table(spark, str(tmp_path), versions.Spec("latest", ["k"], buckets=1))
+    for i in range(versions.MOST + 2):
+        with stored.commit() as commit:
+            commit.upsert("rows", lines(spark, 3, i, start=i % 4), [F.col("x")])
+    (entries,) = stored.manifest()["tables"]["rows"]["buckets"].values()
+    assert len(entries) == 2
+    assert rows_of(stored.read("rows"), "k") == [(0, 8), (1, 9), (2, 9), (3, 9), (4, 7), (5, 7)]
+
+
+def test_a_log_merges_its_small_parts(spark, tmp_path):
+    stored = versions.one_table(spark, str(tmp_path), versions.Spec("log"))
+    for i in range(versions.MOST * 2 + 1):
+        with stored.commit() as commit:
+            commit.append("rows", lines(spark, 2, i))
+    entries = stored.manifest()["tables"]["rows"]["buckets"]["all"]
+    assert sorted(size for _, size in entries) == [0, 1, 1]
+    assert stored.read("rows").count() == 2 * (versions.MOST * 2 + 1)
+
+
+def test_first_writers_read_only_the_buckets_of_their_keys(spark, tmp_path):
+    stored = versions.one_table(spark, str(tmp_path), versions.Spec("first", ["k"], buckets=1000))
+    with stored.commit() as commit:
+        commit.insert_first("rows", lines(spark, 20_000, 1), [F.col("x")])
+    few = spark.createDataFrame([(5, 2), (5, 3), (30_000, 2), (None, 9)], "k int, x int")
+    with stored.commit() as commit:
+        scan = commit.absent("rows", few)
+        read = {f.rsplit("/", 2)[1] for f in scan.inputFiles() if str(tmp_path) in f}
+        assert 0 < len(read) <= 3 < len(stored.manifest()["tables"]["rows"]["buckets"])
+        commit.insert_first("rows", few, [F.col("x")])
+    got = stored.read("rows", near=few)
+    assert got.filter("k = 5").first()["x"] == 1 and got.filter("k = 30000").first()["x"] == 2
+    assert stored.read("rows").count() == 20_002
+
+
+def test_later_columns_are_added(spark, tmp_path):
+    stored = versions.one_table(spark, str(tmp_path), versions.Spec("log"))
+    for rows in (lines(spark, 1, 1), lines(spark, 1, 2).withColumn("more", F.lit("m")), lines(spark, 1, 3)):
+        with stored.commit() as commit:
+            commit.append("rows", rows)
+    assert [tuple(r) for r in stored.read("rows").orderBy("x").collect()] == [(0, 1, None), (0, 2, "m"), (0, 3, None)]
 
 
 def test_append_predictions_by_subset(spark, tmp_path):

@@ -48,14 +48,14 @@ def same(a, b):
 def test_rolling_features_across_batches(spark, feed, tmp_path):
     folder = f"{tmp_path}/run"
     run(carry.stream_rolling_features(feed, folder, ["engine_id"], "cycle", ["x"], window=30))
-    got = spark.read.parquet(f"{folder}/features")
+    got = carry.output(spark, folder, "features")
     assert got.select("batch_id").distinct().count() == 4
 
     def cut(df):
         return df.select("engine_id", "cycle", F.round("x_rm", 9).alias("m"), F.round("x_rs", 9).alias("d"))
 
     same(cut(got), cut(feat.rolling_features(rows(spark), ["engine_id"], "cycle", ["x"], 30)))
-    assert spark.read.parquet(f"{folder}/rejects").count() == 0
+    assert carry.output(spark, folder, "rejects").count() == 0
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
@@ -63,7 +63,7 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     df = rows(spark, 60)
     for batch_id in (0, 1, 1):
         handle(df.filter(F.col("cycle").between(batch_id * 30, batch_id * 30 + 29)), batch_id)
-    assert spark.read.parquet(f"{tmp_path}/r/features").count() == 60
+    assert carry.output(spark, f"{tmp_path}/r", "features").count() == 60
 
 
 def test_late_rows_are_rejected(spark, tmp_path):
@@ -71,8 +71,8 @@ def test_late_rows_are_rejected(spark, tmp_path):
     df = rows(spark, 60)
     handle(df.filter("cycle >= 20"), 0)
     handle(df.filter("cycle < 20"), 1)
-    assert spark.read.parquet(f"{tmp_path}/r/features").count() == 40
-    rejects = spark.read.parquet(f"{tmp_path}/r/rejects")
+    assert carry.output(spark, f"{tmp_path}/r", "features").count() == 40
+    rejects = carry.output(spark, f"{tmp_path}/r", "rejects")
     assert rejects.count() == 20 and rejects.first()["reason"] == "out of order"
 
 
@@ -85,7 +85,7 @@ def test_latest_row_across_batches(spark, feed, tmp_path):
 def test_alerts_across_batches(spark, feed, tmp_path):
     folder = f"{tmp_path}/run"
     run(carry.stream_alerts(feed, folder, ["engine_id"], "cycle"))
-    got = spark.read.parquet(f"{folder}/alerts").select("engine_id", "cycle", "health_status", "previous")
+    got = carry.output(spark, folder, "alerts").select("engine_id", "cycle", "health_status", "previous")
     want = fleet.status_changes(rows(spark), ["engine_id"], "cycle").select(got.columns)
     same(got, want)
 
@@ -108,30 +108,16 @@ def test_hourly_mean_equals_batch(spark, feed, tmp_path):
     same(got, want)
 
 
-def test_truth_join_takes_the_first_submission(spark, feed, tmp_path):
-    truth = rows(spark).filter("cycle % 3 = 0").select(
-        F.col("cycle").alias("prediction_id"), F.lit(1.0).alias("true_rul"), F.col("predicted_at").alias("submitted_at")
-    )
-    again = truth.withColumn("true_rul", F.lit(2.0))
-    for df in (truth, again):
-        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/truth")
-    stream = spark.readStream.schema(truth.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/truth")
-    pred = feed.withColumnRenamed("cycle", "prediction_id")
-    got = table_of(windows.stream_truth_join(pred, stream, "2 days"), tmp_path, "j")
-    assert got.count() == 134
-    assert {r["true_rul"] for r in got.select("true_rul").distinct().collect()} == {1.0}
-
-
 def test_repeated_and_late_rows_are_rejects(spark, tmp_path):
     folder = f"{tmp_path}/run"
     handle = carry.alert_batch(folder, ["engine_id"], "cycle")
     schema = "engine_id int, cycle int, health_status string"
     handle(spark.createDataFrame([(1, 1, "HEALTHY"), (1, 2, "WARNING"), (1, 2, "CRITICAL")], schema), 0)
     handle(spark.createDataFrame([(1, 2, "HEALTHY"), (1, 3, "HEALTHY")], schema), 1)
-    rejects = spark.read.parquet(f"{folder}/rejects")
+    rejects = carry.output(spark, folder, "rejects")
     got = sorted((r["batch_id"], r["cycle"], r["health_status"], r["reason"]) for r in rejects.collect())
     assert got == [(0, 2, "WARNING", "repeated"), (1, 2, "HEALTHY", "out of order")]
-    alerts = spark.read.parquet(f"{folder}/alerts").orderBy("cycle").collect()
+    alerts = carry.output(spark, folder, "alerts").orderBy("cycle").collect()
     assert [(r["cycle"], r["previous"], r["health_status"]) for r in alerts] == [
         (2, "HEALTHY", "CRITICAL"), (3, "CRITICAL", "HEALTHY"),
     ]
@@ -143,18 +129,86 @@ def test_a_missing_version_fails(spark, tmp_path):
         handle(spark.createDataFrame([(1, 1)], "engine_id int, cycle int"), 3)
 
 
-def test_a_second_truth_days_later_is_dropped(spark, tmp_path):
-    t = "timestamp_ntz"
-    pred = spark.createDataFrame([(1, 5.0, "2024-01-01 00:00:00"), (2, 6.0, "2024-01-09 00:00:00")], "prediction_id int, predicted_rul double, at string")
-    pred = pred.select("prediction_id", "predicted_rul", F.col("at").cast(t).alias("predicted_at"))
-    times = ["2024-01-02 00:00:00", "2024-01-08 00:00:00", "2024-01-10 00:00:00"]
-    for i, (key, value) in enumerate([(1, 1.0), (1, 9.0), (2, 2.0)]):
-        one = spark.createDataFrame([(key, value, times[i])], "prediction_id int, true_rul double, at string")
-        one.select("prediction_id", "true_rul", F.col("at").cast(t).alias("submitted_at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/truth")
-    pred.coalesce(1).write.parquet(f"{tmp_path}/pred")
-    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
-    joined = windows.stream_truth_join(
-        read("pred", pred.schema), read("truth", "prediction_id int, true_rul double, submitted_at timestamp_ntz")
-    )
-    got = table_of(joined.select("prediction_id", "true_rul"), tmp_path, "second")
-    assert sorted(map(tuple, got.collect())) == [(1, 1.0), (2, 2.0)]
+def at(day, hour=0):
+    return f"2024-{1 + (day - 1) // 28:02d}-{1 + (day - 1) % 28:02d} {hour:02d}:00:00"
+
+
+def truth_feed(spark, folder, pred, truth):
+    """Streams of one file for each list of rows: (id, value, time) with the time as text."""
+    out = []
+    for name, batches, value, time in (("pred", pred, "predicted_rul", "predicted_at"), ("truth", truth, "true_rul", "submitted_at")):
+        for rows in batches:
+            df = spark.createDataFrame(rows, f"prediction_id long, {value} double, t string")
+            df = df.select("prediction_id", value, F.col("t").cast("timestamp_ntz").alias(time))
+            df.coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        out.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}"))
+    return out
+
+
+def test_every_truth_and_prediction_comes_out_once(spark, tmp_path):
+    pred = [
+        [(1, 10.0, at(1)), (2, 20.0, at(1)), (3, 30.0, at(1)), (4, 40.0, at(1)), (8, 80.0, None)],
+        [(5, 50.0, at(2)), (6, 60.0, at(3))],
+        [(9, 90.0, at(28))],
+    ]
+    truth = [
+        # 1: two in time, the earlier one in a later row; 3: early, then one in time; 5: comes before its prediction is read
+        [(1, 2.0, at(1, 3)), (1, 1.0, at(1, 2)), (3, 3.0, at(0 + 1, 0)), (77, 7.0, at(1, 5)), (None, 0.0, at(1, 6)), (4, 4.0, None)],
+        [(5, 5.0, at(2, 1)), (1, 9.0, at(2, 2)), (6, 6.0, at(2, 3)), (6, 6.5, at(3, 3))],
+        [(2, 2.0, at(6)), (99, 1.0, at(28))],
+    ]
+    truth[0][2] = (3, 3.0, "2023-12-31 22:00:00")
+    truth[1].append((3, 3.5, at(2, 4)))
+    folder = f"{tmp_path}/run"
+    run(windows.stream_truths(*truth_feed(spark, tmp_path, pred, truth), folder, delay="1 hour", longest_wait="3 days", remember="6 days"))
+    stored = windows.truth_tables(spark, folder)
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    assert rows(stored.read("errors"), "prediction_id", "true_rul", "error", "band") == [
+        (1, 1.0, 9.0, "OK"), (3, 3.5, 26.5, "LATE"), (5, 5.0, 45.0, "LATE"), (6, 6.5, 53.5, "LATE"),
+    ]
+    assert rows(stored.read("rejects"), "prediction_id", "true_rul", "reason") == sorted([
+        (2, 2.0, "too late"), (3, 3.0, "before its prediction"), (4, 4.0, "no time"), (6, 6.0, "before its prediction"),
+        (77, 7.0, "unknown prediction_id"), (None, 0.0, "unknown prediction_id"),
+    ], key=str)
+    # The last rows are still awaited: the watermark stands an hour before them.
+    assert rows(stored.read("open"), "prediction_id", "outcome") == [(4, "no truth"), (8, "no time")]
+
+
+def test_a_repeated_truth_batch_changes_nothing(spark, tmp_path):
+    schema = "prediction_id long, predicted_rul double, true_rul double, submitted_at timestamp, outcome string"
+    df = spark.createDataFrame([(1, 5.0, 2.0, None, "in time"), (2, 5.0, 2.0, None, "too late"), (3, 5.0, None, None, "no truth")], schema)
+    df = df.withColumn("submitted_at", F.when(F.col("true_rul").isNotNull(), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    handle = windows.truth_batch(f"{tmp_path}/run")
+    for batch_id in (0, 0, 1):
+        handle(df, batch_id)
+    stored = windows.truth_tables(spark, f"{tmp_path}/run")
+    assert [stored.read(n).count() for n in ("errors", "rejects", "open")] == [1, 2, 2]
+
+
+def test_missing_numbers_and_keys_are_never_lost(spark, tmp_path):
+    """Rows without a sequence number are rejects; a missing series key is a series like any other."""
+    folder = f"{tmp_path}/run"
+    handle = carry.rolling_batch(folder, ["engine_id"], "cycle", ["x"], 5, step=1)
+    schema = "engine_id long, cycle long, x double"
+    handle(spark.createDataFrame([(None, 7, 1.0), (None, 9, 2.0), (1, None, 3.0), (1, 4, 4.0)], schema), 0)
+    handle(spark.createDataFrame([(None, 7, 5.0), (None, 10, 6.0), (1, 9, 7.0), (1, None, 8.0)], schema), 1)
+    made = carry.output(spark, folder, "features")
+    assert sorted((str(r["engine_id"]), r["cycle"]) for r in made.collect()) == [("1", 4), ("1", 9), ("None", 7), ("None", 9), ("None", 10)]
+    rejects = carry.output(spark, folder, "rejects")
+    assert sorted((str(r["engine_id"]), str(r["cycle"]), r["reason"], r["kept"], r["batch_id"]) for r in rejects.collect()) == [
+        ("1", "9", "gap before", True, 1), ("1", "None", "no sequence number", False, 0), ("1", "None", "no sequence number", False, 1),
+        ("None", "7", "out of order", False, 1), ("None", "9", "gap before", True, 0),
+    ]
+
+
+def test_a_batch_touches_the_state_of_its_series_only(spark, tmp_path):
+    folder = f"{tmp_path}/run"
+    handle = carry.rolling_batch(folder, ["engine_id"], "cycle", ["x"], 5)
+    schema = "engine_id long, cycle long, x double"
+    handle(spark.createDataFrame([(e, 1, 1.0) for e in range(200)], schema), 0)
+    tables = carry.state_tables(spark, folder, ["engine_id"])
+    before = tables.manifest()["tables"]["carried"]["buckets"]
+    handle(spark.createDataFrame([(3, 2, 1.0), (3, 3, 1.0)], schema), 1)
+    after = tables.manifest()["tables"]["carried"]["buckets"]
+    assert len(before) > 50 and len({b for b in before if before[b] != after[b]}) == 1
+    assert carry.output(spark, folder, "carried").count() == 202

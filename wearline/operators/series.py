@@ -214,10 +214,19 @@ def attach_series(df: DataFrame, keys: list[str], slice_col: Column, aggregates:
     return rows.join(totals, [*keys, "_slice"], "left").select(*df.columns, *aggregates)
 
 
-def salted_join(rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner") -> DataFrame:
+def salted_join(
+    rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner", null_safe: bool = False
+) -> DataFrame:
     """Join rows with a table of one row per key so that no key stays whole:
     each row of the table is repeated per salt and a key's rows spread over the
-    salts. For plans that adaptive execution does not reach."""
+    salts. For plans that adaptive execution does not reach. ``null_safe`` makes
+    a missing key part equal to a missing one."""
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(SALTS)).cast("int")
     copies = per_key.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+    salted = rows.withColumn("_salt", salt)
+    if not null_safe:
+        return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    named = copies.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_salt").alias("_to"),
+                          *[c for c in per_key.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys] + [F.col("_salt") == F.col("_to")]
+    return salted.join(named, same, how).drop("_salt", "_to", *[f"_of_{k}" for k in keys])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wearline import schema as S
 from wearline.functions import columns as C
@@ -20,44 +21,67 @@ def get_or_create(
 
     New keys get ids after the highest one, in key order, so a rerun on the
     same input gives the same ids. ``at`` is a number rising with the key order
-    (default: the first key) and lets the numbering spread over tasks.
+    (default: the first key) and lets the numbering spread over tasks. A key with
+    a missing part names no entity and gets no row; see ``without_key``.
     """
-    absent = rows.select(*keys).distinct().join(dim.select(*keys), keys, "left_anti")
+    absent = rows.select(*keys).dropna().distinct().join(dim.select(*keys), keys, "left_anti")
     start = dim.agg(F.max(id_col)).first()[0] or 0
     numbered = series.number_rows(absent, [], keys, out="_rank", at=at)
     created = numbered.select((F.col("_rank") + start).cast("long").alias(id_col), *keys)
     return created, dim.select(id_col, *keys).unionByName(created)
 
 
+def without_key(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with all parts of their key, rejects that name the first missing part)."""
+    missing = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(f"no {k}")) for k in keys])
+    marked = rows.withColumn("reason", missing)
+    return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
+
+
+def tie_break(df: DataFrame, last: Column | None = None) -> list[Column]:
+    """An order among rows of equal version, winners first: the later position in a request if
+    there is one, then all values, so that no partitioning decides which row wins."""
+    sortable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return ([last.desc()] if last is not None else []) + [F.col(f"`{c}`").desc_nulls_last() for c in sortable]
+
+
+def with_positions(rows: DataFrame, keys: list[str], arrival: list[str] = [], out: str = "position") -> DataFrame:
+    """Numbers the rows of each key where no request gives them a position, in the order of the
+    numeric columns ``arrival`` and of a hash of the values.
+
+    Equal rows are counted first and the different rows of a key are numbered along a hash of their
+    values, so neither a key nor a row that is most of the table meets in one task.
+    """
+    if out in rows.columns:
+        return rows
+    names = rows.columns
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_copies"))
+    digest = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    order = [*arrival, "_hash", *[n for n in names if n not in arrival]]
+    ranked = series.number_rows(counted.withColumn("_hash", digest), keys, order, out="_rank")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))
+    return ranked.select(*names, "_rank", copy.alias("_copy")).select(
+        *names, (F.col("_copy") * F.lit(2**32) + F.col("_rank")).alias(out)
+    )
+
+
 def upsert_latest(target: DataFrame | None, rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """Target after an upsert: per key the row with the highest version.
 
-    On equal versions an incoming row beats a stored one.
+    On equal versions an incoming row beats a stored one, and of several incoming
+    ones the one with the greatest values in the order of the columns.
     """
     incoming = rows.withColumn("_new", F.lit(1))
     both = incoming if target is None else incoming.unionByName(target.withColumn("_new", F.lit(0)))
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(v).desc() for v in version], F.col("_new").desc())
+    order = [F.col(v).desc() for v in version] + [F.col("_new").desc()] + tie_break(rows)
+    newest = Window.partitionBy(*keys).orderBy(*order)
     return both.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank", "_new")
 
 
-def upsert_few(target: DataFrame, rows: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """``upsert_latest`` for a few incoming rows, one per key on either side.
-
-    ``rows`` must carry a broadcast hint; the target is then only streamed past
-    them, without shuffle or sort.
-    """
-    given = rows.select(*keys, F.struct(*version).alias("_given"))
-    marked = target.join(F.broadcast(given), keys, "left")
-    stays = F.col("_given").isNull() | (F.struct(*[F.col(v) for v in version]) > F.col("_given"))
-    newer_there = marked.filter(F.col("_given").isNotNull() & stays).select(*keys)
-    kept = marked.filter(stays).drop("_given").select(*target.columns)
-    return kept.unionByName(rows.join(newer_there, keys, "left_anti").select(*target.columns))
-
-
 def insert_first(target: DataFrame | None, rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows to append: the earliest per key among those the target lacks."""
     fresh = rows if target is None else rows.join(target.select(*keys), keys, "left_anti")
-    earliest = Window.partitionBy(*keys).orderBy(*order)
+    earliest = Window.partitionBy(*keys).orderBy(*order, *tie_break(rows))
     return fresh.withColumn("_rank", F.row_number().over(earliest)).filter(F.col("_rank") == 1).drop("_rank")
 
 
@@ -103,12 +127,14 @@ def prediction_rows(
     """Scored rows in the shape of the prediction log.
 
     A ``predicted_at`` already present (back-dated history) is kept; the rest
-    is stamped ``as_of``. The id follows from request, engine and cycle, so a
-    repeated write gives the same ids.
+    is stamped ``as_of``. The id follows from request, engine, cycle and the
+    ``position`` of the row in the request (0 where there is none), so a repeated
+    write gives the same ids and two readings of one cycle have two.
     """
     has_time = "predicted_at" in scored.columns
+    position = "position" if "position" in scored.columns else F.lit(0)
     return scored.select(
-        prediction_id(F.lit(request_id), "engine_id", "cycle").alias("prediction_id"),
+        prediction_id(F.lit(request_id), "engine_id", "cycle", position).alias("prediction_id"),
         F.lit(request_id).alias("request_id"),
         "subset",
         "engine_id",
@@ -141,10 +167,13 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediates: ``spark.checkpoint.dir``, or
-    a folder below the warehouse where the session names none."""
+    a folder below the warehouse where the session names none. On a cluster that
+    must not be a local folder, which other machines do not see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if not spark.sparkContext.master.startswith("local[") and folder.startswith("file:"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -157,73 +186,9 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def merge_into(
-    spark: SparkSession, path: str, rows: DataFrame, keys: list[str], version: list[str],
-    by: str = "subset",
-) -> None:
-    """Upsert into a parquet table partitioned by ``by``.
-
-    Only the partitions present in ``rows`` are read and rewritten. The merged
-    rows are checkpointed first: the table must not be read while its files are
-    replaced, and a lost executor must not reread replaced files.
-    """
-    checkpoint_folder(spark)
-    target = None
-    if table_exists(spark, path):
-        touched = series.checked_broadcast(rows.select(by).distinct())
-        target = spark.read.parquet(path).join(touched, by, "left_semi").select(*rows.columns)
-    few = None if target is None else series.few_rows(ent.newest_rows(rows, keys, version, 1))
-    merged = upsert_latest(target, rows, keys, version) if few is None else upsert_few(target, few, keys, version)
-    merged = merged.checkpoint()
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-
-
-def append_first(
-    spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str]
-) -> None:
-    """Append the rows whose key the table lacks, the earliest per key."""
-    checkpoint_folder(spark)
-    target = spark.read.parquet(path) if table_exists(spark, path) else None
-    insert_first(target, rows, keys, order).checkpoint().write.mode("append").parquet(path)
-
-
 def seed_table(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> str:
     """Fill a table unless it already holds rows; ``force`` fills it anyway."""
     if not force and table_exists(spark, path) and not spark.read.parquet(path).isEmpty():
         return "skipped"
     build().write.mode("overwrite").parquet(path)
     return "seeded"
-
-
-def write_batch(spark: SparkSession, tables: str, rows: DataFrame, registry: DataFrame, batch_id: int, as_of,
-                endpoint: str = "/predict/batch", cap: int = S.RUL_CAP) -> None:
-    """Store one micro-batch: engines, readings and predictions.
-
-    ``rows`` holds scored readings (subset, unit_number, cycle, sensors,
-    predicted_rul, n_history_cycles). Safe to repeat: engines are created only
-    once, readings are upserted, and the predictions and rejects of a batch live
-    in partitions of their own, which a retry overwrites. Readings keep their own
-    ``recorded_at`` and get ``as_of`` where they have none. Each table is written by itself;
-    there is no transaction across them.
-    """
-    checkpoint_folder(spark)
-    keys = ["unit_number", "subset"]
-    engines_path = f"{tables}/engines"
-    dim = (
-        spark.read.parquet(engines_path)
-        if table_exists(spark, engines_path)
-        else spark.createDataFrame([], "engine_id long, unit_number long, subset int")
-    )
-    rows = rows.checkpoint()
-    created, _ = get_or_create(dim, rows, keys, "engine_id", at=F.col("unit_number"))
-    created.checkpoint().write.mode("append").parquet(engines_path)
-    engines = spark.read.parquet(engines_path)
-    stored, rejects = with_active_model(rows.join(engines, keys), registry)
-    rejects.write.mode("overwrite").parquet(f"{tables}/rejects/batch_id={batch_id}")
-    at = F.coalesce("recorded_at", C.time_literal(as_of)) if "recorded_at" in rows.columns else C.time_literal(as_of)
-    readings = stored.drop("model_id", "predicted_rul", "prediction", "n_history_cycles", "unit_number").withColumn(
-        "recorded_at", at
-    ).withColumn("_batch", F.lit(batch_id))
-    merge_into(spark, f"{tables}/sensor_readings", readings, ["subset", "engine_id", "cycle"], ["_batch"], "subset")
-    log = prediction_rows(stored, endpoint, f"batch-{batch_id}", as_of, cap)
-    log.write.mode("overwrite").parquet(f"{tables}/predictions/batch_id={batch_id}")

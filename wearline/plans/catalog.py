@@ -119,7 +119,7 @@ def _(t: Tables):
 
 
 @query("prediction_log_rows", "K1 J8 F11", """
-SELECT CAST('0x' || substr(md5('run-1|' || s.unit || '|' || s.cycle), 1, 15) AS BIGINT) AS prediction_id,
+SELECT CAST('0x' || substr(md5('run-1|' || s.unit || '|' || s.cycle || '|0'), 1, 15) AS BIGINT) AS prediction_id,
        s.subset, s.unit AS engine_id, m.model_id, s.cycle, s.cycle AS n_history_cycles, s.predicted_rul,
        CASE WHEN s.predicted_rul <= 10 THEN 'CRITICAL' WHEN s.predicted_rul <= 30 THEN 'WARNING' ELSE 'HEALTHY' END AS health_status,
        125 AS rul_cap, '/predict/batch' AS endpoint, 'run-1' AS request_id, 0.0::DOUBLE AS latency_ms, (SELECT ts FROM as_of) AS predicted_at

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wearline import schema as S
-from wearline.operators import fleet, store
-from wearline.operators import truth as tr
+from wearline.operators import database, fleet, store, versions
 from wearline.plans.catalog import KEYS, query
 from wearline.plans.dashboards import named_queries
 from wearline.plans.fixtures import Tables
@@ -77,38 +76,111 @@ def _(t: Tables):
 
 
 @query("stored_predictions", "K9 K1 K3 K4 S7 A12 J7 P10", """
-SELECT r.subset, count(*) AS n_predictions, count(DISTINCT r.unit) AS n_engines, count(*) FILTER (event_id % 3 = 0) AS n_errors,
-       -5.0::DOUBLE AS mean_error, max(cycle) AS last_cycle, (SELECT count(*) FROM bad_readings WHERE subset = 9) AS n_rejects,
-       1 AS n_unknown
-FROM (SELECT event_id, unit, CAST(cycle AS INTEGER) AS cycle, subset FROM readings WHERE event_id % 50 <> 5) r GROUP BY r.subset""")
+SELECT r.subset, count(*) + count(*) FILTER (event_id % 30 = 1) AS n_predictions, count(DISTINCT r.unit) AS n_engines,
+       count(*) FILTER (event_id % 3 = 0) AS n_errors, -5.0::DOUBLE AS mean_error, max(cycle) AS last_cycle, count(*) AS n_readings,
+       round(sum(CASE WHEN event_id % 30 = 1 THEN s2 + 1000 ELSE s2 END), 6) AS sum_s2,
+       (SELECT count(*) FROM bad_readings WHERE subset = 9) AS n_no_model, (SELECT count(*) FROM readings WHERE event_id % 50 = 8) AS n_no_unit,
+       (SELECT count(*) FROM readings WHERE event_id % 50 = 9) AS n_no_subset, 1 AS n_unknown
+FROM (SELECT event_id, unit, CAST(cycle AS INTEGER) AS cycle, subset, s2 FROM readings WHERE event_id % 50 NOT IN (5, 8, 9)) r GROUP BY r.subset""")
 def _(t: Tables):
     folder = run_folder(t.spark)
-    # Two batches, both with rows of a dataset that no model is for.
-    subset = F.when(F.col("event_id") % 50 == 5, F.lit(9)).otherwise(F.col("subset"))
+    # Two batches. Both hold rows of a dataset that no model is for, rows without a unit or a dataset, and second readings of a
+    # cycle; the one with the later time of arrival counts.
+    kind = F.col("event_id") % 50
     rows = t.readings.select(
-        "event_id", subset.alias("subset"), F.col("unit").alias("unit_number"), F.col("cycle").cast("int").alias("cycle"),
+        "event_id", F.when(kind == 5, F.lit(9)).when(kind != 9, F.col("subset")).alias("subset"),
+        F.when(kind != 8, F.col("unit")).alias("unit_number"), F.col("cycle").cast("int").alias("cycle"),
         "s2", "recorded_at", F.col("recorded_at").alias("predicted_at"), F.col("cycle").alias("n_history_cycles"),
-        (F.col("event_id") % 126).cast("double").alias("predicted_rul"),
+        (F.col("event_id") % 126).cast("double").alias("predicted_rul"), F.lit(0).alias("arrived"),
     )
-    for batch in (0, 1):
-        store.write_batch(t.spark, folder, rows.filter(F.col("event_id") % 2 == batch), t.registry, batch, t.as_of)
-    stored = tables.read_tables(t.spark, folder, ["engines", "sensor_readings", "predictions"])
+    second = rows.filter("event_id % 30 = 1 AND event_id % 50 NOT IN (5, 8, 9)").withColumn("s2", F.col("s2") + 1000)
+    rows = rows.unionByName(second.withColumn("arrived", F.lit(1)))
+    for batch in (0, 1, 1):
+        part = rows.filter(F.col("event_id") % 2 == batch)
+        database.write_batch(t.spark, folder, part, t.registry, batch, t.as_of, arrival=["arrived"], buckets=8)
+    stored = tables.read_stored(t.spark, folder, ["engines", "sensor_readings", "predictions"])
     log = stored["predictions"].drop("subset").join(stored["engines"], "engine_id")
-    ids = stored["sensor_readings"].filter(F.col("event_id") % 3 == 0).select("engine_id", "cycle")
-    truth = log.join(ids, ["engine_id", "cycle"]).select(
-        "prediction_id", (F.col("predicted_rul") + 5).alias("true_rul"), F.col("predicted_at").alias("submitted_at")
-    )
-    unknown = truth.limit(1).withColumn("prediction_id", F.lit(-1).cast("long"))
-    errors, lost = tr.score_truths(log, truth.unionByName(unknown), ["subset"])
+    readings = stored["sensor_readings"]
+    ids = readings.filter(F.col("event_id") % 3 == 0).select("engine_id", "cycle", "event_id")
+    picked = log.join(ids, ["engine_id", "cycle"])
+    one = picked.groupBy("engine_id", "cycle").agg(
+        F.min("prediction_id").alias("prediction_id"), F.max("predicted_rul").alias("predicted_rul"),
+        F.max("predicted_at").alias("submitted_at"),
+    )
+    truth = one.select("prediction_id", (F.col("predicted_rul") + 5).alias("true_rul"), "submitted_at")
+    unknown = truth.limit(1).withColumn("prediction_id", F.lit(2**61).cast("long"))
+    database.submit_truths(t.spark, folder, truth.unionByName(unknown), 0, buckets=8)
+    errors = tables.read_stored(t.spark, folder, ["prediction_errors"])["prediction_errors"].join(stored["engines"], "engine_id")
     facts = errors.groupBy("subset").agg(F.count(F.lit(1)).alias("n_errors"), F.avg("error").alias("mean_error"))
     state = fleet.latest_state(log).groupBy("subset").agg(F.count(F.lit(1)).alias("n_engines"))
     counts = log.groupBy("subset").agg(F.countDistinct("prediction_id").alias("n_predictions"), F.max("cycle").alias("last_cycle"))
-    rejects = t.spark.read.parquet(f"{folder}/rejects").count()
-    out = counts.join(state, "subset").join(facts, "subset")
+    kept = readings.groupBy("subset").agg(F.count(F.lit(1)).alias("n_readings"), F.sum("s2").alias("sum_s2"))
+    lost = tables.read_stored(t.spark, folder, ["rejects"])["rejects"].agg(*[
+        F.count_if(F.col("reason") == reason).alias(name) for reason, name in [
+            ("no active model", "n_no_model"), ("no unit_number", "n_no_unit"), ("no subset", "n_no_subset"), ("unknown prediction_id", "n_unknown"),
+        ]
+    ])
+    out = counts.join(state, "subset").join(facts, "subset").join(kept, "subset").join(F.broadcast(lost))
     return out.select(
         "subset", "n_predictions", "n_engines", "n_errors", F.round("mean_error", 6).alias("mean_error"), "last_cycle",
-        F.lit(rejects).cast("long").alias("n_rejects"), F.lit(lost.count()).cast("int").alias("n_unknown"),
+        "n_readings", F.round("sum_s2", 6).alias("sum_s2"), "n_no_model", "n_no_unit", "n_no_subset", "n_unknown",
+    )
+
+
+@query("versioned_upsert", "K4 K9", """
+SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, turn DESC, l_quantity DESC) AS rn
+      FROM (SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_orderkey % 10 AS turn FROM lineitem
+            UNION ALL
+            SELECT l_orderkey - l_orderkey % 10, l_linenumber, l_shipdate, l_quantity + 100, l_orderkey % 10 FROM lineitem) u) q WHERE rn = 1""")
+def _(t: Tables):
+    # Ten commits; the lines of nine orders out of ten are also new versions of the tenth's.
+    spec = versions.Spec("latest", ["l_orderkey", "l_linenumber"], ["l_shipdate"], buckets=16)
+    stored = versions.one_table(t.spark, f"{run_folder(t.spark)}/lines", spec)
+    rows = t.source("lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
+    turn = F.col("l_orderkey") % 10
+    moved = rows.withColumn("l_orderkey", F.col("l_orderkey") - turn).withColumn("l_quantity", F.col("l_quantity") + 100)
+    both = store.materialised(rows.withColumn("turn", turn).unionByName(moved.withColumn("turn", turn)))
+    for number in range(10):
+        with stored.commit("orders", number) as commit:
+            part = both.filter(F.col("turn") == number).drop("turn")
+            commit.upsert("rows", part, [F.col("l_quantity").desc()])
+    return stored.read("rows")
+
+
+@query("first_writer_log", "K5", """
+SELECT prediction_id, true_rul, submitted_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY date_trunc('day', submitted_at), submitted_at, true_rul) AS rn FROM truths) q WHERE rn = 1""")
+def _(t: Tables):
+    # The truths in the order of their days, in four appends, the last one twice.
+    stored = versions.one_table(t.spark, f"{run_folder(t.spark)}/truths", versions.Spec("first", ["prediction_id"], buckets=32))
+    truths = store.materialised(t.truths)
+    day = F.dayofmonth("submitted_at") + F.when(F.month("submitted_at") > 1, 31).otherwise(0)
+    for number, (low, high) in enumerate([(0, 8), (8, 16), (16, 24), (24, 99), (24, 99)]):
+        with stored.commit() as commit:
+            commit.insert_first("rows", truths.filter((day > low) & (day <= high)), [F.col("submitted_at"), F.col("true_rul")])
+    return stored.read("rows")
+
+
+@query("stored_replay", "M10 M5 K1 K5 J1", """
+SELECT subset, count(*) AS n_evaluated, round(sqrt(avg(error * error)), 4) AS rmse, round(avg(abs(error)), 4) AS mae,
+       (SELECT count(*) FROM replayed r2 WHERE r2.subset = r.subset) AS n_stored, 2 AS n_runs
+FROM replayed r GROUP BY subset""")
+def _(t: Tables):
+    # Replayed twice: the second run adds predictions and errors of its own, none of the first run's change.
+    folder = run_folder(t.spark)
+    rows = store.materialised(t.readings.select(*KEYS, "cycle", "s2"))
+    for run in (0, 1, 1):
+        report = database.store_replay(t.spark, folder, rows, t.truth_by_rank, t.baseline, t.registry, run, t.as_of, ["s2"], buckets=8)
+    stored = tables.read_stored(t.spark, folder, ["prediction_errors", "engines", "predictions"])
+    errors = stored["prediction_errors"].join(stored["predictions"].select("prediction_id", "request_id", "subset"), "prediction_id")
+    runs = errors.groupBy("subset").agg(
+        F.expr("CAST(count(*) / count(DISTINCT request_id) AS BIGINT)").alias("n_stored"),
+        F.countDistinct("request_id").cast("int").alias("n_runs"),
     )
+    return report.join(runs, "subset").select(
+        "subset", "n_evaluated", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), "n_stored", "n_runs"
+    )
 
 
 # --- panels of one engine -----------------------------------------------------------

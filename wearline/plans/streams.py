@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wearline import schema as S
 from wearline.functions import columns as C
-from wearline.operators import store
+from wearline.operators import database, store
 from wearline.operators import truth as tr
 from wearline.plans.catalog import query, rounded
 from wearline.plans.fixtures import Tables
@@ -22,24 +22,40 @@ def run_folder(spark: SparkSession) -> str:
     return f"{store.checkpoint_folder(spark)}/wearline/{uuid.uuid4().hex}"
 
 
-def event_stream(t: Tables, late_hours: int = 0) -> DataFrame:
+def feed(t: Tables, rows: DataFrame, at: str, parts: int = 4) -> DataFrame:
+    """Rows as a stream: files in the order of ``at``, one for each micro-batch."""
+    rows = store.materialised(rows)
+    seconds = F.col(at).cast("timestamp").cast("double")
+    shares = [i / parts for i in range(1, parts)]
+    cuts = rows.agg(F.percentile_approx(seconds, shares, 10_000)).first()[0] or []
+    path = f"{run_folder(t.spark)}/feed"
+    for i in range(len(cuts) + 1):
+        part = F.lit(True) if i == 0 else seconds > cuts[i - 1]
+        part = part if i == len(cuts) else part & (seconds <= cuts[i])
+        # Files are taken in the order of their times, so each is written by itself.
+        rows.filter(F.coalesce(part, F.lit(i == 0))).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def event_rows(t: Tables) -> DataFrame:
     """Events as stored predictions: all columns follow from the row alone."""
-    schema = t.source("events").schema
-    events = t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/events*.parquet")
     subset = (F.col("user_id") % 4 + 1).cast("int")
-    at = F.timestamp_add("HOUR", F.lit(late_hours), F.col("ts")).cast("timestamp_ntz") if late_hours else F.col("ts")
     raw = (F.col("event_id") * 7 % 150).cast("double")
-    return events.select(
+    return t.source("events").select(
         F.col("event_id").alias("prediction_id"),
         (F.col("user_id") * 10 + subset).alias("engine_id"),
         subset.alias("subset"),
         C.clip_rul(raw).alias("predicted_rul"),
         C.health_status(C.clip_rul(raw)).alias("health_status"),
         F.col("value").alias("s2"),
-        at.alias("predicted_at"),
+        F.col("ts").alias("predicted_at"),
     )
 
 
+def event_stream(t: Tables) -> DataFrame:
+    return feed(t, event_rows(t), "predicted_at")
+
+
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream to the end of its input into parquet and read that."""
     out = f"{folder}/out"
@@ -86,17 +102,34 @@ def _(t: Tables):
     return run_to_table(windows.stream_accuracy(errors), run_folder(t.spark))
 
 
-@query("stream_rolling_features", "R3", f"""
-SELECT engine_id, prediction_id, round(avg(s2) OVER w, 6) AS s2_rm, round(coalesce(stddev_samp(s2) OVER w, 0), 6) AS s2_rs
-FROM {_EVENTS_SQL} e WINDOW w AS (PARTITION BY engine_id ORDER BY prediction_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+@query("stream_rolling_features", "R3", """
+SELECT engine_id, cycle, round(s2_rm, 6) AS s2_rm, round(s2_rs, 6) AS s2_rs FROM features""")
 def _(t: Tables):
     folder = run_folder(t.spark)
-    writer = carry.stream_rolling_features(event_stream(t), folder, ["engine_id"], "prediction_id", ["s2"])
+    rows = feed(t, t.readings.select("engine_id", "cycle", "s2", "recorded_at"), "recorded_at")
+    writer = carry.stream_rolling_features(rows, folder, ["engine_id"], "cycle", ["s2"], step=1)
     writer.trigger(availableNow=True).start().awaitTermination()
-    out = t.spark.read.parquet(f"{folder}/features").select("engine_id", "prediction_id", "s2_rm", "s2_rs")
+    out = carry.output(t.spark, folder, "features").select("engine_id", "cycle", "s2_rm", "s2_rs")
     return rounded(out, 6, "s2_rm", "s2_rs")
 
 
+@query("stream_rejects", "R3 V4", """
+SELECT engine_id, cycle, 'gap before' AS reason, TRUE AS kept
+FROM (SELECT engine_id, cycle, lag(cycle) OVER (PARTITION BY engine_id ORDER BY cycle) AS before
+      FROM readings WHERE event_id % 20 NOT IN (3, 5)) r WHERE cycle - before > 1
+UNION ALL
+SELECT engine_id, -1, 'no sequence number', FALSE FROM readings WHERE event_id % 20 = 3""")
+def _(t: Tables):
+    # Some readings have lost their cycle and some never arrive.
+    folder = run_folder(t.spark)
+    rows = t.readings.filter("event_id % 20 <> 5").withColumn("cycle", F.when(F.col("event_id") % 20 != 3, F.col("cycle")))
+    rows = feed(t, rows.select("engine_id", "cycle", "s2", "recorded_at"), "recorded_at")
+    writer = carry.stream_rolling_features(rows, folder, ["engine_id"], "cycle", ["s2"], step=1)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rejects = carry.output(t.spark, folder, "rejects")
+    return rejects.select("engine_id", F.coalesce("cycle", F.lit(-1)).alias("cycle"), "reason", "kept")
+
+
 @query("stream_latest", "R4", f"""
 SELECT engine_id, max(prediction_id) AS prediction_id, arg_max(predicted_rul, prediction_id) AS predicted_rul,
        arg_max(health_status, prediction_id) AS health_status FROM {_EVENTS_SQL} e GROUP BY engine_id""")
@@ -107,26 +140,107 @@ def _(t: Tables):
     return carry.newest_version(t.spark, folder)
 
 
-@query("stream_truth_join", "R5", f"""
-SELECT prediction_id, engine_id, predicted_rul, CAST(prediction_id % 100 AS DOUBLE) AS true_rul,
-       predicted_rul - prediction_id % 100 AS error FROM {_EVENTS_SQL} e WHERE prediction_id % 3 <> 0""")
+WAIT_DAYS, REMEMBER_DAYS = 3, 6
+#: Truths of the predictions whose id leaves each remainder by 10: hours after the prediction, what is added to the value, and
+#: what is added to the id.
+TRUTHS = [
+    (1, 1, 0, 0), (2, 1, 0, 0), (3, 1, 0, 0), (4, 1, 0, 0), (4, 2, 5, 0), (5, -1, 0, 0), (6, -1, 0, 0), (6, 1, 2, 0),
+    (7, 24 * WAIT_DAYS + 24, 0, 0), (8, 1, 0, 10**12), (9, 1, 0, 0), (9, 24 * WAIT_DAYS + 24, 1, 0),
+]
+_TRUTHS_SQL = f"""(SELECT prediction_id + more AS prediction_id, CAST(prediction_id % 100 + plus AS DOUBLE) AS true_rul,
+       predicted_at + hours * INTERVAL 1 HOUR AS submitted_at
+FROM {_EVENTS_SQL} e JOIN (VALUES {', '.join(map(str, TRUTHS))}) v(of, hours, plus, more) ON prediction_id % 10 = of)"""
+_END = f"""(SELECT least((SELECT max(predicted_at) FROM {_EVENTS_SQL} a), (SELECT max(submitted_at) FROM {_TRUTHS_SQL} b)) - INTERVAL 10 MINUTE)"""
+
+
+@query("stream_truth_join", "R5 J7 K5", f"""
+SELECT prediction_id, true_rul, error, outcome FROM (
+  SELECT t.prediction_id, t.true_rul, e.predicted_rul - t.true_rul AS error, 'in time' AS outcome,
+         row_number() OVER (PARTITION BY t.prediction_id ORDER BY t.submitted_at, t.true_rul) AS rn
+  FROM {_TRUTHS_SQL} t JOIN {_EVENTS_SQL} e ON e.prediction_id = t.prediction_id
+  WHERE t.submitted_at BETWEEN e.predicted_at AND e.predicted_at + INTERVAL {WAIT_DAYS} DAY) q WHERE rn = 1
+UNION ALL
+SELECT t.prediction_id, t.true_rul, NULL, CASE WHEN t.submitted_at < e.predicted_at THEN 'before its prediction' ELSE 'too late' END
+FROM {_TRUTHS_SQL} t JOIN {_EVENTS_SQL} e ON e.prediction_id = t.prediction_id
+WHERE t.submitted_at NOT BETWEEN e.predicted_at AND e.predicted_at + INTERVAL {WAIT_DAYS} DAY
+UNION ALL
+SELECT prediction_id, true_rul, NULL, 'unknown prediction_id' FROM {_TRUTHS_SQL} t
+WHERE prediction_id NOT IN (SELECT event_id FROM events) AND submitted_at + INTERVAL {WAIT_DAYS} DAY < {_END}
+UNION ALL
+SELECT prediction_id, NULL, NULL, 'no truth' FROM {_EVENTS_SQL} e
+WHERE prediction_id NOT IN (SELECT prediction_id FROM {_TRUTHS_SQL} t) AND predicted_at + INTERVAL {REMEMBER_DAYS} DAY < {_END}""")
 def _(t: Tables):
-    truth = event_stream(t, late_hours=1).filter("prediction_id % 3 <> 0").select(
-        "prediction_id",
-        (F.col("prediction_id") % 100).cast("double").alias("true_rul"),
-        F.col("predicted_at").alias("submitted_at"),
+    rows = event_rows(t)
+    kinds = t.spark.createDataFrame(TRUTHS, "of long, hours int, plus long, more long")
+    truth = rows.join(F.broadcast(kinds), F.col("prediction_id") % 10 == F.col("of")).select(
+        (F.col("prediction_id") + F.col("more")).alias("prediction_id"),
+        (F.col("prediction_id") % 100 + F.col("plus")).cast("double").alias("true_rul"),
+        F.timestamp_add("HOUR", F.col("hours"), F.col("predicted_at")).cast("timestamp_ntz").alias("submitted_at"),
     )
-    joined = windows.stream_truth_join(event_stream(t), truth)
-    rows = joined.select("prediction_id", "engine_id", "predicted_rul", "true_rul")
-    return run_to_table(rows.withColumn("error", F.col("predicted_rul") - F.col("true_rul")), run_folder(t.spark))
+    folder = run_folder(t.spark)
+    writer = windows.stream_truths(
+        feed(t, rows.select("prediction_id", "predicted_rul", "predicted_at"), "predicted_at"), feed(t, truth, "submitted_at"),
+        folder, longest_wait=f"{WAIT_DAYS} days", remember=f"{REMEMBER_DAYS} days",
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    stored = windows.truth_tables(t.spark, folder)
+    none = F.lit(None).cast("double")
+    scored = stored.read("errors").select("prediction_id", "true_rul", "error", F.lit("in time").alias("outcome"))
+    lost = stored.read("rejects").select("prediction_id", "true_rul", none.alias("error"), F.col("reason").alias("outcome"))
+    left = stored.read("open").select("prediction_id", none.alias("true_rul"), none.alias("error"), "outcome")
+    return scored.unionByName(lost).unionByName(left)
 
 
-@query("stream_alerts", "R6 F1", f"""
-SELECT engine_id, prediction_id, health_status, previous
-FROM (SELECT *, lag(health_status) OVER (PARTITION BY engine_id ORDER BY prediction_id) AS previous FROM {_EVENTS_SQL} e) x
+@query("stream_alerts", "R6 F1", """
+SELECT engine_id, cycle, health_status, previous
+FROM (SELECT *, lag(health_status) OVER (PARTITION BY engine_id ORDER BY cycle) AS previous FROM predictions) x
 WHERE previous <> health_status""")
 def _(t: Tables):
     folder = run_folder(t.spark)
-    writer = carry.stream_alerts(event_stream(t), folder, ["engine_id"], "prediction_id")
+    rows = feed(t, t.predictions.select("engine_id", "cycle", "health_status", "predicted_at"), "predicted_at")
+    writer = carry.stream_alerts(rows, folder, ["engine_id"], "cycle")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{folder}/alerts").select("engine_id", "prediction_id", "health_status", "previous")
+    return carry.output(t.spark, folder, "alerts").select("engine_id", "cycle", "health_status", "previous")
+
+
+@query("stream_serving", "K9 S6 V1 M6 K1 K3 K4", """
+SELECT unit AS unit_number, subset, cycle, predicted_rul, CASE WHEN predicted_rul <= 10 THEN 'CRITICAL' WHEN predicted_rul <= 30 THEN 'WARNING'
+       ELSE 'HEALTHY' END AS health_status, n_predictions, s2, '' AS reason
+FROM (SELECT r.unit, r.subset, r.cycle, round(least(greatest(b.intercept + b.slope * (r.cycle + r.s2), 0), 125), 1) AS predicted_rul, r.s2,
+             CASE WHEN (r.cycle - 1) // 20 % 5 = 0 THEN 2 ELSE 1 END AS n_predictions
+      FROM readings r JOIN baseline b ON b.subset = r.subset) q
+UNION ALL
+SELECT 0, 0, 0, 0, '', count(*), 0, 'no readable instances' FROM (SELECT DISTINCT unit FROM readings) u""")
+def _(t: Tables):
+    # Three micro-batches and more: every body once, some a second time, and one for each engine that does not parse.
+    bodies = t.batch_requests.withColumn("turn", F.col("chunk") % 3)
+    again = bodies.filter("chunk % 5 = 0").withColumn("turn", F.lit(3).cast("long"))
+    broken = t.engines.select(
+        F.col("unit_number").alias("sender"), F.lit(-1).cast("long").alias("chunk"), F.lit('{"instances": [').alias("value"),
+        F.lit(1).cast("long").alias("turn"),
+    )
+    rows = bodies.unionByName(again).unionByName(broken).withColumn("at", F.timestamp_seconds("turn"))
+    folder = run_folder(t.spark)
+    stream = feed(t, rows, "at").select("value", "sender", "chunk")
+    handle = database.serving_batch(folder, t.baseline, t.registry, t.as_of, buckets=8)
+
+    def twice(batch, batch_id):
+        handle(batch, batch_id)
+        handle(batch, batch_id)  # as after a failure: the batch is there and stays as it is
+
+    run = stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{folder}/_checkpoint")
+    run.trigger(availableNow=True).start().awaitTermination()
+    stored = database.open_tables(t.spark, folder)
+    engines, readings = stored.read("engines"), stored.read("sensor_readings")
+    log = stored.read("predictions").groupBy("engine_id", "cycle").agg(
+        F.count_distinct("prediction_id").alias("n_predictions"), F.max("predicted_rul").alias("predicted_rul"),
+        F.max("health_status").alias("health_status"),
+    )
+    known = log.join(engines, "engine_id").join(readings.select("engine_id", "cycle", "s2"), ["engine_id", "cycle"])
+    names = ["unit_number", "subset", "cycle", "predicted_rul", "health_status", "n_predictions", "s2"]
+    zero, none = F.lit(0).cast("long"), F.lit(0.0)
+    lost = stored.read("rejects").groupBy("reason").agg(F.count("*").alias("n_predictions")).select(
+        zero.alias("unit_number"), F.lit(0).alias("subset"), zero.alias("cycle"), none.alias("predicted_rul"),
+        F.lit("").alias("health_status"), "n_predictions", none.alias("s2"), "reason",
+    )
+    return known.select(*names, F.lit("").alias("reason")).unionByName(lost)

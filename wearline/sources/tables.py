@@ -16,6 +16,19 @@ def read_tables(spark: SparkSession, folder: str, names: list[str] = TABLES, vie
     return tables
 
 
+def read_stored(spark: SparkSession, folder: str, names: list[str], views: bool = False) -> dict[str, DataFrame]:
+    """Tables that were committed together (see ``operators.database``), all of one version."""
+    from wearline.operators import database
+
+    stored = database.open_tables(spark, folder)
+    version = stored.versions()[-1]
+    tables = {name: stored.read(name, version) for name in names}
+    if views:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+    return tables
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, column: str, lower, upper, partitions: int, properties: dict | None = None
 ) -> DataFrame:

@@ -1,17 +1,20 @@
 """Streams over ordered series, one micro-batch at a time.
 
-Each batch joins the last rows of every series carried over from earlier
+Each batch joins the last rows that its series carried over from earlier
 batches, runs the batch operator on both and writes the new rows. A batch is
 thus an ordinary Spark job: a machine that sends a third of the rows is cut into
 blocks like in batch work, where per-key state would pin it to one task.
 
-What is carried is a parquet version per batch id. Batch b reads version b-1
-and overwrites version b, and its output goes to a partition of its own, so a
-repeated batch gives the same result.
+What is carried lies in hash buckets of the series: a batch reads and replaces
+only the buckets that its series fall into. State, output and rejects change in
+one commit per batch (see ``operators.versions``), so a batch that is repeated
+after a failure is skipped as a whole.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,121 +22,140 @@ from wearline import schema as S
 from wearline.operators import entities as ent
 from wearline.operators import features as feat
 from wearline.operators import fleet
-from wearline.operators import series
-
+from wearline.operators import series, store
+from wearline.operators import validate as val
+from wearline.operators.versions import Commit, Spec, Tables
 
-def _version(folder: str, batch_id: int) -> str:
-    return f"{folder}/carried/v{batch_id}"
+WRITER = "stream"
 
 
-def _carried(spark: SparkSession, folder: str, batch_id: int, schema) -> DataFrame:
-    """What batch ``batch_id - 1`` carried; reading fails if it is not there, as
-    going on from nothing would restart every series."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(folder, batch_id - 1))
+def state_tables(spark: SparkSession, folder: str, keys: list[str] = [], buckets: int = 64) -> Tables:
+    """The carried rows of a stream and its outputs."""
+    store.checkpoint_folder(spark)
+    logs = {name: Spec("log") for name in ("features", "alerts", "rejects")}
+    return Tables(spark, f"{folder}/tables", {"carried": Spec("state", keys, buckets=buckets), **logs})
 
 
-def _carry(spark: SparkSession, folder: str, batch_id: int, rows: DataFrame) -> None:
-    rows.write.mode("overwrite").parquet(_version(folder, batch_id))
-    old = spark._jvm.org.apache.hadoop.fs.Path(_version(folder, batch_id - 2))
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+def output(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table that a stream wrote: ``features``, ``alerts``, ``rejects`` or ``carried``."""
+    return state_tables(spark, folder).read(name)
 
 
-def _emit(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _carried(commit: Commit, batch: DataFrame, batch_id: int) -> tuple[DataFrame, set[str]]:
+    """(what the series of a batch carried, the buckets of the batch). Fails if the batch before is not there,
+    as going on from nothing would restart every series."""
+    held = commit.base["batches"].get(WRITER, -1)
+    if batch_id != held + 1:
+        raise FileNotFoundError(f"the state of batch {batch_id - 1} does not exist; the last one is {held}")
+    table = commit.base["tables"].get("carried")
+    touched = commit.tables.touched("carried", batch)
+    empty = batch.sparkSession.createDataFrame([], batch.schema)
+    return (commit.tables.resolve("carried", table, touched) if table else empty), touched
 
 
 def in_order(batch: DataFrame, carried: DataFrame, keys: list[str], seq: str) -> tuple[DataFrame, DataFrame]:
-    """(new rows, rejects): a row must lie beyond what its series already has,
-    and one row per sequence number is taken, always the same one of several."""
+    """(new rows, rejects): a row must have a sequence number beyond what its series already has,
+    and one row per sequence number is taken, always the same one of several. A missing key part
+    is a value like any other."""
     seen = carried.groupBy(*keys).agg(F.max(seq).alias("_seen"))
-    joined = series.salted_join(batch, seen, keys, [seq], "left")
-    fresh = F.col("_seen").isNull() | (F.col(seq) > F.col("_seen"))
+    joined = series.salted_join(batch, seen, keys, [seq], "left", null_safe=True)
+    fresh = F.coalesce(F.col("_seen").isNull() | (F.col(seq) > F.col("_seen")), F.lit(False)) & F.col(seq).isNotNull()
     same = Window.partitionBy(*keys, seq).orderBy(*[F.col(c) for c in batch.columns if c not in (*keys, seq)])
     ranked = joined.filter(fresh).drop("_seen").withColumn("_rank", F.row_number().over(same))
     repeated = ranked.filter(F.col("_rank") > 1).drop("_rank").withColumn("reason", F.lit("repeated"))
-    late = joined.filter(~fresh).drop("_seen").withColumn("reason", F.lit("out of order"))
+    why = F.when(F.col(seq).isNull(), "no sequence number").otherwise("out of order")
+    late = joined.filter(~fresh).drop("_seen").withColumn("reason", why)
     return ranked.filter(F.col("_rank") == 1).drop("_rank"), late.unionByName(repeated)
 
 
-def rolling_batch(folder: str, keys: list[str], seq: str, cols: list[str], window: int = S.WINDOW):
-    """foreachBatch handler: trailing features across batches, late and repeated
-    rows to ``rejects``."""
+def after_gaps(both: DataFrame, keys: list[str], seq: str, step: int) -> DataFrame:
+    """New rows that are more than ``step`` beyond the row before them, carried or new."""
+    steps = val.sequence_steps(both, keys, seq).filter(F.col("_new") & (F.col("step") > step))
+    return steps.drop("_new", "step").withColumn("reason", F.lit("gap before"))
+
+
+def _handler(folder: str, keys: list[str], seq: str, columns: list[str], carry: int, name: str, build, step: int | None, buckets: int):
+    """A foreachBatch handler: ``build`` makes the output from new and carried rows.
+
+    Rows out of order, repeated or without a sequence number are rejects and not kept. With
+    ``step`` rows after a gap are noted there too, but kept.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        need = batch.select(*keys, seq, *cols).persist()
-        try:
-            carried = _carried(spark, folder, batch_id, need.schema)
+        tables = state_tables(spark, folder, keys, buckets)
+        if tables.holds(WRITER, batch_id):
+            return
+        with tables.commit(WRITER, batch_id) as commit:
+            need = store.materialised(batch.select(*keys, seq, *columns))
+            carried, touched = _carried(commit, need, batch_id)
             fresh, late = in_order(need, carried, keys, seq)
-            both = fresh.withColumn("_new", F.lit(True)).unionByName(carried.withColumn("_new", F.lit(False))).persist()
-            try:
-                rows = feat.rolling_features(both, keys, seq, cols, window)
-                _emit(rows.filter("_new").drop("_new"), f"{folder}/features", batch_id)
-                _emit(late, f"{folder}/rejects", batch_id)
-                _carry(spark, folder, batch_id, ent.newest_rows(both.drop("_new"), keys, [seq], window - 1))
-            finally:
-                both.unpersist()
-        finally:
-            need.unpersist()
+            marked = [fresh.withColumn("_new", F.lit(True)), carried.withColumn("_new", F.lit(False))]
+            both = store.materialised(reduce(DataFrame.unionByName, marked))
+            number = F.lit(batch_id).cast("long").alias("batch_id")
+            made = build(both)
+            if made is not None:
+                commit.append(name, made.filter("_new").drop("_new").select("*", number))
+            rejects = late.withColumn("kept", F.lit(False))
+            if step is not None:
+                rejects = rejects.unionByName(after_gaps(both, keys, seq, step).withColumn("kept", F.lit(True)))
+            commit.append("rejects", rejects.select("*", number))
+            commit.replace("carried", ent.newest_rows(both.drop("_new"), keys, [seq], carry), touched)
 
     return handle
 
 
-def latest_batch(folder: str, keys: list[str], order: list[str]):
-    """foreachBatch handler: the newest row of each key over all batches."""
+def rolling_batch(folder: str, keys: list[str], seq: str, cols: list[str], window: int = S.WINDOW, step: int | None = None,
+                  buckets: int = 64):
+    """foreachBatch handler: trailing features across batches."""
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        carried = _carried(batch.sparkSession, folder, batch_id, batch.schema)
-        _carry(batch.sparkSession, folder, batch_id, ent.latest_row(batch.unionByName(carried), keys, order))
+    def build(both):
+        return feat.rolling_features(both, keys, seq, cols, window)
 
-    return handle
+    return _handler(folder, keys, seq, cols, window - 1, "features", build, step, buckets)
 
 
-def alert_batch(folder: str, keys: list[str], seq: str, status: str = "health_status"):
-    """foreachBatch handler: status changes, also across batches; late and
-    repeated rows to ``rejects``."""
+def alert_batch(folder: str, keys: list[str], seq: str, status: str = "health_status", step: int | None = None, buckets: int = 64):
+    """foreachBatch handler: status changes, also across batches."""
+
+    def build(both):
+        return fleet.status_changes(both, keys, seq, status)
+
+    return _handler(folder, keys, seq, [status], 1, "alerts", build, step, buckets)
+
+
+def latest_batch(folder: str, keys: list[str], order: list[str], buckets: int = 64):
+    """foreachBatch handler: the newest row of each key over all batches."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        need = batch.select(*keys, seq, status).persist()
-        try:
-            carried = _carried(spark, folder, batch_id, need.schema)
-            fresh, late = in_order(need, carried, keys, seq)
-            both = fresh.withColumn("_new", F.lit(True)).unionByName(carried.withColumn("_new", F.lit(False))).persist()
-            try:
-                changes = fleet.status_changes(both, keys, seq, status)
-                _emit(changes.filter("_new").drop("_new"), f"{folder}/alerts", batch_id)
-                _emit(late, f"{folder}/rejects", batch_id)
-                _carry(spark, folder, batch_id, ent.newest_rows(both.drop("_new"), keys, [seq], 1))
-            finally:
-                both.unpersist()
-        finally:
-            need.unpersist()
+        tables = state_tables(batch.sparkSession, folder, keys, buckets)
+        if tables.holds(WRITER, batch_id):
+            return
+        with tables.commit(WRITER, batch_id) as commit:
+            rows = store.materialised(batch)
+            carried, touched = _carried(commit, rows, batch_id)
+            commit.replace("carried", ent.latest_row(rows.unionByName(carried), keys, order), touched)
 
     return handle
 
 
 def newest_version(spark: SparkSession, folder: str) -> DataFrame:
     """What the last batch carried."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/carried")
-    found = base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base)
-    last = max(int(f.getPath().getName()[1:]) for f in found)
-    return spark.read.parquet(_version(folder, last))
+    return output(spark, folder, "carried")
 
 
-def stream_rolling_features(stream: DataFrame, folder: str, keys: list[str], seq: str, cols: list[str], window: int = S.WINDOW):
+def stream_rolling_features(stream: DataFrame, folder: str, keys: list[str], seq: str, cols: list[str], window: int = S.WINDOW,
+                            step: int | None = None):
     """Streaming twin of rolling_features; returns the unstarted writer."""
-    return _writer(stream, folder, rolling_batch(folder, keys, seq, cols, window))
+    return _writer(stream, folder, rolling_batch(folder, keys, seq, cols, window, step))
 
 
 def stream_latest(stream: DataFrame, folder: str, keys: list[str], order: list[str]):
     return _writer(stream, folder, latest_batch(folder, keys, order))
 
 
-def stream_alerts(stream: DataFrame, folder: str, keys: list[str], seq: str):
-    return _writer(stream, folder, alert_batch(folder, keys, seq))
+def stream_alerts(stream: DataFrame, folder: str, keys: list[str], seq: str, step: int | None = None):
+    return _writer(stream, folder, alert_batch(folder, keys, seq, step=step))
 
 
 def _writer(stream: DataFrame, folder: str, handler):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wearline.functions import columns as C
 from wearline.operators import accuracy as acc
+from wearline.operators import store
+from wearline.operators import truth as tr
+from wearline.operators.versions import Spec, Tables
 
 
 def _timed(df: DataFrame, time: str, delay: str) -> DataFrame:
@@ -41,20 +44,86 @@ def stream_accuracy(errors: DataFrame, width: str = "1 hour", delay: str = "10 m
     return _start(figures, by, "rmse", "nasa_score")
 
 
-def stream_truth_join(pred: DataFrame, truth: DataFrame, delay: str = "10 minutes", longest_wait: str = "30 days") -> DataFrame:
-    """Predictions with their first truth.
+IN_TIME, EARLY, LATE = "in time", "before its prediction", "too late"
+UNKNOWN, OPEN, UNTIMED = "unknown prediction_id", "no truth", "no time"
 
-    A truth may come up to ``longest_wait`` after its prediction, which bounds the
-    state of the join. Repeated submissions are dropped on arrival, and ids are
-    remembered just as long: a second truth can join no prediction that is still
-    waiting.
+
+def stream_truth_join(
+    pred: DataFrame, truth: DataFrame, delay: str = "10 minutes", longest_wait: str = "30 days", remember: str = "60 days"
+) -> DataFrame:
+    """What became of every truth and of every prediction, in the column ``outcome``.
+
+    A truth counts if it comes up to ``longest_wait`` after its prediction. Each truth comes out
+    once for each prediction of its id: ``in time``, ``too late`` or ``before its prediction``; and
+    once as ``unknown prediction_id`` if no prediction lies between ``remember`` before it and
+    ``longest_wait`` after it. A prediction for which nothing came within ``remember`` comes out once
+    as ``no truth``. Rows without a time come out at once as ``no time``; one without an id is
+    unknown. The full outer join keeps both sides for just these spans; what it evicts is what it
+    reports. Several truths in time are several rows: which of them counts is decided where they
+    are stored (``truth_batch``), as any number of them may lie in different micro-batches.
     """
-    p = pred.withColumn("_p_at", F.col("predicted_at").cast("timestamp")).withWatermark("_p_at", delay)
-    t = (
-        truth.select(F.col("prediction_id").alias("_id"), "true_rul", "submitted_at",
-                     F.col("submitted_at").cast("timestamp").alias("_t_at"))
-        .withWatermark("_t_at", longest_wait)
-        .dropDuplicatesWithinWatermark(["_id"])
+    p = pred.withColumn("_p_at", F.col("predicted_at").cast("timestamp"))
+    t = truth.select(
+        F.col("prediction_id").alias("_id"), "true_rul", "submitted_at", F.col("submitted_at").cast("timestamp").alias("_t_at")
+    )
+    near = (F.col("_p_at") >= F.col("_t_at") - F.expr(f"INTERVAL {remember}")) & (
+        F.col("_p_at") <= F.col("_t_at") + F.expr(f"INTERVAL {longest_wait}")
+    )
+    timed_p = p.filter(F.col("_p_at").isNotNull()).withWatermark("_p_at", delay)
+    timed_t = t.filter(F.col("_t_at").isNotNull()).withWatermark("_t_at", delay)
+    joined = timed_p.join(timed_t, (F.col("prediction_id") == F.col("_id")) & near, "full_outer")
+    outcome = (
+        F.when(F.col("_p_at").isNull(), UNKNOWN)
+        .when(F.col("_t_at").isNull(), OPEN)
+        .when(F.col("_t_at") < F.col("_p_at"), EARLY)
+        .when(F.col("_t_at") > F.col("_p_at") + F.expr(f"INTERVAL {longest_wait}"), LATE)
+        .otherwise(IN_TIME)
     )
-    in_time = (F.col("_t_at") >= F.col("_p_at")) & (F.col("_t_at") <= F.col("_p_at") + F.expr(f"INTERVAL {longest_wait}"))
-    return p.join(t, (F.col("prediction_id") == F.col("_id")) & in_time).drop("_id", "_p_at", "_t_at")
+    columns = [F.coalesce("prediction_id", "_id").alias(c) if c == "prediction_id" else F.col(c) for c in pred.columns]
+    out = joined.select(*columns, "true_rul", "submitted_at", outcome.alias("outcome"))
+    # Rows without a time never meet the join; they take the shape of its result.
+    lone_p = p.filter(F.col("_p_at").isNull()).select(
+        *pred.columns, F.lit(None).cast(truth.schema["true_rul"].dataType).alias("true_rul"),
+        F.lit(None).cast(truth.schema["submitted_at"].dataType).alias("submitted_at"), F.lit(UNTIMED).alias("outcome"),
+    )
+    lone_t = t.filter(F.col("_t_at").isNull()).select(
+        *[(F.col("_id") if f.name == "prediction_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in pred.schema],
+        "true_rul", "submitted_at", F.lit(UNTIMED).alias("outcome"),
+    )
+    return out.unionByName(lone_p).unionByName(lone_t)
+
+
+def truth_batch(folder: str, buckets: int = 64):
+    """foreachBatch handler for ``stream_truth_join``: truths in time to ``errors`` if their prediction
+    has none yet, the first by submission of those in one batch; the rest to ``rejects`` with their
+    outcome, predictions that got no truth to ``open``. All three change together, and a repeated
+    batch changes nothing."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        with truth_tables(batch.sparkSession, folder, buckets).commit("truths", batch_id) as commit:
+            if commit.skipped:
+                return
+            rows = store.materialised(batch)
+            scored = tr.error_columns(rows.filter(F.col("outcome") == IN_TIME).drop("outcome"))
+            commit.insert_first("errors", scored, [F.col("submitted_at"), F.col("true_rul")])
+            lost = rows.filter(F.col("true_rul").isNotNull() | F.col("submitted_at").isNotNull())
+            lost = lost.filter(F.col("outcome") != IN_TIME).select("prediction_id", "true_rul", "submitted_at", "outcome")
+            commit.append("rejects", lost.withColumnRenamed("outcome", "reason"))
+            left = rows.filter(F.col("outcome").isin(OPEN, UNTIMED) & F.col("true_rul").isNull() & F.col("submitted_at").isNull())
+            commit.append("open", left.drop("true_rul", "submitted_at"))
+
+    return handle
+
+
+def truth_tables(spark: SparkSession, folder: str, buckets: int = 64) -> Tables:
+    """The tables that ``truth_batch`` writes."""
+    store.checkpoint_folder(spark)
+    return Tables(spark, f"{folder}/tables", {
+        "errors": Spec("first", ["prediction_id"], buckets=buckets), "rejects": Spec("log"), "open": Spec("log"),
+    })
+
+
+def stream_truths(pred: DataFrame, truth: DataFrame, folder: str, **waits):
+    """Errors, rejects and open predictions as stored tables; returns the unstarted writer."""
+    joined = stream_truth_join(pred, truth, **waits)
+    return joined.writeStream.foreachBatch(truth_batch(folder)).option("checkpointLocation", f"{folder}/checkpoint")
