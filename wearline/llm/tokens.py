@@ -11,6 +11,7 @@ Python and of the tokenizer differ are encoded whole.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 from collections.abc import Sequence
@@ -43,13 +44,37 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([UNSURE.pattern, *added]))
         self.known: dict[str, bytes] = {}
+        self.sizes = self._byte_sizes()
+
+    def _byte_sizes(self) -> np.ndarray | None:
+        """Bytes of text that each id stands for; None if ids do not stand for bytes of the text as it is."""
+        plan = json.loads(self.tokenizer.to_str())
+        cut = plan["pre_tokenizer"] or {}
+        if plan["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space"):
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            sizes[number] = len(token)  # one character for each byte
+        return sizes
 
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def _together(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks that all begin with white space, encoded as one text."""
+        """Ids of chunks that all begin with white space, encoded as one text. Where ids stand for bytes
+        the cuts follow from their sizes, which spares the library the offsets."""
+        if self.sizes is not None:
+            (found,) = self.tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.dtype)
+            ends = np.cumsum([len(c.encode()) for c in chunks])
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="left") + 1
+            raw, width, out, last = ids.tobytes(), self.dtype.itemsize, {}, 0
+            for chunk, cut in zip(chunks, (cuts * width).tolist(), strict=True):
+                out[chunk] = raw[last:cut]
+                last = cut
+            return out
         found = self.tokenizer.encode("".join(chunks), add_special_tokens=False)
         ids = np.array(found.ids, dtype=self.dtype)
         starts = np.fromiter((s for s, _ in found.offsets), dtype=np.int64, count=len(ids))
