@@ -10,6 +10,7 @@ from llm_fixtures import CLASH, ODD_ROWS, SF, documents, read
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from wearline.llm import common as C
 from wearline.llm import cotraining, langid, mixing, personal, simhash
 
 
@@ -319,6 +320,40 @@ def test_quality_on_held_out_labels(spark):
     assert sum(junk) / len(junk) <= 0.2
 
 
+def quality_table(spark, copies=0):
+    """Clean and junk documents by word lists, a third of them labelled; `copies` rows repeat one labelled key."""
+    clean, junk = [f"good{i}" for i in range(40)], [f"bad{i}" for i in range(40)]
+    text = lambda i: " ".join((clean if i % 2 else junk)[(i * 7 + j * 3) % 40] for j in range(20))
+    rows = [(i, text(i), "en", f"s{i % 5}", 100) for i in range(600)] + [(3, text(3), "en", "s3", 100)] * copies
+    docs = spark.createDataFrame(rows, "key long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 600, 3)], "key long, quality int, toxic int")
+    return docs, labels, rows
+
+
+def test_a_repeated_key_that_is_a_third_of_the_rows(spark):
+    """Copies of a labelled document are one training row, and copies of an unlabelled one are one pseudo-label."""
+    docs, labels, rows = quality_table(spark, 300)
+    flood = spark.createDataFrame([(1, rows[1][1], "en", "s1", 100)] * 300, docs.schema)
+    model = cotraining.fit(docs.unionByName(flood), labels, drawn=50)
+    stage = C.Stage(spark, "test")
+    assert cotraining.sampled(docs.unionByName(flood), labels, 20_000, stage).count() == 200
+    # Two views, two rounds, at most about 50 rows each.
+    assert 0 < model.pseudo_labels <= 2 * 2 * 80
+    found = {r["key"]: r["score"] for r in cotraining.classify(docs, model).select("row.key", "score").collect()}
+    right = sum((found[i] >= model.threshold) == bool(i % 2) for i in range(600))
+    assert right >= 590
+
+
+def test_every_unlabelled_document_is_scored_in_a_round(spark):
+    docs, labels, _ = quality_table(spark)
+    scored = cotraining.score_unlabelled(docs, labels, cotraining.Model(), C.Stage(spark, "test"), "scored")
+    assert scored.count() == 400
+    sure = scored.withColumn("text_score", F.lit(0.999))
+    few = cotraining.pseudo_labels(sure, "text_score", 40, 0.5, 0)
+    texts = sure.select("mark").distinct().count()
+    assert 0 < few.count() < texts and cotraining.pseudo_labels(sure, "text_score", 10**6, 0.5, 0).count() == texts
+
+
 def test_quality_without_labels_keeps_all(spark, odd, empty):
     model = cotraining.Model()
     rows = cotraining.classify(odd, model).select("row.doc_id", "score", "keep").collect()

@@ -2,14 +2,16 @@
 
 The text view sees words that tell good from bad documents and the style of a text: shares of
 characters, repetition, lengths. The metadata view sees source, language and length alone. Each
-view has a logistic regression of its own. In each round both score a pool of documents without
-labels, and what one view is confident of becomes training data of the other. A fold of the
-labelled rows that neither is trained on calibrates both, combines them and sets the threshold,
-within bounds, so that the share `KEEP` of its good documents is kept. The combined score covers all documents.
+view has a logistic regression of its own. In each round both score every document without a
+label, and what one view is confident of, wherever it stands in the corpus, becomes training data
+of the other. A fold of the labelled rows that neither is trained on calibrates both, combines them
+and sets the threshold, within bounds, so that the share `KEEP` of its good documents is kept. The
+combined score covers all documents.
 
-Fitting uses bounded samples, by hashes of the keys: at most about `LABELLED` labelled rows and
-`POOL` others; words come from the labelled ones. Scoring is one pass over the table, without a
-shuffle: the model is a few thousand numbers.
+Training rows are bounded: at most about `LABELLED` labelled ones, and `DRAWN` pseudo-labels for
+each view and round, drawn by hash from all texts that passed the threshold; words come from the
+labelled ones. Scoring is one pass over the table, without a shuffle of texts: the model is a few
+thousand numbers.
 
 A document is good if its quality label is 1 and its toxic label is not.
 
@@ -38,12 +40,13 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-#: Bounds of the samples, words of the text view and documents that must hold one.
-LABELLED, POOL = 20_000, 10_000
+#: Bounds of the training rows: labelled ones, and pseudo-labels that a view learns from in a round.
+LABELLED, DRAWN = 20_000, 2_000
+#: Words of the text view and documents that must hold one.
 WORDS, SUPPORT = 1500, 5
 ROUNDS = 2
-#: A view is confident of scores this near to 0 or 1, and passes on at most that share of the pool.
-CONFIDENT, SHARE = 0.02, 0.1
+#: A view is confident of calibrated scores this near to 0 or 1.
+CONFIDENT = 0.02
 #: Share of the good documents of the calibration fold that the threshold keeps, and the range of
 #: calibrated scores it may lie in; a small fold alone cannot move it further.
 KEEP, LOWEST, HIGHEST = 0.997, 0.1, 0.5
@@ -117,46 +120,64 @@ def sigmoid(x: float) -> float:
 # --- samples -------------------------------------------------------------------------
 
 
-def sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, stage: C.Stage) -> DataFrame:
-    """(key, good, fold, words, style, meta) of about `labelled` labelled documents and `pool`
-    others; good is null for those, fold is `fit` or `calibrate`."""
-    known = labels.filter("key IS NOT NULL").groupBy("key").agg(
-        F.min(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")
-    )
-    spread = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 20))
-    share = min(1.0, labelled / max(1, known.count()))
-    known = known.filter(spread < int(share * (1 << 20)) + 1).select(
-        "key", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("good")
-    )
-    known = known.limit(2 * labelled)  # the bound that lets it be broadcast
-    share = min(1.0, pool / max(1, docs.count()))
-    picked = docs.join(F.broadcast(known), "key", "left").filter(
-        F.col("good").isNotNull() | (spread < int(share * (1 << 20)) + 1)
-    )
+def marked(docs: DataFrame) -> DataFrame:
+    """`docs` with `mark`, a hash of all that the views see; copies share it."""
+    return docs.withColumn("mark", F.xxhash64("text", "source", "lang", "n_chars"))
+
+
+def spread(seed: int, *columns: str):
+    """A repeatable number below 2^30."""
+    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """(key, good, tag, words, style, meta) of rows (key, good, tag, text, source, lang, n_chars)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
             words = [words_of(t) for t in texts]
+            seen = zip(*[batch[c].to_pylist() for c in ("source", "lang", "n_chars")], strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["key"],
                     batch["good"],
+                    batch["tag"],
                     pa.array([sorted(set(w)) for w in words], pa.list_(pa.string())),
                     pa.array([style(t, w) for t, w in zip(texts, words, strict=True)], pa.list_(pa.float64())),
-                    pa.array(
-                        [[f"m{i}" for i in metadata(*x)] for x in zip(*[batch[c].to_pylist() for c in ("source", "lang", "n_chars")], strict=True)],
-                        pa.list_(pa.string()),
-                    ),
+                    pa.array([[f"m{i}" for i in metadata(*x)] for x in seen], pa.list_(pa.string())),
                 ],
-                names=["key", "good", "words", "style", "meta"],
+                names=["key", "good", "tag", "words", "style", "meta"],
             )
 
-    made = picked.select("key", "good", "text", "source", "lang", "n_chars").mapInArrow(
-        features, "key long, good double, words array<string>, style array<double>, meta array<string>"
+    return rows.select("key", "good", "tag", "text", "source", "lang", "n_chars").mapInArrow(
+        features, "key long, good double, tag string, words array<string>, style array<double>, meta array<string>"
     )
+
+
+def one_of_each(rows: DataFrame, *by: str) -> DataFrame:
+    """One row of those that agree in `by`; copies are merged before anything is shuffled."""
+    return rows.groupBy(*by).agg(F.first(F.struct(*rows.columns)).alias("row")).select("row.*")
+
+
+def sampled(docs: DataFrame, labels: DataFrame, labelled: int, stage: C.Stage) -> DataFrame:
+    """(key, good, tag, words, style, meta) of at most about `labelled` labelled rows; the tag is
+    the fold, `fit` or `calibrate`. Equal rows of a key count once, so a repeated one is no flood."""
+    known = labels.filter("key IS NOT NULL").groupBy("key").agg(
+        F.min(F.coalesce("quality", F.lit(0))).alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")
+    )
+    share = min(1.0, labelled / max(1, known.count()))
+    known = known.filter(spread(5, "key") < int(share * (1 << 30)) + 1).select(
+        "key", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("good")
+    )
+    # By the share about `labelled`; the bound holds for any keys.
+    known = known.orderBy(spread(5, "key"), "key").limit(2 * labelled)
+    picked = one_of_each(marked(docs).join(F.broadcast(known), "key"), "key", "mark")
+    picked = stage.keep(picked, "labelled")
+    share = min(1.0, 2 * labelled / max(1, picked.count()))
+    picked = picked.filter(spread(6, "key", "mark") < int(share * (1 << 30)) + 1)
     fold = F.when(F.pmod(F.xxhash64("key", F.lit(9)), F.lit(4)) == 0, "calibrate").otherwise("fit")
-    return stage.keep(made.withColumn("fold", fold), "sample")
+    return stage.keep(described(picked.withColumn("tag", fold)), "sample")
 
 
 def telling_words(rows: DataFrame, words: int, support: int) -> list[str]:
@@ -210,41 +231,62 @@ def odds_of(view, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(found.T)
 
 
-def confident(
-    view, calibration: np.ndarray, pool: DataFrame, most: int, prior: float
-) -> DataFrame:
-    """Pseudo-labels: the pool's rows that a view, calibrated, is surest of, in the proportion of
-    the labels."""
-    margin = vector_to_array("rawPrediction")[1] * float(calibration[0]) + float(calibration[1])
-    scored = view.transform(pool.select("key", "text_x", "meta_x"))
-    scored = scored.select("key", "text_x", "meta_x", (1 / (1 + F.exp(-margin))).alias("p"))
-    good = scored.filter(F.col("p") >= 1 - CONFIDENT).orderBy(F.col("p").desc(), "key").limit(max(1, int(most * prior)))
-    bad = scored.filter(F.col("p") <= CONFIDENT).orderBy("p", "key").limit(max(1, int(most * (1 - prior))))
-    return good.withColumn("good", F.lit(1.0)).unionByName(bad.withColumn("good", F.lit(0.0))).drop("p")
+def score_unlabelled(docs: DataFrame, labels: DataFrame, model: Model, stage: C.Stage, name: str) -> DataFrame:
+    """(mark, text_score, meta_score) of every document without a label, by one pass over the texts."""
+    found = classify(marked(docs), model).select(
+        F.col("row.key").alias("key"), F.col("row.mark").alias("mark"), "text_score", "meta_score"
+    )
+    return stage.keep(found.join(labels.select("key").distinct(), "key", "left_anti").drop("key"), name)
+
+
+def pseudo_labels(scored: DataFrame, view: str, most: int, prior: float, turn: int) -> DataFrame:
+    """(mark, good): of the texts that a view is confident of, wherever they stand in the corpus, a
+    draw of at most about `most` by hash, in the proportion of the labels."""
+    p = F.col(view)
+    sure = scored.select("mark", F.when(p >= 1 - CONFIDENT, 1.0).when(p <= CONFIDENT, 0.0).alias("good"))
+    sure = sure.filter("good IS NOT NULL").distinct()
+    n = {r["good"]: r["count"] for r in sure.groupBy("good").count().collect()}
+    wanted = {1.0: most * prior, 0.0: most * (1 - prior)}
+    cut = {g: int(min(1.0, wanted[g] / max(1, n.get(g, 0))) * (1 << 30)) + 1 for g in wanted}
+    return sure.filter(spread(20 + turn, "mark") < F.when(F.col("good") == 1, cut[1.0]).otherwise(cut[0.0]))
+
+
+def shape(words: list[str], views: dict, calibration: dict) -> Model:
+    """The model of two fitted and calibrated views, not yet combined."""
+    weights = {x: (v.coefficients.toArray(), float(v.intercept)) for x, v in views.items()}
+    return Model(
+        words={w: i for i, w in enumerate(words)},
+        word_weights=weights["text_x"][0][: len(words)],
+        style_weights=weights["text_x"][0][len(words) :],
+        meta_weights=weights["meta_x"][0],
+        bias=(weights["text_x"][1], weights["meta_x"][1]),
+        calibration=tuple(tuple(map(float, calibration[x])) for x in ("text_x", "meta_x")),
+    )
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL,
+    docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, drawn: int = DRAWN,
     rounds: int = ROUNDS, keep: float = KEEP,
 ) -> Model:
     """Trains on `docs` (key, text, source, lang, n_chars) and `labels` (key, quality, toxic)."""
     stage = C.Stage(docs.sparkSession, "cotraining")
-    rows = sampled(docs, labels, labelled, pool, stage)
-    known = rows.filter("good IS NOT NULL")
-    if known.groupBy("fold", "good").count().count() < 4:  # a fold lacks one kind
+    known = sampled(docs, labels, labelled, stage)
+    if known.groupBy("tag", "good").count().count() < 4:  # a fold lacks one kind
         return Model()
-    words = telling_words(known.filter("fold = 'fit'"), WORDS, SUPPORT) or ["-"]
+    words = telling_words(known.filter("tag = 'fit'"), WORDS, SUPPORT) or ["-"]
     names = [f"m{i}" for i in range(META)]
     vector = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="word_x", binary=True)
     meta = CountVectorizerModel.from_vocabulary(names, inputCol="meta", outputCol="meta_x", binary=True)
     both = VectorAssembler(inputCols=["word_x", "style_x"], outputCol="text_x")
-    shaped = meta.transform(vector.transform(rows.withColumn("style_x", array_to_vector("style"))))
-    shaped = stage.keep(both.transform(shaped).select("key", "good", "fold", "text_x", "meta_x").coalesce(4), "shaped")
-    first = shaped.filter("good IS NOT NULL AND fold = 'fit'").select("key", "text_x", "meta_x", "good")
-    others = shaped.filter("good IS NULL")
+
+    def shaped(rows: DataFrame, name: str) -> DataFrame:
+        made = meta.transform(vector.transform(rows.withColumn("style_x", array_to_vector("style"))))
+        made = both.transform(made).select("key", "good", "tag", "text_x", "meta_x")
+        return stage.keep(made.coalesce(4), name)  # a bounded sample
+
+    folds = shaped(known, "shaped")
+    first, fold = folds.filter("tag = 'fit'").drop("tag"), folds.filter("tag = 'calibrate'").drop("tag")
     prior = first.agg(F.avg("good")).first()[0]
-    most = int(others.count() * SHARE)
-    fold = shaped.filter("good IS NOT NULL AND fold = 'calibrate'").select("key", "text_x", "meta_x", "good")
     train = {"text_x": first, "meta_x": first}
     passed = 0
     for turn in range(rounds + 1):
@@ -253,30 +295,24 @@ def fit(
         calibration = {x: newton(o, good) for x, (_, o, good) in odds.items()}
         if turn == rounds:
             break
-        told = {
-            x: stage.keep(confident(views[x], calibration[x], others, most, prior), f"round-{turn}-{x}")
-            for x in views
-        }
-        for x, other in (("text_x", "meta_x"), ("meta_x", "text_x")):
-            train[x] = train[x].unionByName(told[other].select(*first.columns))
-        taken = told["text_x"].select("key").union(told["meta_x"].select("key")).distinct()
-        passed += taken.count()
-        others = stage.keep(others.join(taken, "key", "left_anti"), f"left-{turn}")
-
-    weights = {x: (v.coefficients.toArray(), float(v.intercept)) for x, v in views.items()}
-    model = Model(
-        words={w: i for i, w in enumerate(words)},
-        word_weights=weights["text_x"][0][: len(words)],
-        style_weights=weights["text_x"][0][len(words) :],
-        meta_weights=weights["meta_x"][0],
-        bias=(weights["text_x"][1], weights["meta_x"][1]),
-        pseudo_labels=passed,
-    )
+        # Both views score every document without a label; what one is confident of the other learns from.
+        scored = score_unlabelled(docs, labels, shape(words, views, calibration), stage, f"scored-{turn}")
+        told = pseudo_labels(scored, "text_score", drawn, prior, turn).withColumn("tag", F.lit("meta_x")).unionByName(
+            pseudo_labels(scored, "meta_score", drawn, prior, turn).withColumn("tag", F.lit("text_x"))
+        )
+        told = stage.keep(told, f"told-{turn}")  # at most about twice `drawn` rows
+        picked = one_of_each(marked(docs).join(F.broadcast(told), "mark"), "mark", "tag")
+        more = shaped(described(picked), f"pseudo-{turn}")
+        passed += more.count()
+        for x in train:
+            train[x] = train[x].unionByName(more.filter(F.col("tag") == x).drop("tag"))
+
+    model = shape(words, views, calibration)
+    model.pseudo_labels = passed
     # Both views on the fold that neither was trained on: calibrated, then combined.
     good = odds["text_x"][2]
     x = np.column_stack([odds[v][1] * calibration[v][0] + calibration[v][1] for v in ("text_x", "meta_x")])
     combination = newton(x, good)
-    model.calibration = tuple(tuple(map(float, calibration[v])) for v in ("text_x", "meta_x"))
     model.combination = tuple(map(float, combination))
     margins = np.sort((x @ combination[:2] + combination[2])[good == 1])
     score = sigmoid(float(margins[int((1 - keep) * len(margins))]))
