@@ -10,10 +10,17 @@ masked: a name, an account, an employer. For a term t and an entity e the corpus
 PMI(e; t) = log2 p(e, t) / (p(e) p(t)), against the information IC(e) = -log2 p(e) that the
 entity holds. PMI / IC is 1 if the term occurs with the entity alone and near 0 if it tells
 nothing. p(e), p(t) and p(e, t) count documents over the whole corpus, by their whole texts
-without the base spans. Terms are removed from `REMOVE` on, generalised from `GENERALISE` on,
-wherever they stand in the documents of the entity. A pair seen in one text only, however often
-it was copied, is no estimate and changes nothing; so entities of one text need no pairs.
-Entities that stand in the same documents have the same figures and are counted as one.
+without the base spans. How far a pair can be trusted depends on the n different texts that show
+it: its disclosure is PMI / IC shrunk by n / (n + 1), so what one text shows, however often it was
+copied, counts half. Terms are removed from `REMOVE` on, generalised from `GENERALISE` on, wherever
+they stand in the documents of the entity. To generalise is to put the term's class in its place:
+a name, a number, a code of letters and digits, a word. From one text alone a term is generalised
+if it stands nowhere else, and never removed. Entities that stand in the same documents have the
+same figures and are counted as one.
+
+As no pair counts more often than its entity, a term of more than N (n_e / N)^(g (n + 1) / n)
+documents cannot reach the threshold g with an entity of n_e documents and n texts. So the common
+terms of a document are never paired, and a page of many entities pairs them with its rare terms.
 
 All steps are DataFrame functions. Pair counts are distinct rows aggregated by key, so a line
 that a third of the documents share is one pre-aggregated count.
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-GENERAL, REMOVED = "general", "removed"
+REMOVED = "removed"
 
 EMAIL = (
     r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -59,7 +66,7 @@ MASK = "\x01"
 #: A key with more than one in so many rows, and more than MANY, is joined by broadcast.
 HOT, MANY = 1000, 10_000
 #: The disclosure thresholds.
-GENERALISE, REMOVE = 0.75, 0.9
+GENERALISE, REMOVE = 0.5, 0.7
 
 #: Elements whose positions are summed in one step.
 STEP = 256
@@ -193,19 +200,21 @@ def sized_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, tota
     return left.join(hot, on).unionByName(rest.join(right.filter(~many), on))
 
 
-def holding(held: DataFrame, stage: C.Stage) -> DataFrame:
-    """(id, text_hash, masked, groups) of the documents with an entity that other texts hold too;
-    `groups` has (group, with_entity) of their sets of entities that stand in the same documents."""
+def holding(held: DataFrame, total: int, stage: C.Stage) -> DataFrame:
+    """(id, text_hash, masked, groups) of the documents with an entity; `groups` has (group, with_entity, most) of
+    their sets of entities that stand in the same documents, `most` the documents a term may have to matter."""
     one = held.select("id", "text_hash", F.explode("spans").alias("s"))
     one = one.select("id", "text_hash", F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity"))
     one = stage.keep(one.distinct(), "entities")
     known = one.groupBy("entity").agg(
-        F.count("*").alias("with_entity"), (F.min("text_hash") != F.max("text_hash")).alias("texts"),
+        F.count("*").alias("with_entity"), F.count_distinct("text_hash").alias("texts"),
         F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("y"),
     )
-    known = known.filter("texts").select("entity", "with_entity", F.xxhash64("with_entity", "x", "y").alias("group"))
+    least = F.lit(GENERALISE) * (F.col("texts") + 1) / F.col("texts")
+    most = F.lit(float(total)) * F.pow(F.col("with_entity") / F.lit(float(total)), least) * (1 + 1e-9)
+    known = known.select("entity", "with_entity", F.xxhash64("with_entity", "x", "y").alias("group"), most.alias("most"))
     own = sized_join(one.select("id", "entity"), known, ["entity"], "with_entity", one.count())
-    own = own.groupBy("id").agg(F.collect_set(F.struct("group", "with_entity")).alias("groups"))
+    own = own.groupBy("id").agg(F.collect_set(F.struct("group", "with_entity", "most")).alias("groups"))
     return stage.keep(held.select("id", "text_hash", "masked").join(own, "id"), "holding")
 
 
@@ -221,23 +230,45 @@ def term_counts(docs: DataFrame, held: DataFrame, text: str) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("n").alias("with_term"))
 
 
-def disclosing(docs: DataFrame, held: DataFrame, own: DataFrame, text: str, total: int) -> DataFrame:
+def paired(docs: DataFrame, held: DataFrame, own: DataFrame, text: str, total: int) -> DataFrame:
+    """(id, text_hash, group, term, with_entity, with_term) of all pairs that can reach the lower threshold."""
+    counts = term_counts(docs, held, text)
+    terms = own.select("id", F.array_max(F.transform("groups", lambda g: g["most"])).alias("limit"), F.explode(terms_of(F.col("masked"))).alias("term"))
+    rare = sized_join(terms, counts, ["term"], "with_term", total).filter(F.col("with_term") <= F.col("limit"))
+    rare = rare.groupBy("id").agg(F.collect_list(F.struct("with_term", "term")).alias("rare"))
+    pairs = own.select("id", "text_hash", "groups").join(rare, "id").select("id", "text_hash", "rare", F.explode("groups").alias("g"))
+    fitting = F.filter("rare", lambda t: t["with_term"] <= F.col("g.most"))
+    pairs = pairs.select("id", "text_hash", "g", F.explode(fitting).alias("t"))
+    return pairs.select("id", "text_hash", "g.group", "t.term", "g.with_entity", "t.with_term")
+
+
+def disclosing(pairs: DataFrame, total: int) -> DataFrame:
     """(group, term, both, disclosure) of the pairs from the lower threshold on."""
-    pairs = own.select("text_hash", "groups", F.explode(terms_of(F.col("masked"))).alias("term"))
-    pairs = pairs.select("text_hash", "term", F.explode("groups").alias("g")).groupBy(F.col("g.group").alias("group"), "term").agg(
-        F.count("*").alias("both"), F.max("g.with_entity").alias("with_entity"),
-        (F.min("text_hash") != F.max("text_hash")).alias("texts"),
+    found = pairs.groupBy("group", "term").agg(
+        F.count("*").alias("both"), F.count_distinct("text_hash").alias("texts"),
+        F.max("with_entity").alias("with_entity"), F.max("with_term").alias("with_term"),
     )
-    pairs = pairs.filter("texts").drop("texts").join(term_counts(docs, held, text), "term")
     total = F.lit(float(total))
     information = F.log2(total / F.col("with_entity"))
     shared = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term")))
-    pairs = pairs.withColumn("disclosure", F.when(information > 0, shared / information))
-    return pairs.filter(F.col("disclosure") >= GENERALISE).select("group", "term", "both", "disclosure")
+    trust = F.col("texts") / (F.col("texts") + 1)
+    # Rounded far below any difference that counts, so that a full share is exactly 1.
+    disclosure = F.round(F.when(information > 0, shared / information), 9) * trust
+    return found.withColumn("disclosure", disclosure).filter(F.col("disclosure") >= GENERALISE).select("group", "term", "both", "disclosure")
+
+
+def class_of(term: Column) -> Column:
+    """What a generalised term still says: that it is a number, a code, a name or a word."""
+    return (
+        F.when(term.rlike(r"^[\p{N}]+$"), "number")
+        .when(term.rlike(r"[\p{N}_]"), "code")
+        .when(term.rlike(r"^\p{Lu}"), "name")
+        .otherwise("word")
+    )
 
 
 def placed_terms(own: DataFrame) -> DataFrame:
-    """(id, group, term, start, end) of all terms of documents, for each of their groups."""
+    """(id, term, start, end, class) of all terms of documents."""
 
     def placed(found: Column) -> Column:
         pair = F.zip_with(
@@ -246,12 +277,10 @@ def placed_terms(own: DataFrame) -> DataFrame:
         return F.when(F.size(found) > 0, pair)
 
     terms = F.explode(let(F.regexp_extract_all("masked", F.lit(TERM), F.lit(0)), placed)).alias("y")
-    rows = own.select("id", "groups", terms).select(
-        "id", "groups", F.lower("y.term").alias("term"), F.col("y.at").alias("start"),
-        (F.col("y.at") + F.length("y.term")).alias("end"),
+    return own.select("id", terms).select(
+        "id", F.lower("y.term").alias("term"), F.col("y.at").alias("start"),
+        (F.col("y.at") + F.length("y.term")).alias("end"), class_of(F.col("y.term")).alias("class"),
     )
-    rows = rows.select("id", "term", "start", "end", F.explode("groups").alias("g"))
-    return rows.select("id", F.col("g.group").alias("group"), "term", "start", "end")
 
 
 def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -269,13 +298,19 @@ def find_personal(docs: DataFrame, key: str = "doc_id", text: str = "text", carr
     whole = F.col("row")[text].cast("string") if carried else F.col("text")
     held = held.select("id", "text_hash", "spans", whole.alias("text"))
     held = held.withColumn("masked", masked(F.col("text"), F.col("spans")))
-    own = holding(held, stage)
-    told = stage.keep(disclosing(named, held, own, "text", marked.count()), "disclosing")
+    total = marked.count()
+    own = holding(held, total, stage)
+    pairs = stage.keep(paired(named, held, own, "text", total), "pairs")
+    told = stage.keep(disclosing(pairs, total), "disclosing")
     rows = told.agg(F.sum("both")).first()[0] or 0
-    added = sized_join(placed_terms(own), told, ["group", "term"], "both", rows)
-    kind = F.when(F.max("disclosure") >= REMOVE, F.lit(REMOVED)).otherwise(F.lit(GENERAL))
-    added = added.groupBy("id", "start", "end").agg(kind.alias("kind"))
-    added = added.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
+    telling = sized_join(pairs.select("id", "group", "term"), told, ["group", "term"], "both", rows)
+    telling = telling.groupBy("id", "term").agg(F.max("disclosure").alias("disclosure"))
+    telling = stage.keep(telling, "telling")
+    places = placed_terms(own.join(telling.select("id").distinct(), "id", "left_semi"))
+    added = places.join(telling, ["id", "term"])
+    kind = F.when(F.col("disclosure") >= REMOVE, F.lit(REMOVED)).otherwise(F.col("class"))
+    added = added.select("id", F.struct("start", "end", kind.alias("kind")).alias("span"))
+    added = added.groupBy("id").agg(F.sort_array(F.collect_list("span")).alias("added"))
     return marked.join(added, "id", "left").select(
         "key", "spans", F.coalesce("added", F.array().cast(ADDED)).alias("added"), *(["row"] if carry else [])
     )
@@ -300,38 +335,91 @@ def all_spans(base: Column, added: Column) -> Column:
 
 
 def mark_of(span: Column) -> Column:
-    """The kind in brackets, [TERM] for generalised terms, nothing for removed ones."""
-    mark = F.when(span["kind"] == REMOVED, F.lit("")).when(span["kind"] == GENERAL, F.lit("[TERM]"))
-    return mark.otherwise(F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
+    """The kind or class in brackets, nothing for removed terms."""
+    mark = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
+    return F.when(span["kind"] == REMOVED, F.lit("")).otherwise(mark)
 
 
-def sanitised(text: Column, spans: Column, mark: Callable[[Column], Column] = mark_of) -> Column:
-    """The text with the union of the spans replaced by their marks."""
-    kind = "array<struct<start:int,end:int,kind:string>>"
+def in_steps(spans: Column) -> Column:
+    """Runs of `STEP` spans, each with the greatest end of all runs before it."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / STEP).cast("int"))
+    parts = F.transform(numbers, lambda b: F.slice(spans, b * STEP + 1, F.lit(STEP)))
+    kind = "array<struct<before:int,part:array<struct<start:int,end:int,kind:string>>>>"
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind")
-        )
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        overlaps = (F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"])
-        return F.when(overlaps, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(
-            F.concat(acc, F.array(own))
+    def add(acc: Column, part: Column) -> Column:
+        return F.struct(
+            F.greatest(acc["before"], F.array_max(F.transform(part, lambda s: s["end"]))).alias("before"),
+            F.concat(acc["parts"], F.array(F.struct(acc["before"].alias("before"), part.alias("part")))).alias("parts"),
         )
 
-    def pieces(merged: Column) -> Column:
-        ends = F.concat(F.array(F.lit(0)), F.transform(merged, lambda s: s["end"]))
+    start = F.struct(F.lit(0).alias("before"), F.array().cast(kind).alias("parts"))
+    return F.aggregate(parts, start, add, lambda acc: acc["parts"])
+
+
+def united(spans: Column) -> Column:
+    """(start, end, kind) of the union of at least one span, in order; the first names the kind.
+
+    A span that starts before the greatest end so far belongs to the one that is open. Work stays
+    near the number of spans, as sums in `positions`.
+    """
+    wide = "array<struct<start:int,end:int,kind:string,before:int>>"
+
+    def runs(one: Column) -> Column:
+        return F.aggregate(
+            one["part"],
+            F.struct(one["before"].alias("before"), F.array().cast(wide).alias("xs")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["before"], s["end"]).alias("before"),
+                F.concat(acc["xs"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
+                                                     acc["before"].alias("before")))).alias("xs"),
+            ),
+            lambda acc: acc["xs"],
+        )
+
+    def heads(marked: Column) -> Column:
+        first = F.filter(marked, lambda s: s["start"] >= s["before"])
+        last = F.array_max(F.transform(marked, lambda s: s["end"]))
+        return let(F.struct(first.alias("first"), last.alias("last")), with_ends)
+
+    def with_ends(x: Column) -> Column:
+        behind = F.transform(F.slice(x["first"], F.lit(2), F.size(x["first"])), lambda s: s["before"])
+        return F.zip_with(x["first"], F.concat(behind, F.array(x["last"])), lambda s, end: F.struct(
+            s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind")))
+
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return let(F.flatten(F.transform(in_steps(plain), runs)), heads)
+
+
+def sanitised(text: Column, spans: Column, mark: Callable[[Column], Column] = mark_of) -> Column:
+    """The text with the union of the spans, by start, replaced by their marks.
+
+    The text is cut into segments of `STEP` spans first, as finding a place in a text takes as long
+    as the text is up to there.
+    """
+
+    def segment(x: Column) -> Column:
+        begins = F.concat(F.array(x["base"]), F.transform(F.slice(x["part"], F.lit(1), F.size(x["part"]) - 1), lambda s: s["end"]))
 
         def piece(s: Column, before: Column) -> Column:
-            return F.concat(F.substring(text, before + 1, s["start"] - before), mark(s))
+            return F.concat(F.substring(x["text"], before - x["base"] + 1, s["start"] - before), mark(s))
+
+        return F.array_join(F.zip_with(x["part"], begins, piece), "")
+
+    def pieces(merged: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(merged) - 1) / STEP).cast("int"))
+        last = F.element_at(merged, -1)["end"]
+
+        def cut(b: Column) -> Column:
+            base = F.when(b == 0, F.lit(0)).otherwise(F.element_at(merged, F.greatest(b * STEP, F.lit(1)))["end"])
+            part = F.slice(merged, b * STEP + 1, F.lit(STEP))
+            end = F.element_at(merged, F.least((b + 1) * STEP, F.size(merged)))["end"]
+            found = F.struct(base.alias("base"), part.alias("part"), F.substring(text, base + 1, end - base).alias("text"))
+            return let(found, segment)
 
-        own = F.zip_with(merged, F.slice(ends, F.lit(1), F.size(merged)), piece)
-        tail = F.substring(text, F.element_at(ends, -1) + 1, F.length(text))
-        return F.concat(F.array_join(own, ""), tail)
+        tail = F.substring(text, last + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(numbers, cut), ""), tail)
 
-    merged = F.aggregate(spans, F.array().cast(kind), merge)
-    return F.when(F.size(spans) > 0, let(merged, pieces)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(let(spans, united), pieces)).otherwise(text)
 
 
 def op8_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
