@@ -20,9 +20,11 @@ import numpy as np
 
 CHUNK = re.compile(r"\s*\S+|\s+")
 #: Characters that only one of the two definitions of white space holds.
-UNSURE = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\u2060\ufeff]")
+UNSURE = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\u200c\u200d\u2060\ufeff"
+#: A letter or digit before these ends a pre-token, and they are one by themselves.
+CLOSING = ",.;:!?"
 #: Distinct chunks that a worker keeps; further ones are encoded each time.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 #: Chunks longer than this are not kept.
 CACHE_CHARS = 64
 #: Characters cut into chunks at a time; bounds the memory of a worker at any text length.
@@ -41,8 +43,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([UNSURE.pattern, *added]))
+        self.special = [*UNSURE, *[t.content for t in self.tokenizer.get_added_tokens_decoder().values()]]
         self.known: dict[str, bytes] = {}
         self.sizes = self._byte_sizes()
 
@@ -58,6 +59,10 @@ class Encoder:
             sizes[number] = len(token)  # one character for each byte
         return sizes
 
+    def whole(self, text: str) -> bool:
+        """Whether a text must be encoded in one piece."""
+        return any(x in text for x in self.special)
+
     def _encode(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype=self.dtype).tobytes()
@@ -93,7 +98,7 @@ class Encoder:
         size = 0
         for text in texts:
             n = len(text or "")
-            if n > AT_ONCE and not self.whole.search(text):
+            if n > AT_ONCE and not self.whole(text):
                 out += self._encode_group(group)
                 out.append(b"".join(self._encode_group([part])[0] for part in self._parts(text)))
                 group, size = [], 0
@@ -117,16 +122,21 @@ class Encoder:
 
     def _encode_group(self, texts: Sequence[str | None]) -> list[bytes]:
         known = self.known
-        cut = [None if t is None or self.whole.search(t) else CHUNK.findall(t) for t in texts]
+        cut = [None if t is None or self.whole(t) else CHUNK.findall(t) for t in texts]
         found = [None if chunks is None else list(map(known.get, chunks)) for chunks in cut]
-        gaps = [[i for i, x in enumerate(f) if x is None] if f else [] for f in found]
+        gaps = [[i for i, x in enumerate(f) if x is None] if f and None in f else [] for f in found]
         missing = {chunks[i] for chunks, at in zip(cut, gaps, strict=True) for i in at}
         if missing:
+            split = self._closings(missing)
+            parts = {part for pair in split.values() for part in pair if part not in known}
             # A chunk of white space alone ends a text; in the middle of one it would lend
             # its last character to the next word. First chunks may start without any.
-            spaced = [c for c in missing if c[0].isspace() and not c[-1].isspace()]
+            alone = missing.difference(split) | parts
+            spaced = [c for c in alone if c[0].isspace() and not c[-1].isspace()]
             extra = self._together(spaced) if spaced else {}
-            extra |= {c: self._encode(c) for c in missing.difference(spaced)}
+            extra |= {c: self._encode(c) for c in alone.difference(spaced)}
+            for chunk, (body, tail) in split.items():
+                extra[chunk] = (extra.get(body) or known[body]) + (extra.get(tail) or known[tail])
             for ids, chunks, at in zip(found, cut, gaps, strict=True):
                 for i in at:
                     ids[i] = extra[chunks[i]]
@@ -137,6 +147,17 @@ class Encoder:
             for text, ids in zip(texts, found, strict=True)
         ]
 
+    def _closings(self, chunks: set[str]) -> dict[str, tuple[str, str]]:
+        """Chunks that are a word and closing marks, as both parts: words come back with other
+        marks, so they are kept without."""
+        out = {}
+        if self.sizes is not None:
+            for chunk in chunks:
+                body = chunk.rstrip(CLOSING)
+                if len(body) < len(chunk) and body[-1:].isalnum():
+                    out[chunk] = body, chunk[len(body) :]
+        return out
+
 
 def encoder(file: str) -> Encoder:
     """The worker's encoder of a file; loaded once."""
