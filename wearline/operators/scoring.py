@@ -47,11 +47,12 @@ def score(df: DataFrame, model, cap: float | None = None, features=None) -> Data
 
     ``features`` builds the feature rows from ``df``. A model with a part per
     subset gets them built per subset, from rows filtered at the source: the
-    filter would not pass the Arrow step of the trailing features by itself.
+    filter would not pass the Arrow step of the trailing features by itself. A
+    model that is ``one_pass`` scores the rows of all subsets together.
     """
     build = features or (lambda rows: rows)
     subsets = getattr(model, "subsets", None)
-    if subsets:
+    if subsets and not getattr(model, "one_pass", False):
         parts = [model.predict(build(df.filter(F.col("subset") == k)), k) for k in subsets]
         predicted = reduce(DataFrame.unionByName, parts)
     else:

@@ -1031,3 +1031,57 @@ def _(t: Tables):
         "dataset", F.size("sensors").alias("n_sensors"), "rul_cap", "window", "n_features",
         F.size("metrics").alias("n_metrics"),
     )
+
+
+#: Bin edges of the one-split tree below.
+CYCLE_EDGES, S2_EDGES = list(range(2, 60, 3)), [5.0 * i for i in range(1, 120)]
+
+
+@query("one_split_trees", "M2 M3 A28", f"""
+SELECT * FROM (WITH rows AS (SELECT event_id, subset, CAST(cycle AS DOUBLE) AS cycle, s2, CAST(least(n_rows - cycle, 125) AS DOUBLE) AS rul FROM readings),
+base AS (SELECT subset, avg(rul) AS base, CAST(count(*) AS DOUBLE) AS n FROM rows GROUP BY subset),
+cuts AS (SELECT 0 AS feature, CAST(unnest({CYCLE_EDGES}) AS DOUBLE) AS cut, generate_subscripts({CYCLE_EDGES}, 1) AS bin
+         UNION ALL SELECT 1, unnest({S2_EDGES}), generate_subscripts({S2_EDGES}, 1)),
+sides AS (SELECT c.feature, c.cut, c.bin, r.subset, sum(b.base - r.rul) AS g, CAST(count(*) AS DOUBLE) AS n,
+                 coalesce(sum(b.base - r.rul) FILTER (CASE c.feature WHEN 0 THEN r.cycle ELSE r.s2 END <= c.cut), 0) AS gl,
+                 CAST(count(*) FILTER (CASE c.feature WHEN 0 THEN r.cycle ELSE r.s2 END <= c.cut) AS DOUBLE) AS nl
+          FROM rows r JOIN base b ON b.subset = r.subset CROSS JOIN cuts c GROUP BY c.feature, c.cut, c.bin, r.subset),
+best AS (SELECT *, row_number() OVER (PARTITION BY subset ORDER BY round(gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) - g * g / (n + 1), 6) DESC,
+                                      feature, bin) AS rn FROM sides WHERE nl >= 1 AND n - nl >= 1)
+SELECT r.event_id, r.subset, round(b.base - 0.5 * CASE WHEN CASE s.feature WHEN 0 THEN r.cycle ELSE r.s2 END <= s.cut
+       THEN s.gl / (s.nl + 1) ELSE (s.g - s.gl) / (s.n - s.nl + 1) END, 6) AS prediction
+FROM rows r JOIN base b ON b.subset = r.subset JOIN best s ON s.subset = r.subset AND s.rn = 1) q""")
+def _(t: Tables):
+    # Threshold and both leaf values of one split in each dataset, by what they predict for every row.
+    import numpy as np
+
+    from wearline.operators import boosting
+
+    rows = t.readings.select(
+        "event_id", "subset", F.col("cycle").cast("double").alias("cycle"), "s2", F.least(F.col("n_rows") - F.col("cycle"), F.lit(125)).alias("rul")
+    )
+    edges = {k: [np.array(CYCLE_EDGES, float), np.array(S2_EDGES)] for k in S.SUBSETS}
+    params = {"trees": 1, "depth": 1, "rate": 0.5, "l2": 1.0, "columns": 1.0, "rows": 1.0}
+    model = boosting.fit_boosted(rows, ["cycle", "s2"], "rul", "subset", params, edges=edges)
+    return rounded(model.predict(rows), 6, "prediction").select("event_id", "subset", "prediction")
+
+
+@query("boosted_scores", "M2 M3 M5 K8", """
+SELECT subset, unit, max(cycle) AS cycle, TRUE AS in_range, TRUE AS status_fits, TRUE AS better_than_mean FROM readings GROUP BY subset, unit""")
+def _(t: Tables):
+    from wearline.operators import boosting
+    from wearline.plans.streams import run_folder
+
+    labelled = feat.remaining_life(t.readings, KEYS, "cycle", S.RUL_CAP)
+    rows = store.materialised(feat.rolling_features(labelled, KEYS, "cycle", ["s2", "s4"], position="cycle"))
+    names = ["s2", "s4", "s2_rm", "s4_rm", "s2_rs", "s4_rs", "cycle"]
+    params = {"trees": 10, "depth": 3, "rate": 0.3}
+    path = run_folder(t.spark)
+    boosting.save_boosted(t.spark, boosting.fit_boosted(rows, names, "rul", "subset", params), path)
+    model = boosting.load_boosted(t.spark, path)
+    error, mean = (F.col("prediction") - F.col("rul")) ** 2, F.var_pop("rul")
+    better = model.predict(rows).groupBy("subset").agg((F.avg(error) <= mean).alias("better_than_mean"))
+    scored = scoring.score_latest(t.readings, model, ["s2", "s4"])
+    in_range = F.coalesce(F.col("predicted_rul").between(0, S.RUL_CAP), F.lit(False))
+    fits = F.col("health_status") == C.health_status("predicted_rul")
+    return scored.join(better, "subset").select(*KEYS, "cycle", in_range.alias("in_range"), fits.alias("status_fits"), "better_than_mean")
