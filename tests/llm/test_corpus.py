@@ -78,6 +78,23 @@ def test_mix_with_a_hot_source_comes_near_its_targets(spark, last_rows):
         assert abs(taken[source] - goal) <= 3
 
 
+def test_given_weights_by_a_brute_force_sort(spark):
+    """Which documents a fraction takes is the prefix of -ln(u) / weight, as a plain sort finds it."""
+    rows = [(i, f"a b c d{i}", None, "one", 0, [None, 0.9, 0.1, float("nan"), -1.0, 0.5][i % 6]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, w double")
+    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64("doc_id", "text", F.lit(mixing.SEED)).alias("h")).collect()}
+    got = {r["key"]: r["copies"] for r in mixing.mix(docs, weight="w", share=0.4).collect()}
+    keys = []
+    for i, _, _, _, _, w in rows:
+        u = (((hashed[i] % 2**64) >> 11) + 0.5) / 2.0**53
+        keys.append((-math.log(u) / (max(w, mixing.LEAST_WEIGHT) if w is not None and math.isfinite(w) else mixing.LEAST_WEIGHT), i))
+    budget = 0.4 * 4 * len(rows)
+    want = {i for _, i in sorted(keys)[: int(budget // 4)]}
+    assert {i for i, n in got.items() if n} == want
+    share = lambda k: sum(got[i] for i in range(900) if i % 6 == k) / 150
+    assert share(1) > share(5) > share(2) > share(0)
+
+
 def test_the_prefix_follows_the_key_order(spark):
     docs = [(i, f"a b c d{i}", None, "one" if i % 2 else "two", 0) for i in range(400)]
     stage = mixing.C.Stage(spark, "t")
@@ -447,8 +464,12 @@ def test_stages_return_what_they_were_given(spark, odd, empty, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     for docs in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, docs, folder).columns == docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            score = [corpus_pipeline.SCORE] if name == "quality classifier" else []
+            assert stage(spark, docs, folder).columns == docs.columns + score
+    scored = odd.withColumn(corpus_pipeline.SCORE, F.lit(0.5))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert sorted(stage(spark, scored, folder).columns) == sorted(scored.columns)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
     assert corpus_pipeline.quality(spark, odd, folder).count() == len(ODD_ROWS)
@@ -469,6 +490,13 @@ def test_personal_stage_leaves_clean_documents_alone(spark):
     assert got == {1: ("clean text é", 99, "en"), 2: ("mail to [EMAIL] now", 19, "en"), 3: (None, None, None), 4: ("mail to all now", 15, "en")}
 
 
+def test_mixing_stage_draws_by_the_score(spark):
+    rows = [(i, f"a b c d{i}", "en", ["a", "b", "c"][i % 3], 8, 0.9 if i % 2 else 0.05) for i in range(900)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {corpus_pipeline.SCORE} double")
+    got = Counter(r["doc_id"] % 2 for r in corpus_pipeline.mix_sources(spark, docs, "").filter("source = 'b'").collect())
+    assert got[1] > 1.3 * got[0]
+
+
 def test_mixing_stage_repeats_documents(spark, odd):
     copies = {r["key"]: r["copies"] for r in mixing.mix(odd.filter("doc_id <> 6")).collect()}
     got = Counter(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, odd.filter("doc_id <> 6"), "").collect())

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Each document has an exponential key, Exp(1) divided by its quality weight; taking documents
+Each document has an exponential key, Exp(1) divided by its quality weight (a column, such as a
+classifier's score, or a simple measure of the text); taking documents
 in ascending key order is weighted sampling without replacement. A source whose target is
 above its size is taken whole first, as often as it fits; what is left of the target is the
 longest prefix of the key order that fits into it, and the one document that fits best into
@@ -40,12 +41,16 @@ LAST_ROWS = 256
 FEW_SOURCES = 50_000
 
 
+#: The smallest sampling weight; a given weight that is null, not finite or below it counts as this.
+LEAST_WEIGHT = 1e-3
+
+
 def quality_weight(distinct: int, size: int) -> float:
-    """The sampling weight of a text: a quarter, plus its share of distinct words."""
+    """The sampling weight of a text that none is given for: a quarter, plus its share of distinct words."""
     return 0.25 + distinct / size if size else 0.25
 
 
-def measure(docs: DataFrame, key: str, text: str, source: str, seed: int, carry: list[str]) -> DataFrame:
+def measure(docs: DataFrame, key: str, text: str, source: str, seed: int, carry: list[str], weight: str | None = None) -> DataFrame:
     """One row for each document: key, source, size in words, its exponential key, the same as
     a whole number, and the carried columns as a struct."""
 
@@ -56,7 +61,11 @@ def measure(docs: DataFrame, key: str, text: str, source: str, seed: int, carry:
             for text in texts.to_pylist():
                 words = (text or "").encode().split()  # ASCII white space alone
                 sizes.append(len(words))
-                weights.append(quality_weight(len(set(words)), len(words)))
+                if weight is None:
+                    weights.append(quality_weight(len(set(words)), len(words)))
+            if weight is not None:
+                given = batch["weight"].to_numpy(zero_copy_only=False).astype(np.float64)
+                weights = np.where(np.isfinite(given), np.maximum(given, LEAST_WEIGHT), LEAST_WEIGHT)
             hashed = batch["hash"].to_numpy().view(np.uint64) >> np.uint64(11)
             uniform = (hashed.astype(np.float64) + 0.5) / 2.0**53
             at = -np.log(uniform) / np.array(weights)
@@ -76,6 +85,7 @@ def measure(docs: DataFrame, key: str, text: str, source: str, seed: int, carry:
         *([] if carried else [F.col(text).alias("text")]),
         F.col(source).cast("string").alias("source"),
         F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("hash"),
+        *([] if weight is None else [F.col(weight).cast("double").alias("weight")]),
         *row,
     )
     kinds = {"key": T.LongType(), "source": T.StringType(), "size": T.LongType()}
@@ -182,12 +192,13 @@ def in_prefix() -> Column:
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
-    seed: int = SEED, carry: list[str] | None = None, last_rows: int = LAST_ROWS,
+    seed: int = SEED, carry: list[str] | None = None, last_rows: int = LAST_ROWS, weight: str | None = None,
 ) -> DataFrame:
     """One row for each document: key, source, size, source_size, target (of its source),
-    copies (how often the mix takes it), taken (words), and `row`, the carried columns."""
+    copies (how often the mix takes it), taken (words), and `row`, the carried columns.
+    `weight` names a column of quality weights; without it a weight follows from the text."""
     stage = C.Stage(docs.sparkSession, "mixing")
-    measured = measure(docs, key, text, source, seed, carry or [])
+    measured = measure(docs, key, text, source, seed, carry or [], weight)
     rows = stage.keep(measured.withColumn("id", F.monotonically_increasing_id()), "measured")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most)

@@ -394,9 +394,10 @@ def remove_repeats(
     classes = again.groupBy(*context).agg(F.sum("n").alias("total"), F.min(one).alias("one"))
     classes = stage.keep(classes, "classes")
     settled = again.join(classes.filter("total > 1").select(*context), context, "left_semi")
+    # Rows that agree in key and text hold the same spans; each is kept once.
     settled = settled.select("key", "mark", "lo", "hi").unionByName(
         all_samples.filter("gram IS NULL").select("key", "mark", "lo", "hi")
-    )
+    ).distinct()
     groups = classes.groupBy("gram").agg(F.count("*").alias("rows"), F.max(F.col("total") == 1).alias("any"))
     open_ = classes.join(groups.filter("rows > 1 AND any"), "gram").select(
         "one.*", (F.col("total") == 1).alias("open"), "gram", (F.col("rows") > group).alias("large")
@@ -455,7 +456,7 @@ def remove_repeats(
     spans = found[0]
     for other in found[1:]:
         spans = spans.unionByName(other)
-    spans = spans.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
+    spans = spans.distinct().groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
 
     final_schema = f"key long, no_key boolean, spans array<struct<lo: int, hi: int>>, {DIGEST}" + (", kept binary" if kept else "")
     final_arrow = to_arrow_schema(T._parse_datatype_string(final_schema))
@@ -484,7 +485,12 @@ def remove_repeats(
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of all `documents`."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of all `documents`; beside these the number
+    of bytes that are left and, for any byte removed, the removed runs as start:end."""
     docs = C.read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = remove_repeats(docs)
-    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    runs = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["lo"], s["hi"])), ",")
+    return found.select(
+        F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256",
+        (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"), runs.alias("removed"),
+    )
