@@ -3,7 +3,7 @@
 Every stage is one operator of `wearline.llm` and a function (spark, docs, sf_dir). Its result is
 written as Parquet in the work folder and read again, so a lost executor never costs more than
 the stage it is in. All stages but the last return the columns they were given, the columns of
-documents among them; null values, repeated rows and empty tables have the results that the
+documents among them, and the first adds its score; null values, repeated rows and empty tables have the results that the
 operators define, and columns beside those of documents pass through.
 """
 
@@ -17,12 +17,16 @@ from wearline.llm import cotraining, mixing, packing, personal, simhash
 from wearline.llm.tokens import default_tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The column that the first stage adds to those it was given.
+SCORE = "quality_score"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps. Without usable labels: all."""
+    """Documents that the co-trained classifier keeps, with its combined score as `quality_score`,
+    which the mix draws by. Without usable labels: all, with score 1."""
     model = cotraining.train(spark, docs, sf_dir)
-    return cotraining.classify(docs, model).filter("keep").select("row.*")
+    columns = [F.col(f"row.`{c}`") for c in docs.columns if c != SCORE]
+    return cotraining.classify(docs, model).filter("keep").select(*columns, F.col("score").alias(SCORE))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +57,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
-    mixed = mixing.mix(docs, carry=docs.columns)
+    """The mix: each document as often as it is taken, drawn by the classifier's score if there is one."""
+    mixed = mixing.mix(docs, carry=docs.columns, weight=SCORE if SCORE in docs.columns else None)
     again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
     return mixed.select("row", again).select("row.*")
 
