@@ -226,3 +226,23 @@ def status_changes(df: DataFrame, keys: list[str], seq: str, status: str = "heal
         numbered, keys, "_position", 1, lambda w: {"previous": F.lag(status).over(w)}
     )
     return out.filter(F.col("previous") != F.col(status)).drop("_position")
+
+
+def engine_sketches(pred: DataFrame, by: list[str] = ["subset"], time: str = "predicted_at", engine: str = "engine_id",
+                    precision: int = 16) -> DataFrame:
+    """A mergeable sketch of the engines of each minute and group, to be stored. Its size is bounded
+    by 2^precision bytes whatever the number of rows, and the error of a count by about
+    1.04 / 2^(precision / 2): 0.4 % for 16; small counts are exact."""
+    minute = C.truncate_time("minute", time).alias("minute")
+    return pred.groupBy(minute, *by).agg(F.hll_sketch_agg(engine, F.lit(precision)).alias("engines"))
+
+
+def engines_from_sketches(sketches: DataFrame, unit: str, by: list[str] = [], since=None, until=None) -> DataFrame:
+    """Engines per time bucket of any unit from a minute up, and group, from stored sketches alone."""
+    rows = sketches
+    if since is not None:
+        rows = rows.filter(F.col("minute") >= C.time_literal(since))
+    if until is not None:
+        rows = rows.filter(F.col("minute") < C.time_literal(until))
+    merged = rows.groupBy(C.truncate_time(unit, "minute").alias("time"), *by).agg(F.hll_union_agg("engines").alias("_s"))
+    return merged.select("time", *by, F.hll_sketch_estimate("_s").alias("engines"))

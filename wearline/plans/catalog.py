@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wearline import schema as S
 from wearline.functions import columns as C
 from wearline.operators import accuracy as acc
+from wearline.operators import asof
 from wearline.operators import entities as ent
 from wearline.operators import features as feat
 from wearline.operators import fleet
@@ -1085,3 +1086,35 @@ def _(t: Tables):
     in_range = F.coalesce(F.col("predicted_rul").between(0, S.RUL_CAP), F.lit(False))
     fits = F.col("health_status") == C.health_status("predicted_rul")
     return scored.join(better, "subset").select(*KEYS, "cycle", in_range.alias("in_range"), fits.alias("status_fits"), "better_than_mean")
+
+
+@query("last_alert_before", "J9", """
+SELECT r.event_id, coalesce(a.event_id, -1) AS alert_id, coalesce(a.health_status, '') AS alert
+FROM (SELECT event_id, engine_id, recorded_at FROM readings) r
+ASOF LEFT JOIN (SELECT event_id, p.engine_id, p.predicted_at, p.health_status FROM predictions p JOIN readings q ON q.event_id = p.prediction_id
+                WHERE p.health_status <> 'HEALTHY') a
+ON a.engine_id = r.engine_id AND r.recorded_at >= a.predicted_at""")
+def _(t: Tables):
+    alerts = t.predictions.filter("health_status <> 'HEALTHY'").select(
+        "engine_id", F.col("prediction_id").alias("alert_id"), "predicted_at", F.col("health_status").alias("alert")
+    )
+    rows = t.readings.select("event_id", "engine_id", "recorded_at")
+    joined = asof.asof_join(rows, alerts, ["engine_id"], "recorded_at", "predicted_at", ["alert_id"])
+    return joined.select("event_id", F.coalesce("alert_id", F.lit(-1)).alias("alert_id"), F.coalesce("alert", F.lit("")).alias("alert"))
+
+
+@query("distinct_engines_any_window", "A16 A20", """
+SELECT 'hour' AS unit, CAST(date_trunc('hour', predicted_at) AS TIMESTAMP) AS time, count(DISTINCT engine_id) AS engines FROM predictions GROUP BY 2
+UNION ALL
+SELECT 'day', CAST(date_trunc('day', predicted_at) AS TIMESTAMP), count(DISTINCT engine_id) FROM predictions GROUP BY 2
+UNION ALL
+SELECT 'month', CAST(date_trunc('month', predicted_at) AS TIMESTAMP), count(DISTINCT engine_id) FROM predictions GROUP BY 2""")
+def _(t: Tables):
+    # One stored table of sketches by minute answers all three.
+    from wearline.plans.streams import run_folder
+
+    path = f"{run_folder(t.spark)}/sketches"
+    fleet.engine_sketches(t.predictions, []).write.parquet(path)
+    stored = t.spark.read.parquet(path)
+    parts = [fleet.engines_from_sketches(stored, unit).select(F.lit(unit).alias("unit"), "time", "engines") for unit in ("hour", "day", "month")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
