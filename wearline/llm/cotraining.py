@@ -130,11 +130,18 @@ def spread(seed: int, *columns: str):
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def described(rows: DataFrame) -> DataFrame:
     """(key, good, tag, words, style, meta) of rows (key, good, tag, text, source, lang, n_chars)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch["text"].to_pylist()
             words = [words_of(t) for t in texts]
             seen = zip(*[batch[c].to_pylist() for c in ("source", "lang", "n_chars")], strict=True)
@@ -233,9 +240,19 @@ def odds_of(view, rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def score_unlabelled(docs: DataFrame, labels: DataFrame, model: Model, stage: C.Stage, name: str) -> DataFrame:
     """(mark, text_score, meta_score) of every document without a label, by one pass over the texts."""
-    found = classify(marked(docs), model).select(
-        F.col("row.key").alias("key"), F.col("row.mark").alias("mark"), "text_score", "meta_score"
-    )
+    C.ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in sliced(batches):
+            views = [batch[c].to_pylist() for c in ("text", "source", "lang", "n_chars")]
+            found = [own.scores(*x) for x in zip(*views, strict=True)]
+            scores = [pa.array([f[i] for f in found], pa.float64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["mark"], *scores], names=["key", "mark", "text_score", "meta_score"])
+
+    seen = marked(docs).select("key", "mark", "text", "source", "lang", "n_chars")
+    found = seen.mapInArrow(run, "key long, mark long, text_score double, meta_score double")
     return stage.keep(found.join(labels.select("key").distinct(), "key", "left_anti").drop("key"), name)
 
 
@@ -330,7 +347,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", source: str = "s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             views = [c.to_pylist() for c in batch.columns[1:]]
             texts = batch.column(0).field(at_text).to_pylist()
             found = [own.scores(*x) for x in zip(texts, *views, strict=True)]
