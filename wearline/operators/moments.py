@@ -10,10 +10,15 @@ def trailing_moments(cols: list[str], window: int, age: str, halo: str) -> Calla
 
     ``age`` is the row's number within its series block, so the ``age - 1`` rows
     before it belong with it; the last rows of a batch are kept for the next, as
-    a block may span batches. Deviations are taken around the frame's own mean,
-    which loses no digits. Halo rows are dropped. All state is ``window - 1``
-    rows. The function is self-contained, so that workers need no package of
-    ours.
+    a block may span batches. Halo rows are dropped. The function is
+    self-contained, so that workers need no package of ours.
+
+    A series block is cut into tiles of ``window`` rows. A trailing frame is then
+    the end of one tile and the beginning of the next, so it needs the moments
+    (count, mean, squares around the mean) from each row to its tile's end and
+    from the tile's beginning to each row, and one merge of both: the work for a
+    row does not depend on the window. Squares only ever grow by what the next
+    row adds around the mean so far, so no digits cancel.
     """
 
     def moments(batches):
@@ -21,37 +26,61 @@ def trailing_moments(cols: list[str], window: int, age: str, halo: str) -> Calla
         import pyarrow as pa
 
         back = window - 1
-        before = np.full((back, len(cols)), np.nan)
+
+        def running(x, known):
+            """Count, mean and squares of the first rows up to each."""
+            n = np.cumsum(known, axis=0, dtype=np.float64)
+            finite = known & np.isfinite(x)
+            at = finite.argmax(axis=0)
+            columns = np.arange(x.shape[1])
+            near = np.where(finite[at, columns], x[at, columns], 0.0)
+            off = np.where(known, x - near, 0.0)
+            mean = near + np.cumsum(off, axis=0) / np.maximum(n, 1.0)
+            grown = np.zeros(x.shape)
+            step = np.where(known[1:] & (n[1:] > 1), x[1:] - mean[:-1], 0.0)
+            grown[1:] = step * step * (n[:-1] / np.maximum(n[1:], 1.0))
+            return n, mean, np.cumsum(grown, axis=0)
+
+        before, before_ages = np.full((back, len(cols)), np.nan), np.ones(back, np.int64)
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
+            size = batch.num_rows
+            if size == 0:
                 continue
             values = np.column_stack(
                 [batch.column(c).to_numpy(zero_copy_only=False).astype("float64", copy=False) for c in cols]
             )
             rows = np.vstack([before, values])
-            before = rows[len(rows) - back :]
+            ages = np.concatenate([before_ages, batch.column(age).to_numpy(zero_copy_only=False).astype(np.int64)])
+            before, before_ages = rows[len(rows) - back :], ages[len(ages) - back :]
             known = ~np.isnan(rows)
-            filled = np.where(known, rows, 0.0)
-            # reach[j] marks the rows whose frame goes back at least j rows.
-            ages = batch.column(age).to_numpy(zero_copy_only=False)[:, None]
-            reach = [ages > j for j in range(window)]
-            count = np.zeros(values.shape)
-            total = np.zeros(values.shape)
-            for j in range(window):
-                part = slice(back - j, back - j + n)
-                count += known[part] & reach[j]
-                total += np.where(reach[j], filled[part], 0.0)
-            mean = np.divide(total, count, out=np.zeros(values.shape), where=count > 0)
-            squares = np.zeros(values.shape)
-            for j in range(window):
-                part = slice(back - j, back - j + n)
-                with np.errstate(invalid="ignore"):  # infinity less infinity, in its own frames
-                    off = np.where(known[part] & reach[j], filled[part] - mean, 0.0)
-                off *= off
-                squares += off
-            deviation = np.sqrt(squares / np.maximum(count - 1, 1))
-            out = [pa.array(mean[:, i], mask=count[:, i] == 0) for i in range(len(cols))]
+            rows = np.where(known, rows, 0.0)
+            place = (ages - 1) % window
+            starts = np.flatnonzero(place == 0)
+            starts = starts if len(starts) and starts[0] == 0 else np.concatenate([[0], starts])
+            ends = np.append(starts[1:], len(rows))
+            # Of each tile: [count, mean, squares] up to every row, and from every row on where the series goes on.
+            upto, onward = np.zeros((3, *rows.shape)), np.zeros((3, *rows.shape))
+            goes_on = np.append(ages[ends[:-1]] > 1, False)
+            with np.errstate(invalid="ignore", over="ignore"):
+                for a, b, more in zip(starts.tolist(), ends.tolist(), goes_on.tolist(), strict=True):
+                    upto[:, a:b] = running(rows[a:b], known[a:b])
+                    if more:
+                        onward[:, a:b] = [m[::-1] for m in running(rows[a:b][::-1], known[a:b][::-1])]
+                here = np.arange(back, len(rows))
+                n, mean, squares = upto[:, back:]
+                # The frame begins in the tile before, unless that is another series' or the tile is the frame.
+                wide = (ages[here] > window) & (place[here] < back)
+                first = np.where(wide, here - back, 0)
+                n0, mean0, squares0 = np.where(wide[:, None], onward[:, first], 0.0)
+                total = n + n0
+                share = np.divide(n, total, out=np.zeros(n.shape), where=total > 0)
+                apart = np.where((n > 0) & (n0 > 0), mean - mean0, 0.0)
+                both = np.where(np.isfinite(mean) & np.isfinite(mean0), mean0 + apart * share, mean0 + mean)
+                mean = np.where(n0 > 0, np.where(n > 0, both, mean0), mean)
+                squares = squares + squares0 + apart * apart * n0 * share
+                deviation = np.where(total > 1, np.sqrt(squares / np.maximum(total - 1, 1)), 0.0)
+                deviation = np.where((total > 1) & ~np.isfinite(mean), np.nan, deviation)
+            out = [pa.array(mean[:, i], mask=total[:, i] == 0) for i in range(len(cols))]
             out += [pa.array(deviation[:, i]) for i in range(len(cols))]
             keep = [name for name in batch.schema.names if name not in (age, halo)]
             names = keep + [f"{c}_rm" for c in cols] + [f"{c}_rs" for c in cols]
