@@ -119,11 +119,11 @@ def _(t: Tables):
         F.count_if(F.col("reason") == reason).alias(name) for reason, name in [
             ("no active model", "n_no_model"), ("no unit_number", "n_no_unit"), ("no subset", "n_no_subset"), ("unknown prediction_id", "n_unknown"),
         ]
-    ])
-    out = counts.join(state, "subset").join(facts, "subset").join(kept, "subset").join(F.broadcast(lost))
+    ]).first()
+    out = counts.join(state, "subset").join(facts, "subset").join(kept, "subset")
     return out.select(
         "subset", "n_predictions", "n_engines", "n_errors", F.round("mean_error", 6).alias("mean_error"), "last_cycle",
-        "n_readings", F.round("sum_s2", 6).alias("sum_s2"), "n_no_model", "n_no_unit", "n_no_subset", "n_unknown",
+        "n_readings", F.round("sum_s2", 6).alias("sum_s2"), *[F.lit(n).cast("int" if c == "n_unknown" else "long").alias(c) for c, n in lost.asDict().items()],
     )
 
 
