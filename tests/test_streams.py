@@ -1,5 +1,7 @@
 """Streams over several micro-batches against their batch twins."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +214,49 @@ def test_a_batch_touches_the_state_of_its_series_only(spark, tmp_path):
     after = tables.manifest()["tables"]["carried"]["buckets"]
     assert len(before) > 50 and len({b for b in before if before[b] != after[b]}) == 1
     assert carry.output(spark, folder, "carried").count() == 202
+
+
+def test_waiting_rows_are_stored_and_few(spark, tmp_path):
+    """Rows that await the other stream lie in a table, those the watermark passed are gone; a missing batch is an error."""
+    hours = [[(b * 100 + i, 1.0, at(b * 7 + 1, i % 20)) for i in range(100)] for b in range(3)]
+    truth = [[(i, v, t) for i, v, t in rows if i % 2] for rows in hours]
+    folder = f"{tmp_path}/run"
+    writer = windows.stream_truths(*truth_feed(spark, tmp_path, hours, truth), folder, longest_wait="1 day", remember="2 days")
+    run(writer)
+    stored = windows.truth_tables(spark, folder)
+    assert stored.read("errors").count() == 150 and stored.read("open").count() == 100
+    # Only those of the last three days wait; the engine keeps no state beside them.
+    assert {r["prediction_id"] // 100 for r in stored.read("waiting").collect()} == {2}
+    assert not os.path.exists(f"{folder}/checkpoint/state")
+    batch = windows.both_streams(*[spark.read.parquet(f"{tmp_path}/{n}") for n in ("pred", "truth")])
+    with pytest.raises(FileNotFoundError, match="does not exist"), stored.commit("truths", 7) as commit:
+        windows.truth_join(commit, batch, 0, 1, 1)
+
+
+def test_rows_behind_the_watermark_meet_nothing(spark, tmp_path):
+    """A time at or before the watermark of the batch before last is too late for the join, as for the engine's own."""
+    pred = [[(1, 1.0, at(2))], [(2, 2.0, at(5))], [(3, 3.0, at(6))], [(4, 4.0, at(3)), (5, 5.0, at(7))]]
+    truth = [[(1, 0.0, at(2))], [(2, 0.0, at(5))], [(3, 0.0, at(6))], [(4, 0.0, at(3)), (5, 0.0, at(7))]]
+    folder = f"{tmp_path}/run"
+    run(windows.stream_truths(*truth_feed(spark, tmp_path, pred, truth), folder, delay="1 hour", longest_wait="3 days", remember="6 days"))
+    assert sorted(r["prediction_id"] for r in windows.truth_tables(spark, folder).read("errors").collect()) == [1, 2, 3, 5]
+
+
+@pytest.mark.parametrize("n", [0, 3, 1000])
+def test_a_feed_writes_each_batch_in_several_files(spark, n):
+    """Every micro-batch has as many files as the others, also where most rows have one time, and none is split or mixed."""
+    from types import SimpleNamespace
+
+    from wearline.plans import streams
+
+    when = F.timestamp_seconds(F.when(F.col("id") % 10 < 8, 5000).otherwise(F.col("id")))
+    rows = spark.range(n).select("id", when.alias("at"))
+    seen = []
+    stream = streams.feed(SimpleNamespace(spark=spark), rows, "at", file_rows=20)
+    folder = streams.run_folder(spark)
+    handle = lambda batch, _: seen.append([r["id"] for r in batch.collect()])
+    run(stream.writeStream.foreachBatch(handle).option("checkpointLocation", folder))
+    assert sorted(i for b in seen for i in b) == list(range(n))
+    times = {r["id"]: r["at"] for r in rows.collect()}
+    spans = [(min(times[i] for i in b), max(times[i] for i in b)) for b in seen if b]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))

@@ -1,15 +1,15 @@
-"""Event-time windows and joins on streams; the engine keeps their state."""
+"""Event-time windows on streams, whose state the engine keeps, and the join of two streams over stored rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wearline.functions import columns as C
 from wearline.operators import accuracy as acc
 from wearline.operators import store
 from wearline.operators import truth as tr
-from wearline.operators.versions import Spec, Tables
+from wearline.operators.versions import Commit, Spec, Tables
 
 
 def _timed(df: DataFrame, time: str, delay: str) -> DataFrame:
@@ -46,71 +46,106 @@ def stream_accuracy(errors: DataFrame, width: str = "1 hour", delay: str = "10 m
 
 IN_TIME, EARLY, LATE = "in time", "before its prediction", "too late"
 UNKNOWN, OPEN, UNTIMED = "unknown prediction_id", "no truth", "no time"
+VALUES = ["true_rul", "submitted_at"]
+#: Newest time of each side, and the watermarks of the last two batches.
+CLOCK = ["pred", "truth", "late", "mark"]
 
 
-def stream_truth_join(
-    pred: DataFrame, truth: DataFrame, delay: str = "10 minutes", longest_wait: str = "30 days", remember: str = "60 days"
-) -> DataFrame:
-    """What became of every truth and of every prediction, in the column ``outcome``.
-
-    A truth counts if it comes up to ``longest_wait`` after its prediction. Each truth comes out
-    once for each prediction of its id: ``in time``, ``too late`` or ``before its prediction``; and
-    once as ``unknown prediction_id`` if no prediction lies between ``remember`` before it and
-    ``longest_wait`` after it. A prediction for which nothing came within ``remember`` comes out once
-    as ``no truth``. Rows without a time come out at once as ``no time``; one without an id is
-    unknown. The full outer join keeps both sides for just these spans; what it evicts is what it
-    reports. Several truths in time are several rows: which of them counts is decided where they
-    are stored (``truth_batch``), as any number of them may lie in different micro-batches.
-    """
-    p = pred.withColumn("_p_at", F.col("predicted_at").cast("timestamp"))
+def both_streams(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Predictions and truths as rows of one stream: the columns of both, the time in microseconds (``_at``) and
+    whether a row is a truth."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("_at")
+    none = lambda f: F.lit(None).cast(f.dataType).alias(f.name)
+    p = pred.select(*pred.columns, *[none(truth.schema[c]) for c in VALUES], micros("predicted_at"), F.lit(False).alias("_truth"))
     t = truth.select(
-        F.col("prediction_id").alias("_id"), "true_rul", "submitted_at", F.col("submitted_at").cast("timestamp").alias("_t_at")
-    )
-    near = (F.col("_p_at") >= F.col("_t_at") - F.expr(f"INTERVAL {remember}")) & (
-        F.col("_p_at") <= F.col("_t_at") + F.expr(f"INTERVAL {longest_wait}")
-    )
-    timed_p = p.filter(F.col("_p_at").isNotNull()).withWatermark("_p_at", delay)
-    timed_t = t.filter(F.col("_t_at").isNotNull()).withWatermark("_t_at", delay)
-    joined = timed_p.join(timed_t, (F.col("prediction_id") == F.col("_id")) & near, "full_outer")
-    outcome = (
-        F.when(F.col("_p_at").isNull(), UNKNOWN)
-        .when(F.col("_t_at").isNull(), OPEN)
-        .when(F.col("_t_at") < F.col("_p_at"), EARLY)
-        .when(F.col("_t_at") > F.col("_p_at") + F.expr(f"INTERVAL {longest_wait}"), LATE)
-        .otherwise(IN_TIME)
-    )
-    columns = [F.coalesce("prediction_id", "_id").alias(c) if c == "prediction_id" else F.col(c) for c in pred.columns]
-    out = joined.select(*columns, "true_rul", "submitted_at", outcome.alias("outcome"))
-    # Rows without a time never meet the join; they take the shape of its result.
-    lone_p = p.filter(F.col("_p_at").isNull()).select(
-        *pred.columns, F.lit(None).cast(truth.schema["true_rul"].dataType).alias("true_rul"),
-        F.lit(None).cast(truth.schema["submitted_at"].dataType).alias("submitted_at"), F.lit(UNTIMED).alias("outcome"),
+        *["prediction_id" if f.name == "prediction_id" else none(f) for f in pred.schema], *VALUES, micros("submitted_at"),
+        F.lit(True).alias("_truth"),
     )
-    lone_t = t.filter(F.col("_t_at").isNull()).select(
-        *[(F.col("_id") if f.name == "prediction_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in pred.schema],
-        "true_rul", "submitted_at", F.lit(UNTIMED).alias("outcome"),
-    )
-    return out.unionByName(lone_p).unionByName(lone_t)
+    return p.unionByName(t)
+
+
+def micros_of(spark: SparkSession, span: str) -> int:
+    return spark.range(1).select(F.expr(f"unix_micros(timestamp_micros(0L) + INTERVAL {span})")).first()[0]
+
+
+def meetings(rows: DataFrame, wait: int, keep: int) -> DataFrame:
+    """``_met`` also where the other side has a row near enough: a truth is from ``wait`` before to ``keep`` after its
+    prediction. One order of the rows of an id by time serves both sides."""
+    by = Window.partitionBy("prediction_id").orderBy("_at")
+    truths = F.count_if("_truth").over(by.rangeBetween(-wait, keep))
+    preds = F.count_if(~F.col("_truth")).over(by.rangeBetween(-keep, wait))
+    counted = rows.withColumns({"_truths": truths, "_preds": preds})
+    near = F.when(F.col("_truth"), F.col("_preds")).otherwise(F.col("_truths")) > 0
+    return counted.withColumn("_met", F.col("_met") | near).drop("_truths", "_preds")
+
+
+def truth_join(commit: Commit, batch: DataFrame, delay: int, wait: int, keep: int) -> DataFrame:
+    """What became of the truths and predictions of a micro-batch and of those before it, in the column ``outcome``.
+
+    A truth counts if it comes up to ``wait`` after its prediction. Each truth comes out once for
+    each prediction of its id: ``in time``, ``too late`` or ``before its prediction``; and once as
+    ``unknown prediction_id`` if no prediction lies between ``keep`` before it and ``wait`` after it.
+    A prediction for which nothing came within ``keep`` comes out once as ``no truth``. Rows without
+    a time come out at once as ``no time``; one without an id is unknown.
+
+    The rows that may still meet others lie in the table ``waiting``, so a micro-batch is one
+    ordinary join. The watermark is ``delay`` behind the newest row of the side that is less far; what
+    it passes is reported and forgotten. A row at or before the watermark of the last batch but one
+    is left out, as a join of the engine does. Several truths in time are several rows: which of
+    them counts is decided where they are stored, as they may lie in different micro-batches.
+    """
+    spark, tables = batch.sparkSession, commit.tables
+    held = commit.base["batches"].get(commit.writer, -1)
+    if commit.batch_id != held + 1:
+        raise FileNotFoundError(f"the state of batch {commit.batch_id - 1} does not exist; the last one is {held}")
+    names = [c for c in batch.columns if c not in ("_at", "_truth")]
+    clock = tables.read("clock").first().asDict() if held >= 0 else dict.fromkeys(CLOCK)
+    found = batch.agg(F.max(F.when(~F.col("_truth"), F.col("_at"))).alias("pred"), F.max(F.when(F.col("_truth"), F.col("_at"))).alias("truth"))
+    newest = {c: max((x for x in (clock[c], v) if x is not None), default=None) for c, v in found.first().asDict().items()}
+    mark = None if None in newest.values() else min(newest.values()) - delay
+    late = F.lit(False) if clock["late"] is None else F.col("_at") <= clock["late"]
+    rows = batch.filter(F.col("_at").isNotNull() & ~late).withColumns({"_new": F.lit(True), "_met": F.lit(False)})
+    if held >= 0:
+        rows = rows.unionByName(tables.read("waiting").withColumn("_new", F.lit(False)))
+    keyed = store.materialised(meetings(rows.filter(F.col("prediction_id").isNotNull()), wait, keep))
+    every = keyed.unionByName(rows.filter(F.col("prediction_id").isNull()))
+    met = keyed.filter("_met")
+    p = met.filter(~F.col("_truth")).drop(*VALUES, "_truth", "_met")
+    t = met.filter("_truth").select(F.col("prediction_id").alias("_id"), *VALUES, F.col("_at").alias("_t_at"), F.col("_new").alias("_t_new"))
+    near = (F.col("_t_at") - F.col("_at")).between(-wait, keep) & (F.col("_new") | F.col("_t_new"))
+    after = F.col("_t_at") - F.col("_at")
+    outcome = F.when(after < 0, EARLY).when(after > wait, LATE).otherwise(IN_TIME)
+    out = p.join(t, (F.col("prediction_id") == F.col("_id")) & near).select(*names, outcome.alias("outcome"))
+    past = F.lit(False) if mark is None else F.col("_at") + F.when(F.col("_truth"), F.lit(wait)).otherwise(F.lit(keep)) < mark
+    alone = every.filter(past & ~F.col("_met")).select(*names, F.when(F.col("_truth"), UNKNOWN).otherwise(OPEN).alias("outcome"))
+    untimed = batch.filter(F.col("_at").isNull()).select(*names, F.lit(UNTIMED).alias("outcome"))
+    commit.replace("waiting", every.filter(~past).drop("_new"), {"all"})
+    now = spark.createDataFrame([(newest["pred"], newest["truth"], clock["mark"], mark)], ", ".join(f"{c} long" for c in CLOCK))
+    commit.replace("clock", now.coalesce(1), {"all"})
+    return out.unionByName(alone).unionByName(untimed)
+
+
+def store_truths(commit: Commit, rows: DataFrame) -> None:
+    rows = store.materialised(rows)
+    scored = tr.error_columns(rows.filter(F.col("outcome") == IN_TIME).drop("outcome"))
+    commit.insert_first("errors", scored, [F.col("submitted_at"), F.col("true_rul")])
+    lost = rows.filter(F.col("true_rul").isNotNull() | F.col("submitted_at").isNotNull())
+    lost = lost.filter(F.col("outcome") != IN_TIME).select("prediction_id", "true_rul", "submitted_at", "outcome")
+    commit.append("rejects", lost.withColumnRenamed("outcome", "reason"))
+    left = rows.filter(F.col("outcome").isin(OPEN, UNTIMED) & F.col("true_rul").isNull() & F.col("submitted_at").isNull())
+    commit.append("open", left.drop("true_rul", "submitted_at"))
 
 
 def truth_batch(folder: str, buckets: int = 64):
-    """foreachBatch handler for ``stream_truth_join``: truths in time to ``errors`` if their prediction
+    """foreachBatch handler for rows with an outcome: truths in time to ``errors`` if their prediction
     has none yet, the first by submission of those in one batch; the rest to ``rejects`` with their
     outcome, predictions that got no truth to ``open``. All three change together, and a repeated
     batch changes nothing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         with truth_tables(batch.sparkSession, folder, buckets).commit("truths", batch_id) as commit:
-            if commit.skipped:
-                return
-            rows = store.materialised(batch)
-            scored = tr.error_columns(rows.filter(F.col("outcome") == IN_TIME).drop("outcome"))
-            commit.insert_first("errors", scored, [F.col("submitted_at"), F.col("true_rul")])
-            lost = rows.filter(F.col("true_rul").isNotNull() | F.col("submitted_at").isNotNull())
-            lost = lost.filter(F.col("outcome") != IN_TIME).select("prediction_id", "true_rul", "submitted_at", "outcome")
-            commit.append("rejects", lost.withColumnRenamed("outcome", "reason"))
-            left = rows.filter(F.col("outcome").isin(OPEN, UNTIMED) & F.col("true_rul").isNull() & F.col("submitted_at").isNull())
-            commit.append("open", left.drop("true_rul", "submitted_at"))
+            if not commit.skipped:
+                store_truths(commit, batch)
 
     return handle
 
@@ -120,10 +155,22 @@ def truth_tables(spark: SparkSession, folder: str, buckets: int = 64) -> Tables:
     store.checkpoint_folder(spark)
     return Tables(spark, f"{folder}/tables", {
         "errors": Spec("first", ["prediction_id"], buckets=buckets), "rejects": Spec("log"), "open": Spec("log"),
+        "waiting": Spec("state"), "clock": Spec("state"),
     })
 
 
-def stream_truths(pred: DataFrame, truth: DataFrame, folder: str, **waits):
-    """Errors, rejects and open predictions as stored tables; returns the unstarted writer."""
-    joined = stream_truth_join(pred, truth, **waits)
-    return joined.writeStream.foreachBatch(truth_batch(folder)).option("checkpointLocation", f"{folder}/checkpoint")
+def stream_truths(
+    pred: DataFrame, truth: DataFrame, folder: str, delay: str = "10 minutes", longest_wait: str = "30 days", remember: str = "60 days",
+    buckets: int = 64,
+):
+    """Errors, rejects and open predictions as stored tables, by ``truth_join`` and ``truth_batch``'s rules; returns the
+    unstarted writer. What waits for the other stream is stored in the same commit."""
+    spans = [micros_of(pred.sparkSession, span) for span in (delay, longest_wait, remember)]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        with truth_tables(batch.sparkSession, folder, buckets).commit("truths", batch_id) as commit:
+            if not commit.skipped:
+                store_truths(commit, truth_join(commit, batch, *spans))
+
+    both = both_streams(pred, truth)
+    return both.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint")
