@@ -102,10 +102,11 @@ def validate_sequence(
     return repeats.join(steps, keys).select(*keys, "n_rows", reason.alias("reason"))
 
 
-def sequence_steps(df: DataFrame, keys: list[str], seq: str, block_rows: int | None = None) -> DataFrame:
-    """Each row with its distance from the row before it in sequence order."""
-    numbered = series.number_rows(df, keys, [seq], "_position")
+def sequence_steps(df: DataFrame, keys: list[str], seq: str, block_rows: int | None = None, position: str | None = None) -> DataFrame:
+    """Each row with its distance from the row before it in sequence order. ``position`` names a
+    gap-free counter from 1 where the rows have one."""
+    numbered = df if position else series.number_rows(df, keys, [seq], "_position")
     out = series.over_trailing_rows(
-        numbered, keys, "_position", 1, lambda w: {"step": F.col(seq) - F.lag(seq).over(w)}, block_rows
+        numbered, keys, position or "_position", 1, lambda w: {"step": F.col(seq) - F.lag(seq).over(w)}, block_rows
     )
-    return out.drop("_position")
+    return out if position else out.drop("_position")

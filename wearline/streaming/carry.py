@@ -61,17 +61,19 @@ def in_order(batch: DataFrame, carried: DataFrame, keys: list[str], seq: str) ->
     joined = series.salted_join(batch, seen, keys, [seq], "left", null_safe=True)
     fresh = F.coalesce(F.col("_seen").isNull() | (F.col(seq) > F.col("_seen")), F.lit(False)) & F.col(seq).isNotNull()
     same = Window.partitionBy(*keys, seq).orderBy(*[F.col(c) for c in batch.columns if c not in (*keys, seq)])
-    ranked = joined.filter(fresh).drop("_seen").withColumn("_rank", F.row_number().over(same))
-    repeated = ranked.filter(F.col("_rank") > 1).drop("_rank").withColumn("reason", F.lit("repeated"))
-    why = F.when(F.col(seq).isNull(), "no sequence number").otherwise("out of order")
-    late = joined.filter(~fresh).drop("_seen").withColumn("reason", why)
-    return ranked.filter(F.col("_rank") == 1).drop("_rank"), late.unionByName(repeated)
+    # Rows and rejects are parts of one written table, so that the join and the order are made once.
+    late = joined.filter(~fresh).drop("_seen").withColumn("_rank", F.lit(0))
+    marked = joined.filter(fresh).drop("_seen").withColumn("_rank", F.row_number().over(same)).unionByName(late)
+    marked = store.written(marked)
+    why = F.when(F.col("_rank") > 1, "repeated").when(F.col(seq).isNull(), "no sequence number").otherwise("out of order")
+    rejects = marked.filter(F.col("_rank") != 1).withColumn("reason", why).drop("_rank")
+    return marked.filter(F.col("_rank") == 1).drop("_rank"), rejects
 
 
-def after_gaps(both: DataFrame, keys: list[str], seq: str, step: int) -> DataFrame:
+def after_gaps(both: DataFrame, keys: list[str], seq: str, step: int, position: str | None = None) -> DataFrame:
     """New rows that are more than ``step`` beyond the row before them, carried or new."""
-    steps = val.sequence_steps(both, keys, seq).filter(F.col("_new") & (F.col("step") > step))
-    return steps.drop("_new", "step").withColumn("reason", F.lit("gap before"))
+    steps = val.sequence_steps(both, keys, seq, position=position).filter(F.col("_new") & (F.col("step") > step))
+    return steps.drop("_new", "step", *([position] if position else [])).withColumn("reason", F.lit("gap before"))
 
 
 def _handler(folder: str, keys: list[str], seq: str, columns: list[str], carry: int, name: str, build, step: int | None, buckets: int):
@@ -91,16 +93,18 @@ def _handler(folder: str, keys: list[str], seq: str, columns: list[str], carry:
             carried, touched = _carried(commit, need, batch_id)
             fresh, late = in_order(need, carried, keys, seq)
             marked = [fresh.withColumn("_new", F.lit(True)), carried.withColumn("_new", F.lit(False))]
-            both = store.materialised(reduce(DataFrame.unionByName, marked))
+            # Numbered once for all that follows.
+            both = reduce(DataFrame.unionByName, marked)
+            both = store.materialised(series.number_rows(both, keys, [seq], "_position"))
             number = F.lit(batch_id).cast("long").alias("batch_id")
             made = build(both)
             if made is not None:
-                commit.append(name, made.filter("_new").drop("_new").select("*", number))
+                commit.append(name, made.filter("_new").drop("_new", "_position").select("*", number))
             rejects = late.withColumn("kept", F.lit(False))
             if step is not None:
-                rejects = rejects.unionByName(after_gaps(both, keys, seq, step).withColumn("kept", F.lit(True)))
+                rejects = rejects.unionByName(after_gaps(both, keys, seq, step, "_position").withColumn("kept", F.lit(True)))
             commit.append("rejects", rejects.select("*", number))
-            commit.replace("carried", ent.newest_rows(both.drop("_new"), keys, [seq], carry), touched)
+            commit.replace("carried", ent.newest_rows(both.drop("_new", "_position"), keys, [seq], carry), touched)
 
     return handle
 
@@ -110,7 +114,7 @@ def rolling_batch(folder: str, keys: list[str], seq: str, cols: list[str], windo
     """foreachBatch handler: trailing features across batches."""
 
     def build(both):
-        return feat.rolling_features(both, keys, seq, cols, window)
+        return feat.rolling_features(both, keys, seq, cols, window, "_position")
 
     return _handler(folder, keys, seq, cols, window - 1, "features", build, step, buckets)
 
@@ -119,7 +123,7 @@ def alert_batch(folder: str, keys: list[str], seq: str, status: str = "health_st
     """foreachBatch handler: status changes, also across batches."""
 
     def build(both):
-        return fleet.status_changes(both, keys, seq, status)
+        return fleet.status_changes(both, keys, seq, status, "_position")
 
     return _handler(folder, keys, seq, [status], 1, "alerts", build, step, buckets)
 
