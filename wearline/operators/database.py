@@ -65,11 +65,11 @@ def write_rows(
     """
     rows = rows.drop(*[c for c in rows.columns if c.endswith(("_rm", "_rs"))])
     whole, broken = store.without_key(rows, [*ENGINE, "cycle"])
-    whole = store.materialised(store.with_positions(whole, [*ENGINE, "cycle"], arrival))
+    whole = store.written(store.with_positions(whole, [*ENGINE, "cycle"], arrival))
     engines = commit.get_or_create("engines", whole, "engine_id", at=F.col("unit_number"))
     known = series.salted_join(whole, engines.select(*ENGINE, "engine_id"), ENGINE, ["cycle", "position"])
     stored, no_model = store.with_active_model(known, registry)
-    stored = store.materialised(stored)
+    stored = store.written(stored)
     bad = reject_rows(broken, batch_id).unionByName(reject_rows(no_model.drop("engine_id", "position"), batch_id))
     for more in rejects:
         bad = bad.unionByName(reject_rows(more, batch_id))
@@ -106,17 +106,17 @@ def serving_batch(path: str, model, registry: DataFrame, as_of=None, json_col: s
             if commit.skipped:
                 return
             now = as_of if as_of is not None else spark.sql("SELECT CAST(now() AS TIMESTAMP_NTZ)").first()[0]
-            bodies = store.materialised(batch)
-            rows = store.materialised(req.parse_requests(bodies, "batch", json_col).withColumnRenamed("engine_id", "unit"))
+            # Each body is parsed once; of those without readings the text is kept.
+            parsed = store.written(req.parse_requests(batch, "batch", json_col, empty=True))
+            rows = parsed.filter(F.col("item").isNotNull()).drop(json_col).withColumnRenamed("engine_id", "unit")
             good, bad = val.validate(rows, val.reading_rules())
-            parsed = F.from_json(F.col(json_col), S.REQUEST_SCHEMAS["batch"], {"allowNonNumericNumbers": "true"})
-            empty = bodies.filter(F.coalesce(F.size(parsed["instances"]), F.lit(0)) < 1)
+            empty = parsed.filter(F.col("item").isNull()).select(*batch.columns)
             empty = empty.withColumn("reason", F.lit("no readable instances"))
             extra = [c for c in batch.columns if c not in (json_col, *arrival)]
             scored = scoring.score_snapshots(good, model).withColumnRenamed("unit", "unit_number")
             scored = scored.select(*[c for c in rows.columns if c not in (*extra, "unit")], "unit_number", "predicted_rul", "n_history_cycles")
             write_rows(
-                commit, store.materialised(scored), registry, batch_id, now, rejects=[bad.withColumnRenamed("unit", "unit_number"), empty],
+                commit, store.written(scored), registry, batch_id, now, rejects=[bad.withColumnRenamed("unit", "unit_number"), empty],
                 arrival=[*arrival, "item"],
             )
 
@@ -135,8 +135,7 @@ def submit_truths(spark: SparkSession, path: str, truth: DataFrame, batch_id: in
     with tables.commit("truths", batch_id) as commit:
         if commit.skipped:
             return
-        valid, bad = val.validate(truth, val.truth_rules())
-        valid = store.materialised(valid)
+        valid, bad = val.validate(store.written(truth), val.truth_rules())
         log = tables.read("predictions").select("prediction_id", "predicted_rul", "engine_id")
         errors, unknown = tr.score_truths(log, valid, ["engine_id"])
         store_errors(commit, errors)
