@@ -121,3 +121,28 @@ def test_training_writes_its_columns(spark, monkeypatch):
     model = scoring.train(df, {"maxIter": 1, "maxDepth": 1}, subsets=[2])
     assert model.subsets == [2]
     assert written == [{"subset", "unit", "cycle", *S.ALL_SENSORS}, {"rul", *S.feature_columns(S.ALL_SENSORS)}]
+
+
+@pytest.mark.parametrize("name", ["tree_scores", "tree_importances", "model_cards"])
+def test_queries_ask_for_the_whole_model(spark, monkeypatch, tmp_path, name):
+    """The registered queries fit the product's settings, all trees included, on all rows."""
+    import __spark_entry__ as contract
+    from pyspark.ml.regression import GBTRegressor
+
+    events = spark.range(48).select(
+        F.col("id").alias("event_id"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id)").alias("ts"), (F.col("id") % 8).alias("user_id"),
+        (F.col("id") * 5 % 13).cast("double").alias("value"), F.format_string('{"k": %d}', F.col("id") % 9).alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    asked = []
+
+    class Short(GBTRegressor):
+        """Notes what is asked of it and fits one tree of that."""
+
+        def fit(self, data):
+            asked.append(({p: self.getOrDefault(p) for p in S.GBT_PARAMS}, data.count()))
+            return GBTRegressor(featuresCol="_features", labelCol="_label", maxIter=1, maxDepth=1).fit(data)
+
+    monkeypatch.setattr(mod, "GBTRegressor", Short)
+    contract.queries()[name](spark, str(tmp_path)).collect()
+    assert asked == [(S.GBT_PARAMS, 12)] * 4
